@@ -32,9 +32,16 @@ def _s(c: Column) -> Column:
     return c.cast("string")
 
 
-K = F.col("k")
-EID = F.col("event_id")
-UID = F.col("user_id")
+def K() -> Column:
+    return F.col("k")
+
+
+def EID() -> Column:
+    return F.col("event_id")
+
+
+def UID() -> Column:
+    return F.col("user_id")
 
 # ---------------------------------------------------------------- F1 access log
 
@@ -43,27 +50,27 @@ LONG_PREFIX = "/files/" + "long-segment-" * 5
 
 def access_columns(ev: DataFrame) -> DataFrame:
     """The F1 fields as columns (shared by the access, watchdog and review fixtures)."""
-    path = (F.when(EID % 97 == 0, F.lit("/cron.php"))
-            .when(K % 10 == 0, F.concat(F.lit("/list?page="), _s(F.expr("k div 10"))))
-            .when(K % 10 == 1, F.concat(F.lit(LONG_PREFIX), _s(K)))
-            .otherwise(F.concat(F.lit("/node/"), _s(UID % 40))))
+    path = (F.when(EID() % 97 == 0, F.lit("/cron.php"))
+            .when(K() % 10 == 0, F.concat(F.lit("/list?page="), _s(F.expr("k div 10"))))
+            .when(K() % 10 == 1, F.concat(F.lit(LONG_PREFIX), _s(K())))
+            .otherwise(F.concat(F.lit("/node/"), _s(UID() % 40))))
     is_err = F.col("event_type") == "error"
-    status = (F.when(is_err & (K == 99), 511)
-              .when(is_err & (K % 4 == 0), 404)
-              .when(is_err & (K % 4 == 1), 403)
-              .when(is_err, F.lit(500) + K % 4)
-              .when(K % 7 == 0, 304)
+    status = (F.when(is_err & (K() == 99), 511)
+              .when(is_err & (K() % 4 == 0), 404)
+              .when(is_err & (K() % 4 == 1), 403)
+              .when(is_err, F.lit(500) + K() % 4)
+              .when(K() % 7 == 0, 304)
               .otherwise(200))
-    ua = (F.when(UID % 4 == 0, "Mozilla/5.0").when(UID % 4 == 1, "curl/8.0")
-          .when(UID % 4 == 2, "Drupal (+http://example.org/)").otherwise("bot/1.0"))
-    rid = F.concat(F.when(EID % 10 == 9, "x-").otherwise("v-"), _s(EID))
+    ua = (F.when(UID() % 4 == 0, "Mozilla/5.0").when(UID() % 4 == 1, "curl/8.0")
+          .when(UID() % 4 == 2, "Drupal (+http://example.org/)").otherwise("bot/1.0"))
+    rid = F.concat(F.when(EID() % 10 == 9, "x-").otherwise("v-"), _s(EID()))
     return ev.select(
         "*",
         F.when(F.col("event_type").isin("purchase", "signup"), "POST").otherwise("GET").alias("a_method"),
         path.alias("a_path"),
         status.alias("a_status"),
         F.round(F.col("value") * 20000).cast("long").alias("a_us"),
-        F.concat(F.lit("site"), _s(UID % 3)).alias("a_site"),
+        F.concat(F.lit("site"), _s(UID() % 3)).alias("a_site"),
         ua.alias("a_ua"),
         rid.alias("a_rid"),
     )
@@ -74,10 +81,10 @@ def access_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = access_columns(events(spark, sf_dir))
     line = F.format_string(
         '10.0.0.%d - - [%s +0000] "%s %s HTTP/1.1" %d 100 "-" "%s" hosting_site=%s request_time=%d request_id="%s"',
-        UID, F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), F.col("a_method"), F.col("a_path"),
+        UID(), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), F.col("a_method"), F.col("a_path"),
         F.col("a_status"), F.col("a_ua"), F.col("a_site"), F.col("a_us"), F.col("a_rid"))
-    return a.select(F.lit("access.log").alias("file"), EID.alias("seq"), line.alias("value"),
-                    F.col("a_site").alias("site"))
+    return a.select(F.lit("access.log").alias("file"), EID().alias("seq"), line.alias("value"),
+                    F.col("a_site").alias("log_site"))
 
 
 # ---------------------------------------------------------------- F2 PHP errors
@@ -85,15 +92,15 @@ def access_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def php_error_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """one PHP error line per ``error`` event."""
     a = access_columns(events(spark, sf_dir)).filter(F.col("event_type") == "error")
-    f = F.concat(F.lit("/app/f"), _s(K % 5), F.lit(".php"))
-    msg = (F.when(K % 3 == 0, F.concat(
+    f = F.concat(F.lit("/app/f"), _s(K() % 5), F.lit(".php"))
+    msg = (F.when(K() % 3 == 0, F.concat(
         F.lit("PHP Fatal error:  Allowed memory size of 134217728 bytes exhausted (tried to allocate "),
-        _s(EID), F.lit(" bytes) in "), f))
-        .when(K % 3 == 1, F.concat(F.lit("PHP Warning:  Division by zero in "), f))
+        _s(EID()), F.lit(" bytes) in "), f))
+        .when(K() % 3 == 1, F.concat(F.lit("PHP Warning:  Division by zero in "), f))
         .otherwise(F.lit("PHP Notice:  Undefined index")))
     line = F.format_string('[%s UTC] %s request_id="%s"', F.date_format("ts", "dd-MMM-yyyy HH:mm:ss"), msg,
                            F.col("a_rid"))
-    return a.select(F.lit("php-errors.log").alias("file"), EID.alias("seq"), line.alias("value"))
+    return a.select(F.lit("php-errors.log").alias("file"), EID().alias("seq"), line.alias("value"))
 
 
 # ---------------------------------------------------------------- F3 watchdog
@@ -106,11 +113,11 @@ def watchdog_columns(ev: DataFrame) -> DataFrame:
     wtype = F.lit(None).cast("string")
     for src, dst in WATCHDOG_TYPES.items():
         wtype = F.when(F.col("event_type") == src, dst).otherwise(wtype)
-    base = F.concat(F.lit("msg "), _s(K % 8), F.when(K % 8 == 3, " exception").otherwise(""))
-    msg = (F.when((F.col("event_type") == "signup") & (K % 10 == 0), F.lit("dblog module enabled."))
-           .when((F.col("event_type") == "signup") & (K % 10 == 5), F.lit("statistics module disabled."))
+    base = F.concat(F.lit("msg "), _s(K() % 8), F.when(K() % 8 == 3, " exception").otherwise(""))
+    msg = (F.when((F.col("event_type") == "signup") & (K() % 10 == 0), F.lit("dblog module enabled."))
+           .when((F.col("event_type") == "signup") & (K() % 10 == 5), F.lit("statistics module disabled."))
            .otherwise(base))
-    head = F.concat(F.date_format("ts", "MMM dd HH:mm:ss"), F.lit(" host"), _s(UID % 5), F.lit(" "),
+    head = F.concat(F.date_format("ts", "MMM dd HH:mm:ss"), F.lit(" host"), _s(UID() % 5), F.lit(" "),
                     F.col("a_site"))
     return a.select(
         "*",
@@ -125,19 +132,20 @@ def watchdog_columns(ev: DataFrame) -> DataFrame:
 def watchdog_lines(spark: SparkSession, sf_dir: str, layout: str = "pipe") -> DataFrame:
     """F3 in the ``|`` layout or the ``; `` layout (same rows, reordered)."""
     w = watchdog_columns(events(spark, sf_dir))
-    ip = F.concat(F.lit("10.0.0."), _s(UID))
+    ip = F.concat(F.lit("10.0.0."), _s(UID()))
     if layout == "pipe":
         line = F.concat_ws("|", F.concat(F.col("w_head"), F.lit(": "), F.col("w_url")), _s(F.col("w_epoch")),
-                           F.col("w_type"), ip, F.col("a_path"), F.lit(""), _s(UID), F.lit(""), F.col("w_msg"))
+                           F.col("w_type"), ip, F.col("a_path"), F.lit(""), _s(UID()), F.lit(""), F.col("w_msg"))
     else:
         line = F.concat_ws("; ", F.concat(F.col("w_head"), F.lit(": "), F.col("w_msg")), F.col("w_url"),
-                           _s(F.col("w_epoch")), F.col("w_type"), ip, F.col("a_path"), F.lit("-"), _s(UID))
-    return w.select(F.lit("drupal-watchdog.log").alias("file"), EID.alias("seq"), line.alias("value"))
+                           _s(F.col("w_epoch")), F.col("w_type"), ip, F.col("a_path"), F.lit("-"), _s(UID()))
+    return w.select(F.lit("drupal-watchdog.log").alias("file"), EID().alias("seq"), line.alias("value"))
 
 
 # ---------------------------------------------------------------- F4 host logs
 
-HOST = F.concat(F.lit("web-"), _s(UID % 5))
+def HOST() -> Column:
+    return F.concat(F.lit("web-"), _s(UID() % 5))
 
 
 def syslog_stamp(ts: str = "ts") -> Column:
@@ -149,49 +157,49 @@ def syslog_stamp(ts: str = "ts") -> Column:
 def mail_lines(spark, sf_dir) -> DataFrame:
     ev = events(spark, sf_dir)
     tail = F.when(F.col("event_type") == "purchase", F.lit("Completed")).otherwise(
-        F.concat(F.lit("<= user"), _s(UID), F.lit("@example.org")))
-    line = F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), _s(EID), tail)
-    return ev.select(F.concat(HOST, F.lit("/mainlog")).alias("file"), HOST.alias("host"), EID.alias("seq"),
+        F.concat(F.lit("<= user"), _s(UID()), F.lit("@example.org")))
+    line = F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), _s(EID()), tail)
+    return ev.select(F.concat(HOST(), F.lit("/mainlog")).alias("file"), HOST().alias("host"), EID().alias("seq"),
                      line.alias("value"))
 
 
 def syslog_lines(spark, sf_dir, name: str = "syslog") -> DataFrame:
     ev = events(spark, sf_dir)
-    text = (F.when(K % 5 == 0, F.concat(F.lit("kernel: Out of memory: Kill process "), _s(EID),
+    text = (F.when(K() % 5 == 0, F.concat(F.lit("kernel: Out of memory: Kill process "), _s(EID()),
                                         F.lit(" (php) score 900")))
-            .when(K % 5 == 1, F.concat(F.lit("kernel: Killed process "), _s(EID), F.lit(" (php-fpm) total-vm:2048kB")))
-            .when(K % 5 == 2, F.lit("puppet-agent: Restarting php-fpm service"))
-            .when((K % 5 == 3) & (K % 2 == 0), F.lit("ah-monitor: AH_SPLIT_BRAIN: Split brain detected: db=main"))
-            .when(K % 5 == 3, F.lit("ah-monitor: AH_SERIOUS_ load above limit"))
+            .when(K() % 5 == 1, F.concat(F.lit("kernel: Killed process "), _s(EID()), F.lit(" (php-fpm) total-vm:2048kB")))
+            .when(K() % 5 == 2, F.lit("puppet-agent: Restarting php-fpm service"))
+            .when((K() % 5 == 3) & (K() % 2 == 0), F.lit("ah-monitor: AH_SPLIT_BRAIN: Split brain detected: db=main"))
+            .when(K() % 5 == 3, F.lit("ah-monitor: AH_SERIOUS_ load above limit"))
             .otherwise(F.lit("cron: session idle")))
-    line = F.concat_ws(" ", syslog_stamp(), HOST, text)
-    return ev.select(F.concat(HOST, F.lit("/" + name)).alias("file"), HOST.alias("host"), EID.alias("seq"),
+    line = F.concat_ws(" ", syslog_stamp(), HOST(), text)
+    return ev.select(F.concat(HOST(), F.lit("/" + name)).alias("file"), HOST().alias("host"), EID().alias("seq"),
                      line.alias("value"))
 
 
 def pool_lines(spark, sf_dir) -> DataFrame:
     ev = events(spark, sf_dir)
-    text = (F.when(K % 4 == 0, F.lit("WARNING: [pool www] seems busy (you may need to increase pm.start_servers, "
+    text = (F.when(K() % 4 == 0, F.lit("WARNING: [pool www] seems busy (you may need to increase pm.start_servers, "
                                      "or pm.min/max_spare_servers), spawning 8 children, there are 0 idle, "
                                      "and 10 total children"))
-            .when(K % 4 == 1, F.lit("WARNING: [pool www] server reached max_children setting (10), consider raising it"))
-            .when(K % 4 == 2, F.concat(F.lit("WARNING: [pool www] child "), _s(EID),
+            .when(K() % 4 == 1, F.lit("WARNING: [pool www] server reached max_children setting (10), consider raising it"))
+            .when(K() % 4 == 2, F.concat(F.lit("WARNING: [pool www] child "), _s(EID()),
                                        F.lit(" exited on signal 11 (SIGSEGV) after 2.5 seconds from start")))
-            .otherwise(F.concat(F.lit("NOTICE: [pool www] child "), _s(EID), F.lit(" started"))))
+            .otherwise(F.concat(F.lit("NOTICE: [pool www] child "), _s(EID()), F.lit(" started"))))
     line = F.concat(F.lit("["), F.date_format("ts", "dd-MMM-yyyy HH:mm:ss"), F.lit("] "), text)
-    return ev.select(F.concat(HOST, F.lit("/fpm-error.log")).alias("file"), HOST.alias("host"), EID.alias("seq"),
+    return ev.select(F.concat(HOST(), F.lit("/fpm-error.log")).alias("file"), HOST().alias("host"), EID().alias("seq"),
                      line.alias("value"))
 
 
 def webserver_error_lines(spark, sf_dir) -> DataFrame:
     ev = events(spark, sf_dir)
-    client = F.concat(F.lit("[client 10.0.0."), _s(UID), F.lit("] "))
-    text = F.when(K % 3 == 0, F.concat(F.lit("[error] "), client,
+    client = F.concat(F.lit("[client 10.0.0."), _s(UID()), F.lit("] "))
+    text = F.when(K() % 3 == 0, F.concat(F.lit("[error] "), client,
                                        F.lit("mod_fcgid: can't apply process slot for /app/index.php, "
                                              "skip the spawn request"))) \
-        .otherwise(F.concat(F.lit("[notice] "), client, F.lit("child pid "), _s(EID), F.lit(" exit signal")))
+        .otherwise(F.concat(F.lit("[notice] "), client, F.lit("child pid "), _s(EID()), F.lit(" exit signal")))
     line = F.concat(F.lit("["), F.date_format("ts", "EEE MMM dd HH:mm:ss yyyy"), F.lit("] "), text)
-    return ev.select(F.concat(HOST, F.lit("/error.log")).alias("file"), HOST.alias("host"), EID.alias("seq"),
+    return ev.select(F.concat(HOST(), F.lit("/error.log")).alias("file"), HOST().alias("host"), EID().alias("seq"),
                      line.alias("value"))
 
 
@@ -200,10 +208,10 @@ SOCKET_PORTS = [3306, 11211, 443, 80, 8080]
 
 def sockets(spark, sf_dir) -> DataFrame:
     ev = events(spark, sf_dir)
-    port = F.element_at(F.array(*[F.lit(p) for p in SOCKET_PORTS]), (K % 5 + 1).cast("int"))
-    return ev.select(HOST.alias("host"), EID.alias("seq"),
-                     F.when(K % 3 == 0, "nginx").otherwise("php-fpm").alias("process"),
-                     F.when(K % 2 == 0, "TCP").otherwise("UDP").alias("protocol"),
+    port = F.element_at(F.array(*[F.lit(p) for p in SOCKET_PORTS]), (K() % 5 + 1).cast("int"))
+    return ev.select(HOST().alias("host"), EID().alias("seq"),
+                     F.when(K() % 3 == 0, "nginx").otherwise("php-fpm").alias("process"),
+                     F.when(K() % 2 == 0, "TCP").otherwise("UDP").alias("protocol"),
                      port.alias("port"))
 
 
@@ -212,17 +220,17 @@ TASK_TEXTS = ["code-push to Prod", "db-migrate site", "reboot web", "cache clear
 
 def tasks(spark, sf_dir) -> DataFrame:
     ev = events(spark, sf_dir)
-    text = F.element_at(F.array(*[F.lit(t) for t in TASK_TEXTS]), (K % 6 + 1).cast("int"))
-    line = F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), HOST, text)
-    return ev.select("ts", HOST.alias("host"), EID.alias("seq"), line.alias("value"))
+    text = F.element_at(F.array(*[F.lit(t) for t in TASK_TEXTS]), (K() % 6 + 1).cast("int"))
+    line = F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), HOST(), text)
+    return ev.select("ts", HOST().alias("host"), EID().alias("seq"), line.alias("value"))
 
 
 def audit_lines(spark, sf_dir) -> DataFrame:
     ev = events(spark, sf_dir)
-    err = F.concat(F.lit("\x1b[31m[error]\x1b[0m Module "), _s(K), F.lit(" check failed   "),
-                   F.when(K % 2 == 0, "\r").otherwise(""))
-    ok = F.concat(F.lit("[ok] Module "), _s(K), F.lit(" check passed"))
-    return ev.select(HOST.alias("host"), EID.alias("seq"),
+    err = F.concat(F.lit("\x1b[31m[error]\x1b[0m Module "), _s(K()), F.lit(" check failed   "),
+                   F.when(K() % 2 == 0, "\r").otherwise(""))
+    ok = F.concat(F.lit("[ok] Module "), _s(K()), F.lit(" check passed"))
+    return ev.select(HOST().alias("host"), EID().alias("seq"),
                      F.when(F.col("event_type") == "error", err).otherwise(ok).alias("value"))
 
 
@@ -253,7 +261,7 @@ def hosts(spark, sf_dir) -> DataFrame:
 def stats_rows(spark, sf_dir) -> DataFrame:
     ev = events(spark, sf_dir)
     return (ev.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"),
-                       F.concat(F.lit("site"), _s(UID % 3)).alias("site"))
+                       F.concat(F.lit("site"), _s(UID() % 3)).alias("site"))
             .agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("event_type") == "error").alias("uncached"))
             .select("day", "site", F.lit("hits").alias("c3"), "total", "uncached"))
 
@@ -262,17 +270,17 @@ def section_lines(spark, sf_dir) -> DataFrame:
     """Process listing: ``[srv-N]`` header every 20 events, then user rows, counts,
     limits, memory and a defunct row."""
     ev = events(spark, sf_dir)
-    r = EID % 20
-    site = F.concat(F.lit("site"), _s(UID % 3))
+    r = EID() % 20
+    site = F.concat(F.lit("site"), _s(UID() % 3))
     line = (F.when(r == 0, F.concat(F.lit("[srv-"), _s(F.expr("event_id div 20")), F.lit("]")))
-            .when(r <= 14, F.concat_ws(" ", site, _s(K % 3), F.lit("php-cgi")))
-            .when(r == 15, F.concat(_s(K), F.lit(" procs running")))
-            .when(r == 16, F.concat(F.lit("MaxProcessCount "), _s(K + 20)))
-            .when(r == 17, F.concat(F.lit("DefaultMaxClass "), _s(K % 10)))
-            .when(r == 18, F.concat_ws(" ", F.lit("Mem:"), _s(K * 10 + 4000), _s(UID * 10),
+            .when(r <= 14, F.concat_ws(" ", site, _s(K() % 3), F.lit("php-cgi")))
+            .when(r == 15, F.concat(_s(K()), F.lit(" procs running")))
+            .when(r == 16, F.concat(F.lit("MaxProcessCount "), _s(K() + 20)))
+            .when(r == 17, F.concat(F.lit("DefaultMaxClass "), _s(K() % 10)))
+            .when(r == 18, F.concat_ws(" ", F.lit("Mem:"), _s(K() * 10 + 4000), _s(UID() * 10),
                                        _s(F.round(F.col("value") * 10).cast("long"))))
-            .otherwise(F.concat(F.lit("zombie "), _s(K), F.lit(" defunct"))))
-    return ev.select(F.lit("procs.txt").alias("file"), EID.alias("seq"), line.alias("value"))
+            .otherwise(F.concat(F.lit("zombie "), _s(K()), F.lit(" defunct"))))
+    return ev.select(F.lit("procs.txt").alias("file"), EID().alias("seq"), line.alias("value"))
 
 
 REALM_LABELS = ["Enterprise", "Standard", "Network", "Gardens", "Legacy"]
@@ -284,10 +292,10 @@ def realm_lines(spark, sf_dir) -> DataFrame:
     ev = events(spark, sf_dir)
     label = F.element_at(F.array(*[F.lit(x) for x in REALM_LABELS]),
                          (F.expr("event_id div 10") % len(REALM_LABELS) + 1).cast("int"))
-    env = F.when(K % 2 == 0, "prod").otherwise("test")
-    line = F.when(EID % 10 == 0, F.concat(F.lit("["), label, F.lit("]:"))).otherwise(
-        F.concat(F.lit(" site"), _s(UID % 3), F.lit("."), env, F.lit(" "), _s(K)))
-    return ev.select(F.lit("realms.txt").alias("file"), EID.alias("seq"), line.alias("value"))
+    env = F.when(K() % 2 == 0, "prod").otherwise("test")
+    line = F.when(EID() % 10 == 0, F.concat(F.lit("["), label, F.lit("]:"))).otherwise(
+        F.concat(F.lit(" site"), _s(UID() % 3), F.lit("."), env, F.lit(" "), _s(K())))
+    return ev.select(F.lit("realms.txt").alias("file"), EID().alias("seq"), line.alias("value"))
 
 
 def realm_labels(spark) -> DataFrame:
@@ -313,7 +321,7 @@ def host_listing(spark, sf_dir) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
     sk = F.col("s_suppkey")
     prefix = F.element_at(F.array(*[F.lit(p) for p in HOST_PREFIXES]), (sk % 7 + 1).cast("int"))
-    line = F.concat(prefix, F.lit("-"), _s(sk), F.lit(" "), F.when(sk % 2 == 0, "up").otherwise("idle"),
+    line = F.concat(F.lit(" "), prefix, F.lit("-"), _s(sk), F.lit(" "), F.when(sk % 2 == 0, "up").otherwise("idle"),
                     F.lit(" "), _s(sk % 3), F.when(sk % 11 == 0, " *").otherwise(""))
     return s.select(F.lit("servers.txt").alias("file"), sk.alias("seq"), line.alias("value"))
 
@@ -360,9 +368,9 @@ def variables(spark, sf_dir) -> DataFrame:
 
 def sessions(spark, sf_dir) -> DataFrame:
     ev = events(spark, sf_dir)
-    sess = F.concat(F.lit("uid|"), _s(EID), F.lit("|"), F.col("event_type"), F.lit("|"), F.col("props"),
+    sess = F.concat(F.lit("uid|"), _s(EID()), F.lit("|"), F.col("event_type"), F.lit("|"), F.col("props"),
                     F.lit("|"), F.repeat(F.lit("ab"), 40))
-    return ev.select((UID % 3).alias("uid"), F.concat(F.lit("10.0.0."), _s(UID)).alias("hostname"),
+    return ev.select((UID() % 3).alias("uid"), F.concat(F.lit("10.0.0."), _s(UID())).alias("hostname"),
                      F.unix_seconds(F.col("ts").cast("timestamp")).alias("timestamp"), sess.alias("session"))
 
 
@@ -410,15 +418,15 @@ def cache_audit_lines(spark, sf_dir) -> DataFrame:
     ev = events(spark, sf_dir)
     texts = ["page_cache_maximum_age  0", "block  cache  0", "Enabled  none", "Enabled  yes",
              "DRUPAL_NO_CACHE  views", "Disabled  foo"]
-    line = F.element_at(F.array(*[F.lit(t) for t in texts]), (K % 6 + 1).cast("int"))
-    return ev.select(F.concat(HOST, F.lit("/cacheaudit")).alias("file"), EID.alias("seq"), line.alias("value"))
+    line = F.element_at(F.array(*[F.lit(t) for t in texts]), (K() % 6 + 1).cast("int"))
+    return ev.select(F.concat(HOST(), F.lit("/cacheaudit")).alias("file"), EID().alias("seq"), line.alias("value"))
 
 
 def flush_lines(spark, sf_dir) -> DataFrame:
     ev = events(spark, sf_dir)
-    line = F.concat(F.lit("cache_flush_"), F.col("event_type"), F.lit("_"), _s(EID), F.lit(": "),
+    line = F.concat(F.lit("cache_flush_"), F.col("event_type"), F.lit("_"), _s(EID()), F.lit(": "),
                     _s(F.unix_seconds(F.col("ts").cast("timestamp"))))
-    return ev.select(EID.alias("seq"), line.alias("value"))
+    return ev.select(EID().alias("seq"), line.alias("value"))
 
 
 # The two module lists of the module check.
@@ -556,12 +564,12 @@ REVIEW_STATES = {"click": "COMMENTED", "purchase": "APPROVED", "error": "CHANGES
 
 def reviews(spark, sf_dir) -> DataFrame:
     ev = events(spark, sf_dir)
-    number = K * 4 + UID % 4
+    number = K() * 4 + UID() % 4
     state = F.lit(None).cast("string")
     for src, dst in REVIEW_STATES.items():
         state = F.when(F.col("event_type") == src, dst).otherwise(state)
-    uid = UID % 50
-    return ev.select(EID.alias("seq"), _repo(number).alias("repo"), number.cast("long").alias("number"),
+    uid = UID() % 50
+    return ev.select(EID().alias("seq"), _repo(number).alias("repo"), number.cast("long").alias("number"),
                      uid.alias("user_id"), F.concat(F.lit("user"), _s(uid)).alias("login"), state.alias("state"),
                      F.col("ts").alias("submitted_at"))
 

@@ -1,18 +1,33 @@
 """The registered query set: each entry renders its inputs from the driver tables with
-Spark and runs one report.  Keys are the report function names."""
+Spark and runs one report.  Keys are the report function names.
+
+Entries without a DuckDB oracle (see ``oracle_sql.py``) say why in their docstring."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import traffic
-from ..sources.parse import parse_access
+from ..operators import common, fleet, fleetlog, inventory, review, traffic, watchdog
+from ..session import shared_dir
+from ..sources import lines as src_lines
+from ..sources import tables as src_tables
+from ..sources.parse import normalize_error, parse_access, parse_php_error, parse_watchdog, parse_watchdog_pipe
 from . import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
+# Fixed "now" arguments of the fixtures (never the wall clock).
+EVENTS_NOW = "2024-01-30 23:30:00"
+EVENTS_TODAY = "2024-01-15"
+ORDERS_NOW = "2002-01-01 00:00:00"
+REVIEW_SINCE = "2000-01-01 00:00:00"
+REVIEWER = "user7"
+PAYLOAD_TEST_LIMIT = 10_000
+SPLIT_BRAIN_NOISE = "AH_SPLIT_BRAIN: Split brain detected: db=main"
+
 
 def register(name: str | None = None):
     def deco(fn):
@@ -25,6 +40,437 @@ def access(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_access(fx.access_lines(spark, sf_dir))
 
 
+def php_errors(spark, sf_dir) -> DataFrame:
+    return parse_php_error(fx.php_error_lines(spark, sf_dir))
+
+
+def watchdog_log(spark, sf_dir) -> DataFrame:
+    return parse_watchdog_pipe(fx.watchdog_lines(spark, sf_dir, "pipe"))
+
+
+# ------------------------------------------------------------------ sources (OP-01..11)
+
+@register()
+def read_lines(spark, sf_dir):
+    """F1 written per site to the shared folder (site2 gzip-compressed) and scanned back."""
+    out = shared_dir(spark, "access")
+    lines = fx.access_lines(spark, sf_dir)
+    lines = lines.select(F.col("log_site").alias("site"), "value")
+    lines.filter("site != 'site2'").write.partitionBy("site").text(out + "/plain")
+    lines.filter("site = 'site2'").write.partitionBy("site").option("compression", "gzip").text(out + "/gz")
+    df = src_lines.read_lines(spark, [out + "/plain", out + "/gz"], recursiveFileLookup="true")
+    return df.select(F.regexp_extract("file", "site=([^/]+)", 1).alias("site"), "value")
+
+
+@register()
+def last_n_lines(spark, sf_dir):
+    lines = fx.access_lines(spark, sf_dir).withColumn("file", F.concat(F.lit("access-"), "log_site", F.lit(".log")))
+    return src_lines.last_n_lines(lines, 1000, by="file", min_bytes=None).select("file", "seq", "value")
+
+
+@register()
+def file_sizes(spark, sf_dir):
+    """Plain-text F1 per site; sizes of the written files summed per site folder."""
+    out = shared_dir(spark, "sizes")
+    fx.access_lines(spark, sf_dir).select(F.col("log_site").alias("site"), "value").write.partitionBy("site").text(out)
+    sizes = src_lines.file_sizes(spark, out + "/site=*/*.txt")
+    per_site = (sizes.groupBy(F.regexp_extract("file", "site=([^/]+)", 1).alias("site"))
+                .agg(F.sum("bytes").alias("bytes")))
+    return (per_site.withColumn("size_mb", F.round(F.col("bytes") / 1048576.0, 1))
+            .withColumn("flag_large", F.col("bytes") > src_lines.LARGE_LOG_BYTES))
+
+
+@register()
+def read_stats_csv(spark, sf_dir):
+    out = shared_dir(spark, "stats")
+    fx.stats_rows(spark, sf_dir).write.option("header", True).csv(out)
+    return src_tables.read_stats_csv(spark, out)
+
+
+@register()
+def uncached_ratio(spark, sf_dir):
+    return fleet.uncached_ratio(fx.stats_rows(spark, sf_dir))
+
+
 @register()
-def hourly_traffic(spark, sf_dir):
+def flatten_inventory(spark, sf_dir):
+    return inventory.flatten_inventory(fx.inventory_json(spark, sf_dir))
+
+
+@register()
+def hosts_by_role(spark, sf_dir):
+    return inventory.hosts_by_role(inventory.flatten_inventory(fx.inventory_json(spark, sf_dir)))
+
+
+@register()
+def read_records(spark, sf_dir):
+    """Issues saved as JSON pages of 100 records (arrays), read back and flattened."""
+    out = shared_dir(spark, "pages")
+    iss = fx.issues(spark, sf_dir)
+    page = (iss.withColumn("page", F.expr("number div 100"))
+            .groupBy("page").agg(F.to_json(F.collect_list(F.struct(*[c for c in iss.columns]))).alias("value")))
+    page.write.partitionBy("page").text(out)
+    recs = src_tables.read_records(spark, out + "/page=*", fx.ISSUE_SCHEMA)
+    return recs.select("repo", "number", "title", "updated_at", F.col("user.login").alias("login"),
+                       F.size("labels").alias("n_labels"), F.col("pull_request.html_url").alias("html_url"))
+
+
+@register()
+def write_report(spark, sf_dir):
+    """Hourly traffic written as parquet to the shared folder and read back."""
+    out = shared_dir(spark, "report")
+    src_tables.write_report(traffic.hourly_traffic(access(spark, sf_dir), "site1"), out)
+    return spark.read.parquet(out)
+
+
+@register("parse_access")
+def _parse_access(spark, sf_dir):
+    return access(spark, sf_dir).drop("value", "file", "log_site")
+
+
+@register("parse_watchdog")
+def _parse_watchdog(spark, sf_dir):
+    df = parse_watchdog(fx.watchdog_lines(spark, sf_dir, "semicolon"))
+    return df.select("seq", "head", F.col("epoch").try_cast("long").alias("epoch"), "type", "ip", "uri",
+                     F.col("uid").try_cast("long").alias("uid"), "message")
+
+
+@register("normalize_error")
+def _normalize_error(spark, sf_dir):
+    return fx.php_error_lines(spark, sf_dir).select("seq", normalize_error("value").alias("message"))
+
+
+# ------------------------------------------------------------------ access / error reports
+
+@register("hourly_traffic")
+def _hourly_traffic(spark, sf_dir):
     return traffic.hourly_traffic(access(spark, sf_dir), "site1")
+
+
+@register("top_slow")
+def _top_slow(spark, sf_dir):
+    return traffic.top_slow(access(spark, sf_dir), "site1")
+
+
+@register("top_error_paths")
+def _top_error_paths(spark, sf_dir):
+    return traffic.top_error_paths(access(spark, sf_dir))
+
+
+@register("top_error_paths_hourly")
+def _top_error_paths_hourly(spark, sf_dir):
+    return traffic.top_error_paths_hourly(access(spark, sf_dir))
+
+
+@register("paged_hits_by_agent")
+def _paged_hits(spark, sf_dir):
+    return traffic.paged_hits_by_agent(access(spark, sf_dir))
+
+
+@register("latest_matching")
+def _latest_matching(spark, sf_dir):
+    return traffic.latest_matching(access(spark, sf_dir), "GET /cron.php", 5)
+
+
+@register("top_errors")
+def _top_errors(spark, sf_dir):
+    return traffic.top_errors(php_errors(spark, sf_dir))
+
+
+@register("oom_paths")
+def _oom_paths(spark, sf_dir):
+    return traffic.oom_paths(php_errors(spark, sf_dir), access(spark, sf_dir))
+
+
+@register("top_counts")
+def _top_counts(spark, sf_dir):
+    return common.top_counts(access(spark, sf_dir), ["status"], 5)
+
+
+@register("ten_minute_times")
+def _ten_minute_times(spark, sf_dir):
+    ev = fx.events(spark, sf_dir).withColumn("exec_us", F.round(F.col("value") * 20000).cast("long"))
+    return traffic.ten_minute_times(ev.withColumn("queue_us", F.expr("exec_us div 10")))
+
+
+# ------------------------------------------------------------------ watchdog
+
+@register("top_types")
+def _top_types(spark, sf_dir):
+    return watchdog.top_types(watchdog_log(spark, sf_dir))
+
+
+@register("top_messages_per_type")
+def _top_messages_per_type(spark, sf_dir):
+    return watchdog.top_messages_per_type(watchdog_log(spark, sf_dir))
+
+
+@register("top_not_found")
+def _top_not_found(spark, sf_dir):
+    return watchdog.top_not_found(watchdog_log(spark, sf_dir))
+
+
+@register("recent_cron")
+def _recent_cron(spark, sf_dir):
+    return watchdog.recent_cron(watchdog_log(spark, sf_dir))
+
+
+@register("module_changes")
+def _module_changes(spark, sf_dir):
+    return watchdog.module_changes(watchdog_log(spark, sf_dir), EVENTS_TODAY)
+
+
+# ------------------------------------------------------------------ fleet logs
+
+@register("mail_per_day")
+def _mail_per_day(spark, sf_dir):
+    return fleetlog.mail_per_day(fx.mail_lines(spark, sf_dir))
+
+
+@register("syslog_events")
+def _syslog_events(spark, sf_dir):
+    return fleetlog.syslog_events(fx.syslog_lines(spark, sf_dir), EVENTS_NOW, exclude=[SPLIT_BRAIN_NOISE])
+
+
+@register("literal_events")
+def _literal_events(spark, sf_dir):
+    return fleetlog.literal_events(fx.syslog_lines(spark, sf_dir, "daemon.log"), EVENTS_NOW)
+
+
+@register("skip_spawns")
+def _skip_spawns(spark, sf_dir):
+    return fleetlog.skip_spawns(fx.pool_lines(spark, sf_dir), "fpm")
+
+
+@register("skip_spawns_webserver")
+def _skip_spawns_webserver(spark, sf_dir):
+    return fleetlog.skip_spawns(fx.webserver_error_lines(spark, sf_dir), "webserver")
+
+
+@register("count_literal_by_host")
+def _count_literal_by_host(spark, sf_dir):
+    return fleetlog.count_literal_by_host(fx.pool_lines(spark, sf_dir), fx.log_hosts(spark, sf_dir), "SIGSEGV")
+
+
+@register("downtime_events")
+def _downtime_events(spark, sf_dir):
+    return fleetlog.downtime_events(fx.table(spark, sf_dir, "pages"), EVENTS_TODAY, keep="<b>")
+
+
+@register("flag_tasks")
+def _flag_tasks(spark, sf_dir):
+    return fleetlog.flag_tasks(fx.tasks(spark, sf_dir), EVENTS_NOW).drop("ts")
+
+
+@register("audit_errors")
+def _audit_errors(spark, sf_dir):
+    return fleetlog.audit_errors(fx.audit_lines(spark, sf_dir))
+
+
+@register("external_connections")
+def _external_connections(spark, sf_dir):
+    return fleetlog.external_connections(fx.sockets(spark, sf_dir), fx.log_hosts(spark, sf_dir))
+
+
+@register("session_status")
+def _session_status(spark, sf_dir):
+    return fleetlog.session_status(fx.header_traces(spark, sf_dir))
+
+
+@register("expand_urls")
+def _expand_urls(spark, sf_dir):
+    ok = fx.domain_rows(spark, sf_dir).filter(F.col("status").contains("ok") & ~F.col("domain").contains("*"))
+    return fleetlog.expand_urls(ok.select("domain").distinct())
+
+
+# ------------------------------------------------------------------ fleet tables
+
+@register("threshold_flag")
+def _threshold_flag(spark, sf_dir):
+    return common.threshold_flag(fx.hosts(spark, sf_dir), "metric", hi=1000.0, hi_strict=True, keep_only=True)
+
+
+@register("drift")
+def _drift(spark, sf_dir):
+    return fleet.drift(fx.hosts(spark, sf_dir))
+
+
+@register("process_capacity")
+def _process_capacity(spark, sf_dir):
+    return fleet.process_capacity(fx.section_lines(spark, sf_dir), "site1")
+
+
+@register("resolve_sections")
+def _resolve_sections(spark, sf_dir):
+    return fleet.resolve_sections(fx.realm_lines(spark, sf_dir), fx.realm_labels(spark))
+
+
+@register("passive_or_active")
+def _passive_or_active(spark, sf_dir):
+    return fleet.passive_or_active(fx.db_listing(spark, sf_dir))
+
+
+@register("select_hosts")
+def _select_hosts(spark, sf_dir):
+    return fleet.select_hosts(fx.host_listing(spark, sf_dir))
+
+
+@register("select_hosts_raw")
+def _select_hosts_raw(spark, sf_dir):
+    return fleet.select_hosts(fx.host_listing(spark, sf_dir), include_marked=True)
+
+
+@register("active_balancers")
+def _active_balancers(spark, sf_dir):
+    return fleet.active_balancers(fx.host_listing(spark, sf_dir))
+
+
+@register("preview")
+def _preview(spark, sf_dir):
+    domains = fx.domain_rows(spark, sf_dir).select("domain").distinct()
+    return common.preview(domains, 15, ["domain"])
+
+
+@register("domain_status")
+def _domain_status(spark, sf_dir):
+    return fleet.domain_status(fx.domain_rows(spark, sf_dir))
+
+
+@register("match_lists")
+def _match_lists(spark, sf_dir):
+    return fleet.match_lists(fx.enabled_modules(spark, sf_dir), fx.module_lists(spark))
+
+
+@register("count_over")
+def _count_over(spark, sf_dir):
+    return fleet.count_over(fx.enabled_modules(spark, sf_dir))
+
+
+@register("update_status")
+def _update_status(spark, sf_dir):
+    return fleet.update_status(fx.update_rows(spark, sf_dir))
+
+
+@register("cache_audit")
+def _cache_audit(spark, sf_dir):
+    return fleet.cache_audit(fx.cache_audit_lines(spark, sf_dir))
+
+
+@register("flag_overrides")
+def _flag_overrides(spark, sf_dir):
+    return fleet.flag_overrides(fx.ini_lines(spark, sf_dir))
+
+
+@register("block_cache")
+def _block_cache(spark, sf_dir):
+    return fleet.block_cache(fx.block_rows(spark, sf_dir))
+
+
+@register("classify_version")
+def _classify_version(spark, sf_dir):
+    return fleet.classify_version(fx.version_rows(spark, sf_dir))
+
+
+@register("storage_by_engine")
+def _storage_by_engine(spark, sf_dir):
+    return fleet.storage_by_engine(fx.storage_tables(spark, sf_dir))
+
+
+@register("largest_tables")
+def _largest_tables(spark, sf_dir):
+    return fleet.largest_tables(fx.storage_tables(spark, sf_dir))
+
+
+@register("large_payloads")
+def _large_payloads(spark, sf_dir):
+    return fleet.large_payloads(fx.variables(spark, sf_dir), PAYLOAD_TEST_LIMIT)
+
+
+@register("variable_stats")
+def _variable_stats(spark, sf_dir):
+    return fleet.variable_stats(fx.variables(spark, sf_dir))
+
+
+@register("anonymous_sessions")
+def _anonymous_sessions(spark, sf_dir):
+    return fleet.anonymous_sessions(fx.sessions(spark, sf_dir))
+
+
+@register("flush_ages")
+def _flush_ages(spark, sf_dir):
+    return fleet.flush_ages(fx.flush_lines(spark, sf_dir), EVENTS_NOW)
+
+
+@register("duplicate_modules")
+def _duplicate_modules(spark, sf_dir):
+    return fleet.duplicate_modules(fx.module_paths(spark, sf_dir), fx.system_table(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ review queue
+
+def _pr_cols(df: DataFrame) -> DataFrame:
+    return df.select("repo", "number", "title", F.col("pull_request.html_url").alias("html_url"))
+
+
+@register("pull_requests")
+def _pull_requests(spark, sf_dir):
+    return _pr_cols(review.pull_requests(fx.issues(spark, sf_dir)))
+
+
+@register("open_issues")
+def _open_issues(spark, sf_dir):
+    return review.open_issues(fx.issues(spark, sf_dir)).select("repo", "number", "title")
+
+
+@register("recent")
+def _recent(spark, sf_dir):
+    return _pr_cols(review.recent(review.pull_requests(fx.issues(spark, sf_dir)), REVIEW_SINCE))
+
+
+@register("review_state")
+def _review_state(spark, sf_dir):
+    return review.review_state(fx.requested_reviewers(spark, sf_dir), fx.reviews(spark, sf_dir))
+
+
+@register("review_state_exact")
+def _review_state_exact(spark, sf_dir):
+    return review.review_state(fx.requested_reviewers(spark, sf_dir), fx.reviews(spark, sf_dir), exact=True)
+
+
+def _states(spark, sf_dir):
+    return review.review_state(fx.requested_reviewers(spark, sf_dir), fx.reviews(spark, sf_dir))
+
+
+@register("not_approved_by")
+def _not_approved_by(spark, sf_dir):
+    prs = review.pull_requests(fx.issues(spark, sf_dir))
+    return _pr_cols(review.not_approved_by(prs, _states(spark, sf_dir), REVIEWER))
+
+
+@register("below_min_approvals")
+def _below_min_approvals(spark, sf_dir):
+    prs = review.pull_requests(fx.issues(spark, sf_dir))
+    return _pr_cols(review.below_min_approvals(prs, _states(spark, sf_dir), 3))
+
+
+@register("reviewer_summary")
+def _reviewer_summary(spark, sf_dir):
+    prs = review.pull_requests(fx.issues(spark, sf_dir))
+    return review.reviewer_summary(prs, _states(spark, sf_dir))
+
+
+@register("review_queue")
+def _review_queue(spark, sf_dir):
+    return review.review_queue(fx.issues(spark, sf_dir), fx.requested_reviewers(spark, sf_dir),
+                               fx.reviews(spark, sf_dir), since=REVIEW_SINCE, me=REVIEWER, min_approvals=3)
+
+
+@register("nearest_color")
+def _nearest_color(spark, sf_dir):
+    labels = fx.issues(spark, sf_dir).select("repo", "number", F.explode("labels").alias("label"))
+    return review.nearest_color(labels.select("repo", "number", "label.name", "label.color"))
+
+
+@register("outdated")
+def _outdated(spark, sf_dir):
+    return review.outdated(fx.commits(spark, sf_dir), ORDERS_NOW)
