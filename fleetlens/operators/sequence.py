@@ -13,7 +13,9 @@ prefix scan:
 3. the carried value is joined back on (key, chunk) and combined with the local one.
 
 Step 2 sees ``rows / 2**chunk_bits`` rows, so it stays small at any scale, and AQE
-turns the join in step 3 into a broadcast once that size is known.  ``order`` must be a
+turns the join in step 3 into a broadcast once that size is known.  The summary is a
+partial aggregate over a second, column-pruned read of the input, so the only full
+shuffle is the one feeding the chunk windows.  ``order`` must be a
 non-negative long that increases in line order within a key (``seq`` from
 ``read_lines`` or an id column).
 """

@@ -34,7 +34,7 @@ def hourly_traffic(df: DataFrame, site: str, slow_s: float = SLOW_SECONDS) -> Da
     cls = F.substring("status", 1, 1)
     n = F.count(F.lit(1))
     agg = (_site_rows(df, site)
-           .groupBy(F.date_trunc("hour", "ts").alias("hour"))
+           .groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"))
            .agg(n.alias("n_requests"),
                 (F.sum("request_us") / n / 1e6).alias("avg_s"),
                 (F.max("request_us") / 1e6).alias("max_s"),
@@ -88,7 +88,7 @@ def top_error_paths(df: DataFrame, k: int = 5) -> DataFrame:
 
 def top_error_paths_hourly(df: DataFrame, k: int = 5) -> DataFrame:
     """Most frequent (hour, path) pairs answered with a 50x status."""
-    rows = _server_errors(df).select(F.date_trunc("hour", "ts").alias("hour"), short_path().alias("path"))
+    rows = _server_errors(df).select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), short_path().alias("path"))
     return top_counts(rows, ["hour", "path"], k)
 
 

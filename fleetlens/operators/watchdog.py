@@ -29,17 +29,22 @@ def top_messages_per_type(df: DataFrame, n_types: int = 2, k: int = 5, exclude:
     """For the ``n_types`` largest types of the top-type list: the k most frequent
     messages (request id removed) of each.
 
-    The chosen types are at most ``n_types`` rows, so broadcasting them is bounded.
-    Messages are counted with a partial aggregate first; the per-type top-k then runs
-    as WindowGroupLimit, so a type holding most rows never lands whole in one task.
+    The log is scanned once: (type, message) counts are a partial aggregate, the
+    type totals are summed from those counts (the exchange is reused), and the chosen
+    types - at most ``n_types`` rows, so broadcasting them is bounded - filter the
+    counts.  The per-type top-k runs as WindowGroupLimit on both sides of its shuffle,
+    so a type holding most rows never lands whole in one task.
     ``exclude`` drops types before choosing (the report meant to skip some but its
     pattern never matched, so the default keeps all)."""
     typed = df.select(watchdog_type("line").alias("type"), strip_request_id(F.col("message")).alias("message"))
-    chosen = top_counts(typed.filter(~F.col("type").isin(list(exclude))) if exclude else typed, ["type"], 5)
-    chosen = chosen.orderBy(F.desc("n"), F.desc("type")).limit(n_types).select("type")
-    counts = (typed.join(F.broadcast(chosen), "type", "left_semi")
-              .groupBy("type", "message").agg(F.count(F.lit(1)).alias("n")))
+    counts = typed.groupBy("type", "message").agg(F.count(F.lit(1)).alias("n"))
+    per_type = counts.groupBy("type").agg(F.sum("n").alias("type_n"))
+    if exclude:
+        per_type = per_type.filter(~F.col("type").isin(list(exclude)))
+    chosen = per_type.orderBy(F.desc("type_n"), F.desc("type")).limit(min(n_types, 5))
     top = top_k_per_group(counts, "type", [F.desc("n"), F.desc("message")], k, "rank")
+    chosen = chosen.withColumnRenamed("type", "_t")
+    top = top.join(F.broadcast(chosen), top["type"].eqNullSafe(chosen["_t"])).drop("_t")
     return (top.withColumn("flag_large", F.col("n") >= alert)
             .withColumn("flag_error", F.col("message").rlike("(?i)exception|error")))
 

@@ -230,8 +230,9 @@ ORDER BY n DESC, type DESC LIMIT 5""", WATCHDOG),
 , t AS (SELECT wtype, count(*) AS n FROM wd GROUP BY 1 ORDER BY n DESC, wtype DESC LIMIT 2),
 m AS (SELECT wtype AS type, wmsg AS message, count(*) AS n FROM wd WHERE wtype IN (SELECT wtype FROM t) GROUP BY 1, 2),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY type ORDER BY n DESC, message DESC) AS INTEGER) AS rank FROM m)
-SELECT type, message, n, rank, n >= 1000 AS flag_large, regexp_matches(message, '(?i)exception|error') AS flag_error
-FROM r WHERE rank <= 5""".lstrip("\n"), WATCHDOG),
+SELECT type, message, r.n AS n, rank, t.n AS type_n, r.n >= 1000 AS flag_large,
+  regexp_matches(message, '(?i)exception|error') AS flag_error
+FROM r JOIN t ON r.type = t.wtype WHERE rank <= 5""".lstrip("\n"), WATCHDOG),
     "top_not_found": _q("""
 SELECT path AS uri, count(*) AS n, count(*) >= 1000 AS flag_large FROM wd WHERE wtype = 'page not found'
 GROUP BY 1 ORDER BY n DESC, uri DESC LIMIT 5""", WATCHDOG),
