@@ -125,8 +125,10 @@ def review_queue(issues: DataFrame, requested: DataFrame, reviews: DataFrame, si
                  me: str | None = None, min_approvals: int | None = MIN_APPROVALS, exact: bool = False) -> DataFrame:
     """Open pull requests still needing review, with labels and reviewer states."""
     prs = recent(pull_requests(issues), since)
-    keys = prs.select(*KEYS)
-    states = review_state(requested.join(keys, KEYS, "left_semi"), reviews.join(keys, KEYS, "left_semi"), exact)
+    # Fold first, then keep the selected pull requests: filtering both fold inputs
+    # first would hand the fold a union of two hash-partitioned children, which AQE
+    # may coalesce differently (a partitioner-aware union then fails to zip them).
+    states = review_state(requested, reviews, exact).join(prs.select(*KEYS), KEYS, "left_semi")
     if me is not None:
         prs = not_approved_by(prs, states, me)
     prs = below_min_approvals(prs, states, min_approvals)

@@ -26,6 +26,7 @@ def get_session(master: str | None = None, app: str = "fleetlens", shuffle_parti
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.unionOutputPartitioning", "false")
         .config("spark.driver.memory", "16g")
         .getOrCreate()
     )
