@@ -500,3 +500,5 @@ SELECT repo, last_commit, (epoch_us(TIMESTAMP '2002-01-01') - epoch_us(last_comm
   SELECT 'repo-' || CAST(o_orderkey % 7 AS VARCHAR) AS repo, max(o_orderdate) AS last_commit FROM orders GROUP BY 1)
 WHERE (epoch_us(TIMESTAMP '2002-01-01') - epoch_us(last_commit)) // 86400000000 > 30""",
 })
+
+ORACLES["hourly_traffic_stream"] = ORACLES["hourly_traffic"]

@@ -474,3 +474,34 @@ def _nearest_color(spark, sf_dir):
 @register("outdated")
 def _outdated(spark, sf_dir):
     return review.outdated(fx.commits(spark, sf_dir), ORDERS_NOW)
+
+
+# ------------------------------------------------------------------ streaming
+
+@register("hourly_traffic_stream")
+def _hourly_traffic_stream(spark, sf_dir):
+    """F1 written as 8 text files (contiguous time ranges), replayed as a stream with
+    hourly windows emitted in append mode under a one-hour watermark.  One more
+    file holds one line dated far after the data (another site, so it is filtered
+    out); it moves the watermark past every real window, the usual way to flush a
+    bounded replay; a second bounded run on the same checkpoint emits them."""
+    from ..streaming import live
+
+    base = shared_dir(spark, "stream")
+    src = base + "/in"
+    lines = fx.access_lines(spark, sf_dir)
+    lines.repartitionByRange(8, "seq").select("value").write.text(src)
+    def flush(day: str) -> None:
+        spark.range(1).select(F.format_string(
+            '10.0.0.1 - - [%s +0000] "GET / HTTP/1.1" 200 100 "-" "-" hosting_site=__flush__ request_time=1 '
+            'request_id="flush"', F.date_format(F.lit(day).cast("timestamp_ntz"), "dd/MMM/yyyy:HH:mm:ss"))
+            .alias("value")).write.mode("append").text(src)
+
+    query = live.hourly_traffic_stream(live.read_line_stream(spark, src), "site1")
+    flush("2100-01-01 00:00:00")
+    out = live.run_bounded(query, base)
+    # a bounded run ends without the closing no-data batch: one more line in a
+    # second run evicts the windows the first run's final watermark closed
+    flush("2100-01-02 00:00:00")
+    live.run_bounded(query, base)
+    return spark.read.parquet(out)
