@@ -104,13 +104,14 @@ def hosts_by_role(spark, sf_dir):
 
 @register()
 def read_records(spark, sf_dir):
-    """Issues saved as JSON pages of 100 records (arrays), read back and flattened."""
+    """Issues saved as JSON pages of 100 records (one array per line), read back and
+    flattened.  Pages are small bounded groups (100 records)."""
     out = shared_dir(spark, "pages")
     iss = fx.issues(spark, sf_dir)
     page = (iss.withColumn("page", F.expr("number div 100"))
             .groupBy("page").agg(F.to_json(F.collect_list(F.struct(*[c for c in iss.columns]))).alias("value")))
-    page.write.partitionBy("page").text(out)
-    recs = src_tables.read_records(spark, out + "/page=*", fx.ISSUE_SCHEMA)
+    page.select("value").write.text(out)
+    recs = src_tables.read_records(spark, out, fx.ISSUE_SCHEMA, multi_line=False)
     return recs.select("repo", "number", "title", "updated_at", F.col("user.login").alias("login"),
                        F.size("labels").alias("n_labels"), F.col("pull_request.html_url").alias("html_url"))
 

@@ -21,11 +21,13 @@ def read_stats_csv(spark: SparkSession, path: str | Sequence[str], schema: T.Str
     return spark.read.csv(path, header=True, schema=schema, mode="PERMISSIVE")
 
 
-def read_records(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType) -> DataFrame:
-    """Saved API pages: each file is a JSON array of records (or a single object,
-    which is one record).  ``multiLine`` reads a top-level array as one row per
-    element, so the pages union into one record set."""
-    return spark.read.schema(schema).option("multiLine", True).json(paths)
+def read_records(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType,
+                 multi_line: bool = True) -> DataFrame:
+    """Saved API pages: a page is a JSON array of records (or a single object, which
+    is one record); a top-level array becomes one row per element, so the pages union
+    into one record set.  ``multi_line=True`` reads pretty-printed files (one page per
+    file, one task per file); ``False`` reads one page per line, which splits."""
+    return spark.read.schema(schema).option("multiLine", multi_line).json(paths)
 
 
 def write_report(df: DataFrame, path: str, mode: str = "overwrite", partition_by: Sequence[str] = ()) -> str:

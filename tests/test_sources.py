@@ -91,3 +91,35 @@ def test_flatten_inventory(spark):
     assert flat.count() == 4
     assert [(r.role, r.host) for r in inventory.hosts_by_role(flat).collect()] == [
         ("bal", "bal-1"), ("db", "db-1"), ("web", "web-1")]
+
+
+def test_read_records_page_per_line(spark, tmp_path):
+    (tmp_path / "pages.json").write_text(json.dumps([{"number": 1}, {"number": 2}]) + "\n"
+                                         + json.dumps({"number": 3}) + "\n")
+    from pyspark.sql.types import LongType, StructField, StructType
+    sch = StructType([StructField("number", LongType())])
+    r = st.read_records(spark, str(tmp_path), sch, multi_line=False).orderBy("number").collect()
+    assert [x.number for x in r] == [1, 2, 3]
+
+
+def test_line_order_reports_are_split_invariant(spark, tmp_path):
+    """Section fill and carry flags give the same answer with one split or many."""
+    from fleetlens.operators import fleet
+    rows = []
+    for s in range(60):
+        rows += [f"[srv-{s}]", "site1 2 x", "site1 0 x", f"{s} procs running", f"MaxProcessCount {s + 3}",
+                 f"DefaultMaxClass {s % 4}", f"Mem: 1000 10 {s * 7}", "Enabled  none" if s % 3 else "Enabled  yes"]
+    _write(tmp_path / "procs.log", rows)
+    prev = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    out = []
+    for size in ["134217728", "2048"]:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            df = sl.read_lines(spark, str(tmp_path))
+            cap = sorted(tuple(r) for r in fleet.process_capacity(df, "site1").drop("file").collect())
+            aud = sorted((r.value, r.kind, r.highlight) for r in fleet.cache_audit(df).collect())
+            out.append((cap, aud, df.rdd.getNumPartitions()))
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", prev)
+    assert out[1][2] > 1
+    assert out[0][:2] == out[1][:2]

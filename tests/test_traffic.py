@@ -75,3 +75,28 @@ def test_ten_minute_buckets(spark):
                                                                   F.col("q").alias("queue_us"), F.col("e").alias("exec_us"))
     r = traffic.ten_minute_times(df).collect()
     assert [x.n for x in r] == [1, 1] and r[1].max_exec_s == 0.0003
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.sampled_from("abcdefg"), min_size=1, max_size=60), st.integers(1, 8))
+def test_top_counts_is_prefix_of_full_order(spark, keys, k):
+    df = spark.createDataFrame([(x,) for x in keys], "key string")
+    full = [(r.key, r.n) for r in top_counts(df, ["key"], None).collect()]
+    assert [(r.key, r.n) for r in top_counts(df, ["key"], k).collect()] == full[:k]
+    assert full == sorted(full, key=lambda t: (-t[1], [-ord(c) for c in t[0]]))
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([200, 301, 404, 500, 511, 99]), st.integers(0, 9_000_000)), min_size=1,
+                max_size=30))
+def test_class_counts_never_exceed_total(spark, reqs):
+    from pyspark.sql import Row
+    vals = [line(i, status=s, us=u) for i, (s, u) in enumerate(reqs)]
+    df = spark.createDataFrame([Row(file="f", seq=i, value=v) for i, v in enumerate(vals)])
+    for r in traffic.hourly_traffic(parse_access(df), "site1").collect():
+        assert r.n_2xx + r.n_3xx + r.n_4xx + r.n_5xx <= r.n_requests
+        assert r.n_slow <= r.n_requests
