@@ -90,6 +90,14 @@ def process_capacity(lines: DataFrame, user: str, file: str = "file") -> DataFra
             .withColumn("flag_low_mem", F.try_divide(F.col("free_mem"), F.col("total_mem")) < 0.2))
 
 
+def flat_capacity(df: DataFrame) -> DataFrame:
+    """Per-server variant of ``process_capacity`` (one row per server already):
+    ``server, max_procs, running, total_mem, free_mem``; flags running at the
+    limit and free memory under 20 %."""
+    return (df.withColumn("flag_at_max", F.col("running") >= F.col("max_procs"))
+            .withColumn("flag_low_mem", F.try_divide(F.col("free_mem"), F.col("total_mem")) < 0.2))
+
+
 def resolve_sections(lines: DataFrame, labels: DataFrame, file: str = "file") -> DataFrame:
     """Lookup listing: ``[Label]:`` headers name a realm, indented rows are its sites.
     Each site row gets its realm label (forward fill) and code (label table); the

@@ -258,6 +258,25 @@ def hosts(spark, sf_dir) -> DataFrame:
                     F.col("s_suppkey").alias("seq")))
 
 
+def server_capacity(spark, sf_dir) -> DataFrame:
+    """One row per supplier server: pool limit, running processes (its lineitems of
+    open orders, mod 25), memory."""
+    s = table(spark, sf_dir, "supplier")
+    li = table(spark, sf_dir, "lineitem")
+    running = li.filter(F.col("l_linestatus") == "O").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(
+        F.count(F.lit(1)).alias("n"))
+    sk = F.col("s_suppkey")
+    return (s.join(running, "s_suppkey", "left")
+            .select(F.concat(F.lit("web-"), _s(sk)).alias("server"), (sk % 20 + 1).alias("max_procs"),
+                    (F.coalesce("n", F.lit(0)) % 25).alias("running"), F.lit(4096).cast("long").alias("total_mem"),
+                    F.round(F.abs(F.col("s_acctbal")) / 2.5).cast("long").alias("free_mem")))
+
+
+def host_versions(spark, sf_dir) -> DataFrame:
+    """Release version per host: ``1.<folders mod 3>`` (the hosts table's folder count)."""
+    return hosts(spark, sf_dir).select("host", F.concat(F.lit("1."), _s(F.col("folders") % 3)).alias("version"))
+
+
 def stats_rows(spark, sf_dir) -> DataFrame:
     ev = events(spark, sf_dir)
     return (ev.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"),

@@ -502,3 +502,16 @@ WHERE (epoch_us(TIMESTAMP '2002-01-01') - epoch_us(last_commit)) // 86400000000
 })
 
 ORACLES["hourly_traffic_stream"] = ORACLES["hourly_traffic"]
+
+ORACLES["ten_minute_times_stream"] = ORACLES["ten_minute_times"]
+ORACLES["top_errors_stream"] = ORACLES["top_errors"]
+ORACLES["version_drift"] = "WITH " + SUPPLIER_HOSTS + """
+SELECT host, '1.' || CAST(folders % 3 AS VARCHAR) AS version,
+  (SELECT count(DISTINCT folders % 3) FROM sh) > 1 AS problem FROM sh"""
+ORACLES["flat_capacity"] = """
+WITH r AS (SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1),
+c AS (SELECT 'web-' || CAST(s_suppkey AS VARCHAR) AS server, s_suppkey % 20 + 1 AS max_procs,
+        coalesce(n, 0) % 25 AS running, CAST(4096 AS BIGINT) AS total_mem,
+        CAST(round(abs(s_acctbal) / 2.5) AS BIGINT) AS free_mem
+      FROM supplier LEFT JOIN r ON l_suppkey = s_suppkey)
+SELECT *, running >= max_procs AS flag_at_max, free_mem / total_mem < 0.2 AS flag_low_mem FROM c"""

@@ -296,6 +296,16 @@ def _drift(spark, sf_dir):
     return fleet.drift(fx.hosts(spark, sf_dir))
 
 
+@register("version_drift")
+def _version_drift(spark, sf_dir):
+    return fleet.version_drift(fx.host_versions(spark, sf_dir))
+
+
+@register("flat_capacity")
+def _flat_capacity(spark, sf_dir):
+    return fleet.flat_capacity(fx.server_capacity(spark, sf_dir))
+
+
 @register("process_capacity")
 def _process_capacity(spark, sf_dir):
     return fleet.process_capacity(fx.section_lines(spark, sf_dir), "site1")
@@ -479,26 +489,28 @@ def _outdated(spark, sf_dir):
 
 # ------------------------------------------------------------------ streaming
 
-@register("hourly_traffic_stream")
-def _hourly_traffic_stream(spark, sf_dir):
-    """F1 written as 8 text files (contiguous time ranges), replayed as a stream with
-    hourly windows emitted in append mode under a one-hour watermark.  One more
-    file holds one line dated far after the data (another site, so it is filtered
-    out); it moves the watermark past every real window, the usual way to flush a
-    bounded replay; a second bounded run on the same checkpoint emits them."""
-    from ..streaming import live
-
-    base = shared_dir(spark, "stream")
+def _replay(spark, lines: DataFrame, name: str):
+    """Write rendered lines as 8 time-ordered text files for a stream replay; returns
+    (folder, base, flush) where ``flush(day)`` appends one line of another site
+    dated ``day`` (it only moves event time)."""
+    base = shared_dir(spark, name)
     src = base + "/in"
-    lines = fx.access_lines(spark, sf_dir)
     lines.repartitionByRange(8, "seq").select("value").write.text(src)
+
     def flush(day: str) -> None:
         spark.range(1).select(F.format_string(
             '10.0.0.1 - - [%s +0000] "GET / HTTP/1.1" 200 100 "-" "-" hosting_site=__flush__ request_time=1 '
             'request_id="flush"', F.date_format(F.lit(day).cast("timestamp_ntz"), "dd/MMM/yyyy:HH:mm:ss"))
             .alias("value")).write.mode("append").text(src)
 
-    query = live.hourly_traffic_stream(live.read_line_stream(spark, src), "site1")
+    return src, base, flush
+
+
+def _windowed_replay(spark, lines, name, build):
+    from ..streaming import live
+
+    src, base, flush = _replay(spark, lines, name)
+    query = build(live.read_line_stream(spark, src))
     flush("2100-01-01 00:00:00")
     out = live.run_bounded(query, base)
     # a bounded run ends without the closing no-data batch: one more line in a
@@ -506,3 +518,45 @@ def _hourly_traffic_stream(spark, sf_dir):
     flush("2100-01-02 00:00:00")
     live.run_bounded(query, base)
     return spark.read.parquet(out)
+
+
+@register("hourly_traffic_stream")
+def _hourly_traffic_stream(spark, sf_dir):
+    """F1 written as 8 text files (contiguous time ranges), replayed as a stream with
+    hourly windows emitted in append mode under a one-hour watermark.  One more file
+    holds a line dated far after the data (another site, so it is filtered out); it
+    moves the watermark past every real window, the usual way to flush a bounded
+    replay; a second bounded run on the same checkpoint emits them."""
+    from ..streaming import live
+
+    return _windowed_replay(spark, fx.access_lines(spark, sf_dir), "stream-hourly",
+                            lambda s: live.hourly_traffic_stream(s, "site1"))
+
+
+@register("ten_minute_times_stream")
+def _ten_minute_times_stream(spark, sf_dir):
+    """F1 replayed as a stream; ten-minute windows (append mode, watermark).  The
+    flush lines fall in windows of the year 2100, which are left out of the result."""
+    from ..streaming import live
+
+    df = _windowed_replay(spark, fx.access_lines(spark, sf_dir), "stream-tenmin", live.ten_minute_times_stream)
+    return df.filter(F.col("bucket") < F.lit("2099-01-01").cast("timestamp_ntz"))
+
+
+@register("top_errors_stream")
+def _top_errors_stream(spark, sf_dir):
+    """F2 replayed as a stream; message counts kept in complete mode and rewritten
+    to parquet each micro-batch; the top 5 are read from that table."""
+    from ..operators.common import top_counts
+    from ..streaming import live
+
+    base = shared_dir(spark, "stream-errors")
+    src = base + "/in"
+    fx.php_error_lines(spark, sf_dir).repartitionByRange(4, "seq").select("value").write.text(src)
+    out = base + "/counts"
+    q = live.start_complete_to_files(live.error_counts_stream(live.read_line_stream(spark, src)), out,
+                                     base + "/checkpoint")
+    q.awaitTermination()
+    counts = spark.read.parquet(out)
+    return (counts.orderBy(F.desc("n"), F.desc("message")).limit(5)
+            .withColumn("flag_fatal", F.col("message").contains(traffic.FATAL_MARKER)))
