@@ -17,6 +17,31 @@ from pyspark.sql import types as T
 from ..session import ensure_utc
 
 
+_STORED: dict[tuple, str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """Logs at rest: render ``build()`` once per session into the shared folder
+    (parquet, line order kept in ``seq``) and scan it from there, as production scans
+    stored logs.  Later queries of the session reuse the files; the scan is a leaf
+    the optimizer cannot push filters through, so rendering is never repeated."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    path = _STORED.get(key)
+    if path is None or not _exists(spark, path):
+        from ..session import shared_dir
+
+        path = shared_dir(spark, f"logs-{name}")
+        build().write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ensure_utc(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -76,7 +101,7 @@ def access_columns(ev: DataFrame) -> DataFrame:
     )
 
 
-def access_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _render_access_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(file, seq, value)``, one access-log line per event, line order = event_id."""
     a = access_columns(events(spark, sf_dir))
     line = F.format_string(
@@ -89,7 +114,7 @@ def access_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- F2 PHP errors
 
-def php_error_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _render_php_error_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """one PHP error line per ``error`` event."""
     a = access_columns(events(spark, sf_dir)).filter(F.col("event_type") == "error")
     f = F.concat(F.lit("/app/f"), _s(K() % 5), F.lit(".php"))
@@ -129,7 +154,7 @@ def watchdog_columns(ev: DataFrame) -> DataFrame:
     )
 
 
-def watchdog_lines(spark: SparkSession, sf_dir: str, layout: str = "pipe") -> DataFrame:
+def _render_watchdog_lines(spark: SparkSession, sf_dir: str, layout: str = "pipe") -> DataFrame:
     """F3 in the ``|`` layout or the ``; `` layout (same rows, reordered)."""
     w = watchdog_columns(events(spark, sf_dir))
     ip = F.concat(F.lit("10.0.0."), _s(UID()))
@@ -154,7 +179,7 @@ def syslog_stamp(ts: str = "ts") -> Column:
                     F.date_format(ts, "HH:mm:ss"))
 
 
-def mail_lines(spark, sf_dir) -> DataFrame:
+def _render_mail_lines(spark, sf_dir) -> DataFrame:
     ev = events(spark, sf_dir)
     tail = F.when(F.col("event_type") == "purchase", F.lit("Completed")).otherwise(
         F.concat(F.lit("<= user"), _s(UID()), F.lit("@example.org")))
@@ -163,7 +188,7 @@ def mail_lines(spark, sf_dir) -> DataFrame:
                      line.alias("value"))
 
 
-def syslog_lines(spark, sf_dir, name: str = "syslog") -> DataFrame:
+def _render_syslog_lines(spark, sf_dir, name: str = "syslog") -> DataFrame:
     ev = events(spark, sf_dir)
     text = (F.when(K() % 5 == 0, F.concat(F.lit("kernel: Out of memory: Kill process "), _s(EID()),
                                         F.lit(" (php) score 900")))
@@ -177,7 +202,7 @@ def syslog_lines(spark, sf_dir, name: str = "syslog") -> DataFrame:
                      line.alias("value"))
 
 
-def pool_lines(spark, sf_dir) -> DataFrame:
+def _render_pool_lines(spark, sf_dir) -> DataFrame:
     ev = events(spark, sf_dir)
     text = (F.when(K() % 4 == 0, F.lit("WARNING: [pool www] seems busy (you may need to increase pm.start_servers, "
                                      "or pm.min/max_spare_servers), spawning 8 children, there are 0 idle, "
@@ -191,7 +216,7 @@ def pool_lines(spark, sf_dir) -> DataFrame:
                      line.alias("value"))
 
 
-def webserver_error_lines(spark, sf_dir) -> DataFrame:
+def _render_webserver_error_lines(spark, sf_dir) -> DataFrame:
     ev = events(spark, sf_dir)
     client = F.concat(F.lit("[client 10.0.0."), _s(UID()), F.lit("] "))
     text = F.when(K() % 3 == 0, F.concat(F.lit("[error] "), client,
@@ -218,14 +243,14 @@ def sockets(spark, sf_dir) -> DataFrame:
 TASK_TEXTS = ["code-push to Prod", "db-migrate site", "reboot web", "cache clear", "commit deployed", "file copy"]
 
 
-def tasks(spark, sf_dir) -> DataFrame:
+def _render_tasks(spark, sf_dir) -> DataFrame:
     ev = events(spark, sf_dir)
     text = F.element_at(F.array(*[F.lit(t) for t in TASK_TEXTS]), (K() % 6 + 1).cast("int"))
     line = F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), HOST(), text)
     return ev.select("ts", HOST().alias("host"), EID().alias("seq"), line.alias("value"))
 
 
-def audit_lines(spark, sf_dir) -> DataFrame:
+def _render_audit_lines(spark, sf_dir) -> DataFrame:
     ev = events(spark, sf_dir)
     err = F.concat(F.lit("\x1b[31m[error]\x1b[0m Module "), _s(K()), F.lit(" check failed   "),
                    F.when(K() % 2 == 0, "\r").otherwise(""))
@@ -285,7 +310,7 @@ def stats_rows(spark, sf_dir) -> DataFrame:
             .select("day", "site", F.lit("hits").alias("c3"), "total", "uncached"))
 
 
-def section_lines(spark, sf_dir) -> DataFrame:
+def _render_section_lines(spark, sf_dir) -> DataFrame:
     """Process listing: ``[srv-N]`` header every 20 events, then user rows, counts,
     limits, memory and a defunct row."""
     ev = events(spark, sf_dir)
@@ -306,7 +331,7 @@ REALM_LABELS = ["Enterprise", "Standard", "Network", "Gardens", "Legacy"]
 REALM_CODES = {"Enterprise": "ent", "Standard": "std", "Network": "net", "Gardens": "gdn"}
 
 
-def realm_lines(spark, sf_dir) -> DataFrame:
+def _render_realm_lines(spark, sf_dir) -> DataFrame:
     """Domain lookup listing: ``[<label>]:`` header every 10 events, then `` <site>.<env> <k>``."""
     ev = events(spark, sf_dir)
     label = F.element_at(F.array(*[F.lit(x) for x in REALM_LABELS]),
@@ -433,7 +458,7 @@ def inventory_json(spark, sf_dir) -> DataFrame:
             .select(sk.alias("seq"), F.to_json(doc).alias("json")))
 
 
-def cache_audit_lines(spark, sf_dir) -> DataFrame:
+def _render_cache_audit_lines(spark, sf_dir) -> DataFrame:
     ev = events(spark, sf_dir)
     texts = ["page_cache_maximum_age  0", "block  cache  0", "Enabled  none", "Enabled  yes",
              "DRUPAL_NO_CACHE  views", "Disabled  foo"]
@@ -441,7 +466,7 @@ def cache_audit_lines(spark, sf_dir) -> DataFrame:
     return ev.select(F.concat(HOST(), F.lit("/cacheaudit")).alias("file"), EID().alias("seq"), line.alias("value"))
 
 
-def flush_lines(spark, sf_dir) -> DataFrame:
+def _render_flush_lines(spark, sf_dir) -> DataFrame:
     ev = events(spark, sf_dir)
     line = F.concat(F.lit("cache_flush_"), F.col("event_type"), F.lit("_"), _s(EID()), F.lit(": "),
                     _s(F.unix_seconds(F.col("ts").cast("timestamp"))))
@@ -596,3 +621,55 @@ def reviews(spark, sf_dir) -> DataFrame:
 def commits(spark, sf_dir) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return o.select(_repo(F.col("o_orderkey")).alias("repo"), F.col("o_orderdate").alias("committed_at"))
+
+
+def access_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "access_lines", lambda: _render_access_lines(spark, sf_dir))
+
+
+def php_error_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "php_error_lines", lambda: _render_php_error_lines(spark, sf_dir))
+
+
+def mail_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "mail_lines", lambda: _render_mail_lines(spark, sf_dir))
+
+
+def pool_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "pool_lines", lambda: _render_pool_lines(spark, sf_dir))
+
+
+def webserver_error_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "webserver_error_lines", lambda: _render_webserver_error_lines(spark, sf_dir))
+
+
+def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "tasks", lambda: _render_tasks(spark, sf_dir))
+
+
+def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "audit_lines", lambda: _render_audit_lines(spark, sf_dir))
+
+
+def section_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "section_lines", lambda: _render_section_lines(spark, sf_dir))
+
+
+def realm_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "realm_lines", lambda: _render_realm_lines(spark, sf_dir))
+
+
+def cache_audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "cache_audit_lines", lambda: _render_cache_audit_lines(spark, sf_dir))
+
+
+def flush_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "flush_lines", lambda: _render_flush_lines(spark, sf_dir))
+
+
+def syslog_lines(spark: SparkSession, sf_dir: str, name: str = "syslog") -> DataFrame:
+    return stored(spark, sf_dir, f"syslog_lines-{name}", lambda: _render_syslog_lines(spark, sf_dir, name))
+
+
+def watchdog_lines(spark: SparkSession, sf_dir: str, layout: str = "pipe") -> DataFrame:
+    return stored(spark, sf_dir, f"watchdog_lines-{layout}", lambda: _render_watchdog_lines(spark, sf_dir, layout))
