@@ -127,11 +127,21 @@ def audit_errors(df: DataFrame) -> DataFrame:
 
 def external_connections(sockets: DataFrame, hosts: DataFrame, exclude_ports: Sequence[int] = EXCLUDED_PORTS) -> DataFrame:
     """Open outbound TCP sockets of PHP processes, database and cache ports excluded;
-    hosts with none get one row with status ``none``."""
+    hosts with none get one row with status ``none``.
+
+    The socket table is the big, host-skewed side, so it is never the non-preserved
+    side of an outer join: connections are kept with an inner join against the host
+    list (the small side, broadcastable), and hosts without any come from an anti
+    join against the distinct connected hosts (a partial aggregate)."""
     conns = sockets.filter(F.col("process").startswith("php") & (F.col("protocol") == "TCP")
-                           & ~F.col("port").isin(list(exclude_ports)))
-    return (hosts.select("host").distinct().join(conns.select("host", "process", "protocol", "port"), "host", "left")
-            .withColumn("status", F.when(F.col("process").isNull(), "none").otherwise("open")))
+                           & ~F.col("port").isin(list(exclude_ports))).select("host", "process", "protocol", "port")
+    host_list = hosts.select("host").distinct()
+    found = conns.join(host_list, "host").withColumn("status", F.lit("open"))
+    none = (host_list.join(conns.select("host").distinct(), "host", "left_anti")
+            .select("host", *[F.lit(None).cast(t).alias(c) for c, t in
+                              (("process", "string"), ("protocol", "string"), ("port", "int"))],
+                    F.lit("none").alias("status")))
+    return found.unionByName(none)
 
 
 def session_status(df: DataFrame) -> DataFrame:
