@@ -123,3 +123,37 @@ def test_line_order_reports_are_split_invariant(spark, tmp_path):
             spark.conf.set("spark.sql.files.maxPartitionBytes", prev)
     assert out[1][2] > 1
     assert out[0][:2] == out[1][:2]
+
+
+def test_access_reports_are_split_invariant(spark, tmp_path):
+    """top_slow first/last, latest matches and recent cron runs follow line order
+    across many splits of one file."""
+    from fleetlens.operators import traffic, watchdog
+    from fleetlens.sources.parse import parse_access, parse_watchdog
+    acc = []
+    for i in range(400):
+        path = "/cron.php" if i % 7 == 0 else f"/node/{i % 3}"
+        acc.append(f'10.0.0.1 - - [05/Jan/2024:{(i * 7) % 24:02d}:{i % 60:02d}:00 +0000] "GET {path} HTTP/1.1" 200 1 '
+                   f'"-" "ua" hosting_site=site1 request_time={3_000_001 + i} request_id="v-{i}"')
+    wd = [f"Jan 05 {(i * 5) % 24:02d}:00:00 h s: http://s|{i}|{'cron' if i % 3 else 'php'}|ip|/p||1||run {i}"
+          for i in range(400)]
+    _write(tmp_path / "access.log", acc)
+    (tmp_path / "wd").mkdir()
+    _write(tmp_path / "wd" / "watchdog.log", wd)
+    prev = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    res = []
+    for size in ["134217728", "1024"]:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            a = parse_access(sl.read_lines(spark, str(tmp_path / "access.log")))
+            w = parse_watchdog(sl.read_lines(spark, str(tmp_path / "wd")))
+            res.append((
+                sorted(tuple(r) for r in traffic.top_slow(a, "site1").collect()),
+                [r.value for r in traffic.latest_matching(a, "GET /cron.php", 5).collect()],
+                [r.message for r in watchdog.recent_cron(w).collect()],
+                a.rdd.getNumPartitions()))
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", prev)
+    assert res[1][3] > 1
+    assert res[0][:3] == res[1][:3]
+    assert res[0][2][0] == "run 398" and res[0][1][0].endswith('request_id="v-399"')
