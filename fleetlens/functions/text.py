@@ -54,13 +54,6 @@ def strip_request_id(col: str | Column) -> Column:
     return replace_first(col, r' request_id="[^"]*"', "")
 
 
-def leading_number(col: str | Column) -> Column:
-    """awk numeric coercion: the leading number of a string, 0 when there is none."""
-    return F.coalesce(
-        F.regexp_extract(_c(col), r"^\s*([-+]?[0-9]*\.?[0-9]+)", 1).try_cast("double"), F.lit(0.0)
-    )
-
-
 def matches_any(col: str | Column, patterns: Iterable[str], ignore_case: bool = False) -> Column:
     """True when the text matches any of the (Java) regular expressions."""
     pats = list(patterns)

@@ -46,11 +46,6 @@ def last_n_by(df: DataFrame, n: int, by, order: str = "seq", rank_col: str = "_r
     return out.drop(rank_col) if rank_col.startswith("_") else out
 
 
-def last_n(df: DataFrame, n: int, order: str = "seq") -> DataFrame:
-    """The last ``n`` rows overall (``tail -n``): TakeOrderedAndProject, k rows per task."""
-    return df.orderBy(F.col(order).desc()).limit(n)
-
-
 def preview(df: DataFrame, n: int, order: Sequence[str | Column], total_col: str = "total") -> DataFrame:
     """First ``n`` rows plus how many rows exist in all (``head -15`` + ``wc -l``).
 

@@ -55,12 +55,3 @@ def shared_dir(spark: SparkSession, name: str = "") -> str:
     path = os.path.join(base, f"{name or 'run'}-{uuid.uuid4().hex[:12]}")
     return path
 
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Make sure ``DataFrame.checkpoint()`` has a target; returns it."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="fleetlens-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    spark.sparkContext.setCheckpointDir(base)
-    return base

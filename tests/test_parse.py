@@ -1,6 +1,5 @@
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from fleetlens.functions.text import awk_field, cut_field, cut_from, replace_first, strip_request_id
 from fleetlens.sources.parse import normalize_error, parse_access, parse_php_error, parse_watchdog
