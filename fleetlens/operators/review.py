@@ -51,30 +51,54 @@ def state_rank(col: str | Column = "state") -> Column:
     return expr
 
 
-def review_state(requested: DataFrame, reviews: DataFrame, exact: bool = False) -> DataFrame:
+def review_state(requested: DataFrame, reviews: DataFrame, exact: bool | str = "auto") -> DataFrame:
     """Current review state per (repo, number, reviewer).
 
     Requested reviewers start as ``REQUESTED`` (no time).  Reviews are then folded in
-    API order: a review is skipped when it is not newer than the current entry or
-    ranks lower (REQUESTED 0, COMMENTED 1, others 2; unknown states 0).
-
-    Default form: when review times increase with API order (how the API returns
-    them) the fold keeps the latest review of the highest rank, which is
-    ``max_by(entry, (rank, seq))`` - a partial aggregate, so a hot pull request is
-    combined map-side.  ``exact=True`` runs the literal fold (``aggregate`` over the
-    reviewer's reviews sorted by ``seq``) for input without that guarantee; its group
-    is one reviewer on one pull request."""
+    API order (``seq``): a review is skipped when it is not newer than the current
+    entry (a review without a time never is) or ranks lower (REQUESTED 0, COMMENTED 1,
+    others 2; unknown states 0).
+
+    When a reviewer's review times strictly increase in API order - how the API
+    returns them - the fold keeps the latest review of the highest rank, which is
+    ``max_by(entry, (rank, seq))``: a partial aggregate, so even a hot pull request
+    is combined map-side.  ``exact``:
+
+    * ``"auto"`` (default): a chunked previous-row scan finds the reviewer groups
+      whose times are not strictly increasing; only those run the literal fold, all
+      others take the partial aggregate.  Exact for any input.
+    * ``False``: partial aggregate only (trusts the ordering).
+    * ``True``: literal fold for every group (``aggregate`` over the group's reviews
+      sorted by ``seq``; the group is one reviewer on one pull request).
+    """
     keys = KEYS + ["user_id"]
     seeds = requested.select(*keys, "login", F.lit("REQUESTED").alias("state"),
                              F.lit(None).cast("timestamp_ntz").alias("submitted_at"), F.lit(-1).cast("long").alias("seq"))
     revs = reviews.select(*keys, "login", "state", F.col("submitted_at").cast("timestamp_ntz").alias("submitted_at"),
                           F.col("seq").cast("long"))
-    if not exact:
-        allr = seeds.unionByName(revs).withColumn("_rank", state_rank())
-        best = allr.groupBy(*keys).agg(
-            F.max_by(F.struct("login", "state", "submitted_at"), F.struct("_rank", "seq")).alias("_b"))
-        return best.select(*keys, "_b.login", "_b.state", "_b.submitted_at")
+    if exact is True:
+        return _fold_exact(seeds, revs, keys)
+    if exact is False:
+        return _fold_fast(seeds, revs, keys)
+    from .sequence import previous_value
 
+    t = F.col("submitted_at")
+    scanned = previous_value(revs.select(*keys, "seq", "submitted_at"), "submitted_at", "seq", "_prev_t", keys)
+    irregular = (scanned.filter(t.isNull() | (F.col("_prev_t").isNotNull() & (t <= F.col("_prev_t"))))
+                 .select(*keys).distinct())
+    fast = _fold_fast(seeds.join(irregular, keys, "left_anti"), revs.join(irregular, keys, "left_anti"), keys)
+    slow = _fold_exact(seeds.join(irregular, keys, "left_semi"), revs.join(irregular, keys, "left_semi"), keys)
+    return fast.unionByName(slow)
+
+
+def _fold_fast(seeds: DataFrame, revs: DataFrame, keys: list[str]) -> DataFrame:
+    allr = seeds.unionByName(revs).withColumn("_rank", state_rank())
+    best = allr.groupBy(*keys).agg(
+        F.max_by(F.struct("login", "state", "submitted_at"), F.struct("_rank", "seq")).alias("_b"))
+    return best.select(*keys, "_b.login", "_b.state", "_b.submitted_at")
+
+
+def _fold_exact(seeds: DataFrame, revs: DataFrame, keys: list[str]) -> DataFrame:
     entry = F.struct(F.col("seq"), state_rank().alias("rank"), "submitted_at", "state", "login")
     folded = (revs.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("_rs"))
               .join(seeds.select(*keys, F.struct(F.lit(True).alias("present"), F.lit(0).alias("rank"),
@@ -92,8 +116,8 @@ def review_state(requested: DataFrame, reviews: DataFrame, exact: bool = False)
         return F.when(skip, acc).otherwise(new)
 
     init = F.coalesce(F.col("_seed"), empty)
-    res = folded.select(*keys, F.aggregate(F.coalesce(F.col("_rs"), F.array().cast(
-        "array<struct<seq:bigint,rank:int,submitted_at:timestamp_ntz,state:string,login:string>>")), init, step).alias("_f"))
+    arr_type = "array<struct<seq:bigint,rank:int,submitted_at:timestamp_ntz,state:string,login:string>>"
+    res = folded.select(*keys, F.aggregate(F.coalesce(F.col("_rs"), F.array().cast(arr_type)), init, step).alias("_f"))
     return res.select(*keys, "_f.login", "_f.state", "_f.submitted_at")
 
 
@@ -122,7 +146,7 @@ def reviewer_summary(prs: DataFrame, states: DataFrame) -> DataFrame:
 
 
 def review_queue(issues: DataFrame, requested: DataFrame, reviews: DataFrame, since: str | None = None,
-                 me: str | None = None, min_approvals: int | None = MIN_APPROVALS, exact: bool = False) -> DataFrame:
+                 me: str | None = None, min_approvals: int | None = MIN_APPROVALS, exact: bool | str = "auto") -> DataFrame:
     """Open pull requests still needing review, with labels and reviewer states."""
     prs = recent(pull_requests(issues), since)
     # Fold first, then keep the selected pull requests: filtering both fold inputs

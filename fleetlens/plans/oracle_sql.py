@@ -471,6 +471,7 @@ SELECT name, path, is_enabled FROM c WHERE name IN (SELECT name FROM c WHERE is_
     "recent": _q("SELECT repo, number, title, html_url FROM prs WHERE updated_at >= TIMESTAMP '2000-01-01'", REVIEW),
     "review_state": _q("SELECT * FROM states", REVIEW),
     "review_state_exact": _q("SELECT * FROM states", REVIEW),
+    "review_state_fast": _q("SELECT * FROM states", REVIEW),
     "not_approved_by": _q("""
 SELECT repo, number, title, html_url FROM prs WHERE (repo, number) NOT IN (SELECT (repo, number) FROM mine)""", REVIEW),
     "below_min_approvals": _q("""

@@ -448,6 +448,11 @@ def _review_state_exact(spark, sf_dir):
     return review.review_state(fx.requested_reviewers(spark, sf_dir), fx.reviews(spark, sf_dir), exact=True)
 
 
+@register("review_state_fast")
+def _review_state_fast(spark, sf_dir):
+    return review.review_state(fx.requested_reviewers(spark, sf_dir), fx.reviews(spark, sf_dir), exact=False)
+
+
 def _states(spark, sf_dir):
     return review.review_state(fx.requested_reviewers(spark, sf_dir), fx.reviews(spark, sf_dir))
 
