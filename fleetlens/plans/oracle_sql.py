@@ -516,3 +516,9 @@ c AS (SELECT 'web-' || CAST(s_suppkey AS VARCHAR) AS server, s_suppkey % 20 + 1
         CAST(round(abs(s_acctbal) / 2.5) AS BIGINT) AS free_mem
       FROM supplier LEFT JOIN r ON l_suppkey = s_suppkey)
 SELECT *, running >= max_procs AS flag_at_max, free_mem / total_mem < 0.2 AS flag_low_mem FROM c"""
+
+ORACLES["newest_files"] = _q("""
+SELECT whead AS head, wmsg AS message, strftime(ts, '%m-%d') = '01-15' AS flag_today,
+  wmsg = 'dblog module enabled.' AS flag_costly
+FROM wd WHERE event_type = 'signup' AND k % 10 IN (0, 5)
+  AND CAST(ts AS DATE) > (SELECT max(CAST(ts AS DATE)) FROM events) - INTERVAL 5 DAY""", WATCHDOG)

@@ -221,6 +221,43 @@ def _module_changes(spark, sf_dir):
     return watchdog.module_changes(watchdog_log(spark, sf_dir), EVENTS_TODAY)
 
 
+@register("newest_files")
+def _newest_files(spark, sf_dir):
+    """OP-03 with OP-26: the watchdog log kept as rotated files, one gzip file per day
+    (modification time = end of its day, set through the file system like ``touch``);
+    the 5 newest files are read and scanned for module enable/disable lines."""
+    out = shared_dir(spark, "rotated")
+    lines = fx.watchdog_lines(spark, sf_dir, "pipe").join(
+        fx.events(spark, sf_dir).select(F.col("event_id").alias("seq"), F.to_date("ts").alias("day")), "seq")
+    # one file per day, as log rotation writes them (a day is one task's input)
+    (lines.repartition("day").sortWithinPartitions("seq").select("day", "value")
+     .write.partitionBy("day").option("compression", "gzip").text(out))
+    fs_touch_days(spark, out)
+    paths = src_lines.newest_files(spark, out + "/day=*/*.txt.gz", 5)
+    df = src_lines.read_lines(spark, paths)
+    return watchdog.module_changes(parse_watchdog(df), EVENTS_TODAY).select("head", "message", "flag_today",
+                                                                          "flag_costly")
+
+
+def fs_touch_days(spark, root: str) -> None:
+    """Set each ``day=YYYY-MM-DD`` file's modification time to the end of that day
+    (metadata only; one call per file, the number of files is the number of days)."""
+    import datetime as dt
+
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    base = jvm.org.apache.hadoop.fs.Path(root)
+    fs = base.getFileSystem(conf)
+    for st in fs.listStatus(base):
+        name = st.getPath().getName()
+        if not name.startswith("day="):
+            continue
+        day = dt.datetime.strptime(name[4:], "%Y-%m-%d").replace(tzinfo=dt.timezone.utc)
+        mtime = int((day + dt.timedelta(days=1)).timestamp() * 1000) - 1
+        for f in fs.listStatus(st.getPath()):
+            fs.setTimes(f.getPath(), mtime, -1)
+
+
 # ------------------------------------------------------------------ fleet logs
 
 @register("mail_per_day")
