@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import awk_field, matches_any
 from .common import top_k_per_group
-from .sequence import forward_fill, previous_value, running_any, running_count
+from .sequence import forward_fill, previous_value
 
 # Fixed values from the checks.
 UNCACHED_BAD = 0.075
@@ -115,30 +115,45 @@ def resolve_sections(lines: DataFrame, labels: DataFrame, file: str = "file") ->
 
 def passive_or_active(df: DataFrame, file: str = "file") -> DataFrame:
     """Database to read from, per listing: the host row right after an ``active-db``
-    row (the last such when several), else the active host itself."""
+    row (the last such when several), else the active host itself.
+
+    "Right after" is the successor among host rows, and successors grow with their
+    row, so the last assignment is the successor of the last active row that has
+    one (any active row before the listing's last host row).  That is three per-file
+    aggregates (max / min by ``seq``) - no sort of the listing."""
     v = F.col("value")
     hosts = df.filter(v.rlike("^[a-z]+-[0-9]+")).select(file, "seq", awk_field(v, 1).alias("host"),
                                                        awk_field(v, 2).alias("role"))
-    hosts = previous_value(hosts, "role", "seq", "prev_role", partition_by=file)
-    after_active = F.col("prev_role") == "active-db"
     is_active = F.col("role") == "active-db"
-    agg = hosts.groupBy(file).agg(
-        F.max_by(F.when(after_active, F.col("host")), F.when(after_active, F.col("seq"))).alias("passive"),
-        F.max_by(F.when(is_active, F.col("host")), F.when(is_active, F.col("seq"))).alias("active"))
-    return agg.withColumn("chosen", F.coalesce("passive", "active"))
+    ends = hosts.groupBy(file).agg(F.max("seq").alias("_last"),
+                                   F.max_by(F.when(is_active, F.col("host")), F.when(is_active, F.col("seq")))
+                                   .alias("active"))
+    with_end = hosts.join(ends, file)
+    anchor = (with_end.filter(is_active & (F.col("seq") < F.col("_last")))
+              .groupBy(file).agg(F.max("seq").alias("_anchor")))
+    passive = (hosts.join(anchor, file).filter(F.col("seq") > F.col("_anchor"))
+               .groupBy(file).agg(F.min_by("host", "seq").alias("passive")))
+    return (ends.join(passive, file, "left").select(file, "passive", "active")
+            .withColumn("chosen", F.coalesce("passive", "active")))
 
 
 def select_hosts(df: DataFrame, include_marked: bool = False, file: str = "file") -> DataFrame:
     """Web servers of an application listing: web-like rows, out-of-rotation rows
     dropped unless ``include_marked``; once a ``web-`` row was seen, the first later
-    ``ded-`` row switches the output off for the rest of the listing."""
+    ``ded-`` row switches the output off for the rest of the listing.
+
+    The switch-off point is the first ``ded-`` row at or after the first ``web-`` row,
+    so the output is every row before it: two per-file minima (partial aggregates)
+    and a filter, with no sort of the listing."""
     v = F.col("value")
     rows = df.filter(v.rlike(WEB_LIKE))
     if not include_marked:
         rows = rows.filter(~v.rlike(OUT_OF_ROTATION))
-    rows = running_any(rows, v.contains("web-"), "seq", "_seen_web", partition_by=file)
-    rows = running_any(rows, v.contains("ded-") & F.col("_seen_web"), "seq", "_off", partition_by=file)
-    return rows.filter(~F.col("_off")).select(file, "seq", awk_field(v, 1).alias("host"))
+    first_web = rows.filter(v.contains("web-")).groupBy(file).agg(F.min("seq").alias("_web"))
+    off_at = (rows.join(first_web, file).filter(v.contains("ded-") & (F.col("seq") >= F.col("_web")))
+              .groupBy(file).agg(F.min("seq").alias("_off")))
+    return (rows.join(off_at, file, "left").filter(F.col("_off").isNull() | (F.col("seq") < F.col("_off")))
+            .select(file, "seq", awk_field(v, 1).alias("host")))
 
 
 def active_balancers(df: DataFrame) -> DataFrame:
@@ -175,15 +190,20 @@ def update_status(df: DataFrame, col: str = "status_msg") -> DataFrame:
 def cache_audit(lines: DataFrame, head: int = 10, file: str = "file") -> DataFrame:
     """Cache audit: the first ``head`` lines pass through; every ``Enabled`` line is
     shown, highlighted when a problem line occurred since the previous ``Enabled``
-    line (itself included).  The block of a line = number of earlier ``Enabled``
-    lines (chunked running count); a block's highlight = any problem in it."""
+    line (itself included).
+
+    Only problem and ``Enabled`` lines matter: keep just those, and an ``Enabled``
+    line is highlighted iff it is a problem itself or the line before it (in that
+    subset) is a problem that is not an ``Enabled`` line.  One previous-row scan
+    (chunked) over the subset replaces a running count over every line."""
     v = F.col("value")
-    is_enabled = v.contains("Enabled")
-    rows = lines.withColumn("_problem", v.rlike(CACHE_PROBLEM))
-    rows = running_count(rows, is_enabled, "seq", "_block", partition_by=file, inclusive=False)
-    blocks = rows.groupBy(file, "_block").agg(F.max("_problem").alias("highlight"))
-    enabled = (rows.filter(is_enabled).join(blocks, [file, "_block"])
-               .select(file, "seq", "value", F.lit("enabled").alias("kind"), "highlight"))
+    marked = (lines.withColumn("_enabled", v.contains("Enabled")).withColumn("_problem", v.rlike(CACHE_PROBLEM))
+              .filter(F.col("_enabled") | F.col("_problem")))
+    marked = previous_value(marked, "_enabled", "seq", "_prev_enabled", partition_by=file)
+    enabled = (marked.filter("_enabled")
+               .select(file, "seq", "value", F.lit("enabled").alias("kind"),
+                       (F.col("_problem") | (F.col("_prev_enabled").isNotNull() & ~F.col("_prev_enabled")))
+                       .alias("highlight")))
     first = (top_k_per_group(lines, file, [F.col("seq")], head, "_rn")
              .select(file, "seq", "value", F.lit("head").alias("kind"), F.lit(False).alias("highlight")))
     return first.unionByName(enabled)
