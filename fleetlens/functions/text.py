@@ -14,12 +14,20 @@ def _c(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def awk_field(col: str | Column, n: int) -> Column:
-    """awk ``$n`` with the default separator: runs of blanks, leading blanks ignored.
+def awk_field(col: str | Column, n: int, limit: int = 10) -> Column:
+    """awk ``$n`` with the default separator: runs of blanks and tabs, leading and
+    trailing ones ignored.
 
     Missing fields are NULL (awk prints an empty string; NULL keeps "absent"
-    distinguishable from "empty")."""
-    return F.get(F.split(F.trim(_c(col)), r"\s+"), n - 1)
+    distinguishable from "empty").  The split stops after ``limit`` fields (the
+    rest stays in the last one), so long tails are not cut up; the same ``limit``
+    for every field of a line lets Catalyst share one split."""
+    if n >= limit:
+        limit = n + 1
+    t = F.trim(_c(col), F.lit(" \t"))
+    # no conditional around the split: Catalyst only shares subexpressions that are
+    # always evaluated, and after trimming the only empty field is a blank line's
+    return F.nullif(F.get(F.split(t, r"[ \t]+", limit), n - 1), F.lit(""))
 
 
 def cut_field(col: str | Column, delim: str, n: int) -> Column:
