@@ -346,7 +346,7 @@ def realm_labels(spark) -> DataFrame:
     return spark.createDataFrame(sorted(REALM_CODES.items()), "label string, code string")
 
 
-def db_listing(spark, sf_dir) -> DataFrame:
+def _render_db_listing(spark, sf_dir) -> DataFrame:
     """Per nation one listing of database hosts; every 10th supplier is the active one."""
     s = table(spark, sf_dir, "supplier")
     sk = F.col("s_suppkey")
@@ -360,7 +360,7 @@ def db_listing(spark, sf_dir) -> DataFrame:
 HOST_PREFIXES = ["srv", "web", "ded", "staging", "managed", "bal", "db"]
 
 
-def host_listing(spark, sf_dir) -> DataFrame:
+def _render_host_listing(spark, sf_dir) -> DataFrame:
     """Application server listing: ``<prefix>-<suppkey> <state> <n>``, out-of-rotation rows marked ``*``."""
     s = table(spark, sf_dir, "supplier")
     sk = F.col("s_suppkey")
@@ -673,3 +673,11 @@ def syslog_lines(spark: SparkSession, sf_dir: str, name: str = "syslog") -> Data
 
 def watchdog_lines(spark: SparkSession, sf_dir: str, layout: str = "pipe") -> DataFrame:
     return stored(spark, sf_dir, f"watchdog_lines-{layout}", lambda: _render_watchdog_lines(spark, sf_dir, layout))
+
+
+def host_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "host_listing", lambda: _render_host_listing(spark, sf_dir))
+
+
+def db_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "db_listing", lambda: _render_db_listing(spark, sf_dir))
