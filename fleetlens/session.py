@@ -34,6 +34,40 @@ def get_session(master: str | None = None, app: str = "fleetlens", shuffle_parti
     return spark
 
 
+def cluster_conf(input_bytes: int, cores: int) -> dict[str, str]:
+    """Settings for a large cluster, derived from the input size and core count.
+
+    * Scan splits of 256 MiB: few enough tasks for 100 TB (~400k), small enough to
+      stream through one core's memory.  gzip files are one split each regardless.
+    * Initial shuffle partitions sized for ~256 MiB of map output each when no
+      aggregation shrinks the data (AQE coalesces down when it does), at least 4x
+      the cores; capped at 50k so map-status bookkeeping (maps x reducers) stays small.
+    * AQE skew join splits partitions 4x over the median and over 512 MiB.
+    * Broadcast threshold 64 MiB: per-file layout flags, per-chunk summaries and
+      per-listing aggregates stay broadcast at fleet scale (measured at run time).
+    """
+    parts = max(4 * cores, min(50_000, input_bytes // (256 << 20)))
+    return {
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 << 20),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.files.maxPartitionBytes": str(256 << 20),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.unionOutputPartitioning": "false",
+    }
+
+
+def apply_conf(spark: SparkSession, conf: dict[str, str]) -> None:
+    """Apply runtime SQL settings (all of ``cluster_conf`` are runtime settings)."""
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+
+
 def ensure_utc(spark: SparkSession) -> None:
     """Log timestamps carry +0000; render and bucket them in UTC."""
     if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":

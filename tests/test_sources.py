@@ -157,3 +157,19 @@ def test_access_reports_are_split_invariant(spark, tmp_path):
     assert res[1][3] > 1
     assert res[0][:3] == res[1][:3]
     assert res[0][2][0] == "run 398" and res[0][1][0].endswith('request_id="v-399"')
+
+
+def test_cluster_conf_applies(spark):
+    from fleetlens.session import apply_conf, cluster_conf
+    conf = cluster_conf(100 * 10**12, 8000)
+    assert conf["spark.sql.shuffle.partitions"] == "50000"
+    saved = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        apply_conf(spark, conf)
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == str(256 << 20)
+    finally:
+        for k, v in saved.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
