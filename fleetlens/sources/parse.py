@@ -44,14 +44,14 @@ def parse_access(df: DataFrame, col: str = "value") -> DataFrame:
 WATCHDOG_FIELDS = ["head", "epoch", "type", "ip", "uri", "referer", "uid", "link", "message"]
 
 
-def _semicolon_to_pipe(v: Column) -> Column:
-    """Rewrite a ``; ``-separated watchdog line to the ``|`` layout.
+def _semicolon_to_pipe(parts: Column) -> Column:
+    """Rewrite a ``; ``-separated watchdog line (already split on ``; ``) to the ``|``
+    layout.
 
     ``; `` layout: ``<time host site>: <message>; siteurl; epoch; type; ip; uri; link; uid``.
     Field 1 keeps its first three ``:`` pieces (the time has two colons) as the head;
     the message is everything after the third ``:`` (the whole message, not only up
     to its next colon)."""
-    parts = F.split(v, "; ")
     f1 = F.get(parts, 0)
     head = F.regexp_extract(f1, r"^([^:]*:[^:]*:[^:]*):", 1)
     msg = F.substring(F.regexp_extract(f1, r"^[^:]*:[^:]*:[^:]*:(.*)$", 1), 2, 1 << 30)
@@ -78,9 +78,12 @@ def parse_watchdog(df: DataFrame, col: str = "value", file_col: str = "file", or
     back (AQE broadcasts it once its size is known)."""
     layout = detect_watchdog_layout(df, col, file_col, order)
     v = F.col(col)
-    with_layout = df.join(layout, on=file_col, how="left")
-    line = F.when(F.col("semicolon_layout"), _semicolon_to_pipe(v)).otherwise(v)
-    out = with_layout.withColumn("line", line).drop("semicolon_layout")
+    # the ``; `` split is its own column so the rewrite reads it once (expressions
+    # inside a conditional branch are not shared by Catalyst)
+    with_layout = (df.join(layout, on=file_col, how="left")
+                   .withColumn("_semi", F.when(F.col("semicolon_layout"), F.split(v, "; "))))
+    line = F.when(F.col("_semi").isNotNull(), _semicolon_to_pipe(F.col("_semi"))).otherwise(v)
+    out = with_layout.withColumn("line", line).drop("semicolon_layout", "_semi")
     parts = F.split(F.col("line"), r"\|")
     return out.select("*", *[F.get(parts, i).alias(name) for i, name in enumerate(WATCHDOG_FIELDS)])
 
