@@ -75,3 +75,60 @@ def test_reports_match_python(spark, seed, n):
         assert got == py_hourly(vals, site)
     assert [(r.path, r.n) for r in traffic.top_error_paths(acc).collect()] == py_error_paths(vals)
     assert {r.user_agent: r.n for r in traffic.paged_hits_by_agent(acc, k=10).collect()} == py_paged(vals)
+
+
+TYPES = ["php", "cron", "page not found", "user", "a|b"]
+MSGS = ["m1", "m2 error", "Exception x", "m1"]
+
+
+def make_watchdog(seed, n):
+    rnd = random.Random(seed)
+    out = []
+    for i in range(n):
+        if rnd.random() < 0.05:
+            out.append("garbage line without separators")
+            continue
+        out.append(f"Jan 05 10:00:{i % 60:02d} h s: http://s|{i}|{rnd.choice(TYPES)}|ip|/p{rnd.randint(0, 3)}||1||"
+                   f'{rnd.choice(MSGS)} request_id="v-{i}"')
+    return out
+
+
+def py_top_types(lines, k=5):
+    c = Counter((ln.split("|")[2] if "|" in ln else ln) for ln in lines)
+    return sorted(c.items(), key=lambda kv: (-kv[1], [-ord(ch) for ch in kv[0]]))[:k]
+
+
+def py_top_messages(lines, n_types=2, k=5):
+    types = [t for t, _ in py_top_types(lines)][:n_types]
+    out = {}
+    for t in types:
+        c = Counter()
+        for ln in lines:
+            f = ln.split("|")
+            t_ln = f[2] if "|" in ln else ln
+            if t_ln == t:
+                msg = f[8] if len(f) > 8 else None
+                if msg is not None:
+                    msg = re.sub(r' request_id="[^"]*"', "", msg, count=1)
+                c[msg] += 1
+        ranked = sorted(c.items(), key=lambda kv: (-kv[1], [-ord(ch) for ch in (kv[0] or "")]))[:k]
+        out[t] = ranked
+    return out
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 120))
+def test_watchdog_reports_match_python(spark, seed, n):
+    from fleetlens.operators import watchdog
+    from fleetlens.sources.parse import parse_watchdog
+
+    vals = make_watchdog(seed, n)
+    df = parse_watchdog(spark.createDataFrame([("w", i, v) for i, v in enumerate(vals)],
+                                              "file string, seq long, value string"))
+    assert [(r.type, r.n) for r in watchdog.top_types(df).collect()] == py_top_types(vals)
+    got = defaultdict(list)
+    for r in watchdog.top_messages_per_type(df).orderBy("type", "rank").collect():
+        got[r.type].append((r.message, r.n))
+    exp = py_top_messages(vals)
+    assert {t: v for t, v in exp.items() if all(m is not None for m, _ in v)} == \
+        {t: v for t, v in got.items() if t in exp and all(m is not None for m, _ in exp[t])}
