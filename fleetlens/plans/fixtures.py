@@ -577,7 +577,7 @@ ISSUE_SCHEMA = T.StructType([
 ])
 
 
-def issues(spark, sf_dir) -> DataFrame:
+def _render_issues(spark, sf_dir) -> DataFrame:
     """Open issues and pull requests: one per order; every 5th order is a plain issue."""
     o = table(spark, sf_dir, "orders")
     ok = F.col("o_orderkey")
@@ -594,7 +594,7 @@ def issues(spark, sf_dir) -> DataFrame:
                     labels.alias("labels"), pr.alias("pull_request"))
 
 
-def requested_reviewers(spark, sf_dir) -> DataFrame:
+def _render_requested_reviewers(spark, sf_dir) -> DataFrame:
     o = table(spark, sf_dir, "orders").filter(F.col("o_orderkey") % 5 != 0)
     ok = F.col("o_orderkey")
     uid = (ok * 3) % 50
@@ -606,7 +606,7 @@ REVIEW_STATES = {"click": "COMMENTED", "purchase": "APPROVED", "error": "CHANGES
                  "signup": "DISMISSED"}
 
 
-def reviews(spark, sf_dir) -> DataFrame:
+def _render_reviews(spark, sf_dir) -> DataFrame:
     ev = events(spark, sf_dir)
     number = K() * 4 + UID() % 4
     state = F.lit(None).cast("string")
@@ -618,7 +618,7 @@ def reviews(spark, sf_dir) -> DataFrame:
                      F.col("ts").alias("submitted_at"))
 
 
-def commits(spark, sf_dir) -> DataFrame:
+def _render_commits(spark, sf_dir) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return o.select(_repo(F.col("o_orderkey")).alias("repo"), F.col("o_orderdate").alias("committed_at"))
 
@@ -681,3 +681,19 @@ def host_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def db_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "db_listing", lambda: _render_db_listing(spark, sf_dir))
+
+
+def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "issues", lambda: _render_issues(spark, sf_dir))
+
+
+def requested_reviewers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "requested_reviewers", lambda: _render_requested_reviewers(spark, sf_dir))
+
+
+def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "reviews", lambda: _render_reviews(spark, sf_dir))
+
+
+def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "commits", lambda: _render_commits(spark, sf_dir))
