@@ -270,7 +270,7 @@ def log_hosts(spark, sf_dir) -> DataFrame:
 HOST_ROLES = ["web", "db", "bal", "ded"]
 
 
-def hosts(spark, sf_dir) -> DataFrame:
+def _render_hosts(spark, sf_dir) -> DataFrame:
     """One row per supplier; ``folders`` = distinct parts it ships in lineitem."""
     s = table(spark, sf_dir, "supplier")
     li = table(spark, sf_dir, "lineitem")
@@ -283,7 +283,7 @@ def hosts(spark, sf_dir) -> DataFrame:
                     F.col("s_suppkey").alias("seq")))
 
 
-def server_capacity(spark, sf_dir) -> DataFrame:
+def _render_server_capacity(spark, sf_dir) -> DataFrame:
     """One row per supplier server: pool limit, running processes (its lineitems of
     open orders, mod 25), memory."""
     s = table(spark, sf_dir, "supplier")
@@ -302,7 +302,7 @@ def host_versions(spark, sf_dir) -> DataFrame:
     return hosts(spark, sf_dir).select("host", F.concat(F.lit("1."), _s(F.col("folders") % 3)).alias("version"))
 
 
-def stats_rows(spark, sf_dir) -> DataFrame:
+def _render_stats_rows(spark, sf_dir) -> DataFrame:
     ev = events(spark, sf_dir)
     return (ev.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"),
                        F.concat(F.lit("site"), _s(UID() % 3)).alias("site"))
@@ -390,7 +390,7 @@ def header_traces(spark, sf_dir) -> DataFrame:
                     F.when(pid % 13 == 0, 28).otherwise(0).alias("exit"), hdrs.alias("headers"))
 
 
-def storage_tables(spark, sf_dir) -> DataFrame:
+def _render_storage_tables(spark, sf_dir) -> DataFrame:
     """Table catalog: one table per (return flag, supplier); sizes in integer bytes."""
     li = table(spark, sf_dir, "lineitem")
     rf = F.col("l_returnflag")
@@ -697,3 +697,19 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "commits", lambda: _render_commits(spark, sf_dir))
+
+
+def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "hosts", lambda: _render_hosts(spark, sf_dir))
+
+
+def storage_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "storage_tables", lambda: _render_storage_tables(spark, sf_dir))
+
+
+def server_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "server_capacity", lambda: _render_server_capacity(spark, sf_dir))
+
+
+def stats_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "stats_rows", lambda: _render_stats_rows(spark, sf_dir))
