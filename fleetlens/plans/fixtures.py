@@ -231,7 +231,7 @@ def _render_webserver_error_lines(spark, sf_dir) -> DataFrame:
 SOCKET_PORTS = [3306, 11211, 443, 80, 8080]
 
 
-def sockets(spark, sf_dir) -> DataFrame:
+def _render_sockets(spark, sf_dir) -> DataFrame:
     ev = events(spark, sf_dir)
     port = F.element_at(F.array(*[F.lit(p) for p in SOCKET_PORTS]), (K() % 5 + 1).cast("int"))
     return ev.select(HOST().alias("host"), EID().alias("seq"),
@@ -410,7 +410,7 @@ def variables(spark, sf_dir) -> DataFrame:
                     F.col("text").alias("value"))
 
 
-def sessions(spark, sf_dir) -> DataFrame:
+def _render_sessions(spark, sf_dir) -> DataFrame:
     ev = events(spark, sf_dir)
     sess = F.concat(F.lit("uid|"), _s(EID()), F.lit("|"), F.col("event_type"), F.lit("|"), F.col("props"),
                     F.lit("|"), F.repeat(F.lit("ab"), 40))
@@ -713,3 +713,11 @@ def server_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stats_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "stats_rows", lambda: _render_stats_rows(spark, sf_dir))
+
+
+def sockets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "sockets", lambda: _render_sockets(spark, sf_dir))
+
+
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "sessions", lambda: _render_sessions(spark, sf_dir))
