@@ -31,7 +31,12 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
         from ..session import shared_dir
 
         path = shared_dir(spark, f"logs-{name}")
-        build().write.parquet(path)
+        df = build()
+        # several files in line order (contiguous seq ranges), as logs arrive,
+        # so scans of the stored copy use every core
+        n = max(1, spark.sparkContext.defaultParallelism)
+        df = df.repartitionByRange(n, "seq") if "seq" in df.columns else df.repartition(n)
+        df.write.parquet(path)
         _STORED[key] = path
     return spark.read.parquet(path)
 
