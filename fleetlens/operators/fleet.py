@@ -5,12 +5,13 @@ catalog-like tables.  Order-dependent checks use the chunked scans of ``sequence
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import awk_field, matches_any
+from ..functions.text import awk_field, flag_keywords, matches_any
 from .common import top_k_per_group
 from .sequence import forward_fill, previous_value
 
@@ -181,10 +182,8 @@ def count_over(names: DataFrame, limit: int = MODULE_LIMIT) -> DataFrame:
 
 def update_status(df: DataFrame, col: str = "status_msg") -> DataFrame:
     """Pending updates with security and unsupported-version rows flagged."""
-    out = df
-    for name, text in UPDATE_ALERTS.items():
-        out = out.withColumn(f"flag_{name}", F.col(col).contains(text))
-    return out
+    return flag_keywords(df, col, {name: [re.escape(text)] for name, text in UPDATE_ALERTS.items()},
+                         ignore_case=False)
 
 
 def cache_audit(lines: DataFrame, head: int = 10, file: str = "file") -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_any, matches_any
+from ..functions.text import contains_any, flag_keywords, matches_any
 from .common import last_n_by, top_k_per_group
 
 # Fixed values from the checks.
@@ -111,7 +111,7 @@ def downtime_events(df: DataFrame, today: str, body: str = "html", key: str = "p
 def flag_tasks(df: DataFrame, now: str, keywords: Sequence[str] = TASK_KEYWORDS) -> DataFrame:
     """Task history with flags: risky keywords (case-insensitive) and today's rows."""
     day = F.date_format(F.lit(now).cast("timestamp_ntz"), "yyyy-MM-dd")
-    return (df.withColumn("flag_keyword", matches_any("value", keywords, ignore_case=True))
+    return (flag_keywords(df, "value", {"keyword": keywords}, ignore_case=True)
             .withColumn("flag_today", F.col("value").contains(day)))
 
 
