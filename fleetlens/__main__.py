@@ -1,7 +1,7 @@
 """Command line: ``python -m fleetlens <report> ...`` writes each report as parquet.
 
-  access-report   LOG_DIR SITE OUT [--recent N]
-  watchdog-report LOG_PATH TODAY OUT
+  access-report   LOG_DIR SITE OUT [--recent N] [--master URL]
+  watchdog-report LOG_PATH TODAY OUT [--master URL]
 """
 
 from __future__ import annotations
@@ -13,18 +13,19 @@ from .session import get_session
 
 
 def main(argv: list[str] | None = None) -> int:
+    common = argparse.ArgumentParser(add_help=False)
+    common.add_argument("--master", default=None, help="Spark master (default: from the environment)")
     ap = argparse.ArgumentParser(prog="fleetlens")
     sub = ap.add_subparsers(dest="cmd", required=True)
-    a = sub.add_parser("access-report", help="access and PHP error log reports of one site")
+    a = sub.add_parser("access-report", parents=[common], help="access and PHP error log reports of one site")
     a.add_argument("log_dir")
     a.add_argument("site")
     a.add_argument("out")
     a.add_argument("--recent", type=int, default=None, help="last N lines of files over 5 MiB")
-    w = sub.add_parser("watchdog-report", help="application log reports")
+    w = sub.add_parser("watchdog-report", parents=[common], help="application log reports")
     w.add_argument("path")
     w.add_argument("today", help="yyyy-MM-dd")
     w.add_argument("out")
-    ap.add_argument("--master", default=None)
     args = ap.parse_args(argv)
     spark = get_session(args.master)
     if args.cmd == "access-report":

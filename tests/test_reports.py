@@ -36,6 +36,6 @@ def test_cli_watchdog(spark, tmp_path):
     p = tmp_path / "drupal-watchdog.log"
     _w(p, ["Jan 05 10:00:00 h s: http://s|1|cron|ip|/c||1||run 1",
            'Jan 05 10:00:00 h s: http://s|1|user|ip|/u||1||dblog module enabled. request_id="v-1"'])
-    assert main(["watchdog-report", str(p), "2024-01-05", str(tmp_path / "out")]) == 0
+    assert main(["watchdog-report", str(p), "2024-01-05", str(tmp_path / "out"), "--master", "local[2]"]) == 0
     assert spark.read.parquet(str(tmp_path / "out" / "module_changes")).first().flag_costly
     assert os.path.isdir(tmp_path / "out" / "top_types")
