@@ -132,3 +132,51 @@ def test_watchdog_reports_match_python(spark, seed, n):
     exp = py_top_messages(vals)
     assert {t: v for t, v in exp.items() if all(m is not None for m, _ in v)} == \
         {t: v for t, v in got.items() if t in exp and all(m is not None for m, _ in exp[t])}
+
+
+def awk_select_hosts(lines, include_marked):
+    """The listing filter as the shell wrote it: egrep web-like, (egrep -v marked), awk show flag."""
+    out, show, foundweb = [], True, False
+    for i, ln in enumerate(lines):
+        if not re.search("srv-|web-|ded-|staging-|managed-", ln):
+            continue
+        if not include_marked and re.search(r" (\*|†)", ln):
+            continue
+        if "web-" in ln:
+            foundweb = True
+        if "ded-" in ln and foundweb:
+            show = False
+        if show:
+            out.append((i, ln.split()[0]))
+    return out
+
+
+def awk_passive_or_active(lines):
+    passive = active = None
+    flag = False
+    for ln in lines:
+        f = ln.split()
+        if f and re.match(r"^[a-z]+-[0-9]+", f[0]):
+            if flag:
+                passive, flag = f[0], False
+            if len(f) > 1 and f[1] == "active-db":
+                active, flag = f[0], True
+    return passive or active
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["srv", "web", "ded", "bal", "db", "staging"]),
+                          st.sampled_from(["up", "active-db", "db"]), st.booleans()), min_size=1, max_size=25))
+def test_listing_checks_match_awk(spark, rows):
+    from fleetlens.operators import fleet
+
+    lines = [f" {p}-{i} {state} 1{' *' if marked else ''}" for i, (p, state, marked) in enumerate(rows)]
+    df = spark.createDataFrame([("l", i, v) for i, v in enumerate(lines)], "file string, seq long, value string")
+    for marked in (False, True):
+        got = [(r.seq, r.host) for r in fleet.select_hosts(df, include_marked=marked).orderBy("seq").collect()]
+        assert got == awk_select_hosts(lines, marked)
+    plain = [ln.strip() for ln in lines]
+    df2 = spark.createDataFrame([("l", i, v) for i, v in enumerate(plain)], "file string, seq long, value string")
+    r = fleet.passive_or_active(df2).collect()
+    exp = awk_passive_or_active(plain)
+    assert (r[0].chosen if r else None) == exp
