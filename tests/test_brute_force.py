@@ -180,3 +180,62 @@ def test_listing_checks_match_awk(spark, rows):
     r = fleet.passive_or_active(df2).collect()
     exp = awk_passive_or_active(plain)
     assert (r[0].chosen if r else None) == exp
+
+
+CACHE_LINES = ["page_cache_maximum_age  0", "block  cache  0", "Enabled  none", "Enabled  yes", "DRUPAL_NO_CACHE  x",
+               "Disabled  foo", "other"]
+
+
+def awk_cache_audit(lines, head=10):
+    out, highlight = [], False
+    for i, ln in enumerate(lines):
+        if re.search(r"page_cache_maximum_age  *0| cache  *0|Enabled  *($|none)|DRUPAL_NO_CACHE", ln):
+            highlight = True
+        if i < head:
+            out.append((i, "head", False))
+        if "Enabled" in ln:
+            out.append((i, "enabled", highlight))
+            highlight = False
+    return sorted(out)
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.sampled_from(CACHE_LINES), min_size=1, max_size=40))
+def test_cache_audit_matches_awk(spark, lines):
+    from fleetlens.operators import fleet
+
+    df = spark.createDataFrame([("c", i, v) for i, v in enumerate(lines)], "file string, seq long, value string")
+    got = sorted((r.seq, r.kind, r.highlight) for r in fleet.cache_audit(df).collect())
+    assert got == awk_cache_audit(lines)
+
+
+def awk_process_capacity(lines, user):
+    """Running processes of ``user`` per section (sections named alike merge)."""
+    out, server = {}, None
+    rows = [ln for ln in lines if "defunct" not in ln]
+    sections = defaultdict(list)
+    for ln in rows:
+        if "[" in ln:
+            server = ln[1:-1]
+            sections.setdefault(server, [])
+            continue
+        if server is not None:
+            sections[server].append(ln)
+    for srv, body in sections.items():
+        user_running = sum(1 for ln in body if ln.split()[:1] == [user] and len(ln.split()) > 1
+                           and int(re.match(r"-?[0-9]*", ln.split()[1]).group() or 0) > 0)
+        out[srv] = user_running
+    return out
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.one_of(st.just("[srv-a]"), st.just("[srv-b]"), st.sampled_from(["u1 2 x", "u1 0 x", "u2 3 x",
+                                                                                     "5 procs running", "x 1 defunct"])),
+                min_size=1, max_size=40))
+def test_process_capacity_sections_match(spark, lines):
+    from fleetlens.operators import fleet
+
+    df = spark.createDataFrame([("p", i, v) for i, v in enumerate(lines)], "file string, seq long, value string")
+    got = {r.server: r.user_running for r in fleet.process_capacity(df, "u1").collect()}
+    # sections with the same name merge, as grouping by server does
+    assert got == awk_process_capacity(lines, "u1")
