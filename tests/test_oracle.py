@@ -51,3 +51,22 @@ def test_query_matches_oracle(spark, con, name):
     assert [dcols[i] for i in order] == cols
     exp = sorted((tuple(_norm(r[i]) for i in order) for r in rel.fetchall()), key=repr)
     assert got == exp
+
+
+@pytest.mark.parametrize("name", ["hourly_traffic", "syslog_events", "flush_ages", "outdated", "review_state"])
+def test_query_independent_of_session_zone_and_ansi(spark, con, name):
+    """A caller's session may start in another time zone with ANSI off; logs are UTC."""
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled")}
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        spark.conf.set("spark.sql.ansi.enabled", "false")
+        sdf = ent.queries()[name](spark, SF)
+        cols = sorted(sdf.columns)
+        got = sorted((tuple(_norm(x) for x in r) for r in sdf.select(*cols).collect()), key=repr)
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)
+    rel = con.execute(ent.oracle_sql()[name])
+    dcols = [d[0] for d in rel.description]
+    order = sorted(range(len(dcols)), key=lambda i: dcols[i])
+    assert got == sorted((tuple(_norm(r[i]) for i in order) for r in rel.fetchall()), key=repr)
