@@ -25,6 +25,7 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     (parquet, line order kept in ``seq``) and scan it from there, as production scans
     stored logs.  Later queries of the session reuse the files; the scan is a leaf
     the optimizer cannot push filters through, so rendering is never repeated."""
+    ensure_utc(spark)  # also when the stored copy is reused: logs are UTC
     key = (spark.sparkContext.applicationId, sf_dir, name)
     path = _STORED.get(key)
     if path is None or not _exists(spark, path):
