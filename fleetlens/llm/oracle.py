@@ -1,6 +1,72 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from fleetlens.llm import licences
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical(column: str) -> str:
+    t = f"translate(coalesce({column}, ''), '{licences.UPPER}', '{licences.LOWER}')"
+    t = f"regexp_replace({t}, '{licences.COPYRIGHT_LINE}', '', 'g')"
+    t = f"trim(regexp_replace({t}, '{licences.NOT_ALNUM}', ' ', 'g'))"
+    for a, b in licences.SPELLINGS:
+        t = f"replace({t}, '{a}', '{b}')"
+    return f"sha256({t})"
+
+
+LICENCES = f"""
+WITH known(licence, text) AS (VALUES {", ".join(f"({_quoted(k[0])}, {_quoted(k[2])})" for k in licences.KNOWN)}),
+digests AS (SELECT min(licence) AS licence, {_canonical("text")} AS digest FROM known GROUP BY 2),
+whole AS (SELECT doc_id, text, {_canonical("text")} AS canonical_sha256 FROM documents),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS unit FROM documents WHERE text IS NOT NULL),
+found AS (
+  SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS line_licences, count(*) AS n
+  FROM lines JOIN digests ON digest = {_canonical("unit")} GROUP BY doc_id)
+SELECT w.doc_id, canonical_sha256, licence, coalesce(line_licences, '') AS line_licences, coalesce(n, 0) AS n_licence_lines
+FROM whole w LEFT JOIN digests ON digest = canonical_sha256 LEFT JOIN found f ON f.doc_id = w.doc_id
+"""
+
+URLS = r"""
+WITH RECURSIVE
+links AS (
+  SELECT url AS src, unnest([
+    regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+    regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0), '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1)]) AS link
+  FROM pages),
+resolved AS (
+  SELECT src, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link
+    WHEN starts_with(link, '//') THEN regexp_extract(src, '^([^:]*):', 1) || ':' || link
+    WHEN starts_with(link, '/') THEN regexp_extract(src, '^([^:]*://[^/?#]*)', 1) || link
+    WHEN starts_with(link, '?') OR starts_with(link, '#') THEN regexp_extract(src, '^([^:]*://[^?#]*)', 1) || link
+    ELSE regexp_extract(src, '^([^:]*://[^/?#]*)', 1) || coalesce(nullif(regexp_extract(src, '^[^:]*://[^/?#]*([^?#]*/)', 1), ''), '/') || link END AS dst
+  FROM links WHERE link <> ''),
+urls AS (
+  SELECT url, lower(regexp_extract(url, '^.*?://([^/?#]*)', 1)) AS host, regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM (SELECT url FROM pages UNION SELECT dst FROM resolved)),
+nodes AS (SELECT *, CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END || regexp_extract(url, '^[^#]*?(\?[^#]*)', 1) END AS node FROM urls),
+rules(verdict, rule) AS (VALUES ('allow', 'com/'), ('block', 'example.com/en/'), ('allow', 'www.example.com/en/'), ('block', 'net/es/'), ('block', 'net/fr/')),
+fits AS (
+  SELECT url, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM urls, rules
+  WHERE (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1)))
+    AND starts_with(path, substr(rule, position('/' IN rule))) GROUP BY url),
+judged AS (SELECT n.*, rule, verdict FROM nodes n LEFT JOIN fits USING (url)),
+edges AS (
+  SELECT a.node AS u, b.node AS v FROM resolved r JOIN nodes a ON a.url = r.src JOIN nodes b ON b.url = r.dst WHERE a.node <> b.node
+  UNION SELECT b.node, a.node FROM resolved r JOIN nodes a ON a.url = r.src JOIN nodes b ON b.url = r.dst WHERE a.node <> b.node),
+reach(node, other) AS (SELECT u, u FROM edges UNION SELECT r.node, e.v FROM reach r JOIN edges e ON e.u = r.other),
+aliases AS (
+  SELECT r.node FROM reach r JOIN judged j ON j.node = r.other GROUP BY r.node
+  HAVING bool_or(j.verdict = 'block') AND NOT coalesce(bool_or(j.verdict = 'allow'), false))
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
+       coalesce(verdict, CASE WHEN a.node IS NOT NULL THEN 'block' END, 'allow') AS verdict
+FROM pages p LEFT JOIN judged j ON j.url = p.url LEFT JOIN aliases a ON a.node = j.node
+"""
+
 ORACLES: dict[str, str] = {
+    "op3_url_filter": URLS,
+    "op5_licences": LICENCES,
     "op6_mixing": r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,

@@ -6,15 +6,37 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fleetlens.llm import licences, quality, url_filter
 from fleetlens.llm.exact_dedup import exact_dedup
 from fleetlens.llm.mixing import mix
 from fleetlens.llm.scratch import Scratch
 
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
+             ("block", "net/es/"), ("block", "net/fr/")]
+
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of all pages under URL_RULES; aliases come from the pages' canonical links and redirects."""
+    scratch = Scratch(spark, "op3")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return scratch.finish(url_filter.filter_urls(pages, URL_RULES, url_filter.html_links(pages), scratch))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base features, base verdict and the posterior verdict of all documents."""
+    scratch = Scratch(spark, "op4")
+    return scratch.finish(quality.score(_docs(spark, sf_dir), scratch).drop("votes"))
+
+
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licences of every whole text and of its lines."""
+    return licences.scan(_docs(spark, sf_dir))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights 5, 2, 1 in turn over the sources; targets stop at three times a source."""
     scratch = Scratch(spark, "op6")
@@ -29,6 +51,9 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_url_filter": op3_url_filter,
+    "op4_quality": op4_quality,
+    "op5_licences": op5_licences,
     "op6_mixing": op6_mixing,
     "op9_exact_dedup": op9_exact_dedup,
 }
