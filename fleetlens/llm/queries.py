@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fleetlens.llm import licences, quality, url_filter
 from fleetlens.llm.exact_dedup import exact_dedup
+from fleetlens.llm.jaccard_join import Similar, near_groups
 from fleetlens.llm.mixing import mix
 from fleetlens.llm.scratch import Scratch
 
@@ -50,10 +51,17 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scratch.finish(exact_dedup(docs, scratch).decisions.select("doc_id", "keep_id", "group_size", "kept", "text_sha256"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components over links of 3-word shingle sets with Jaccard similarity of at least 0.9."""
+    scratch = Scratch(spark, "op10")
+    return scratch.finish(near_groups(_docs(spark, sf_dir), scratch, how=Similar(3, 90, 100)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op4_quality": op4_quality,
     "op5_licences": op5_licences,
     "op6_mixing": op6_mixing,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_jaccard_join": op10_jaccard_join,
 }
