@@ -64,7 +64,19 @@ SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
 FROM pages p LEFT JOIN judged j ON j.url = p.url LEFT JOIN aliases a ON a.node = j.node
 """
 
+SUBSTRINGS = r"""
+WITH worded AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM worded WHERE len(w) >= 50),
+windows AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM starts),
+repeated AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) < doc_id AS again FROM windows),
+gone AS (SELECT doc_id, list(DISTINCT j) AS gone FROM (SELECT doc_id, unnest(range(i, i + 50)) AS j FROM repeated WHERE again) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, j: NOT list_contains(gone, j)) END, ' ')) AS kept_sha256
+FROM worded d LEFT JOIN gone g ON g.doc_id = d.doc_id
+"""
+
 ORACLES: dict[str, str] = {
+    "op1_substring_dedup": SUBSTRINGS,
     "op3_url_filter": URLS,
     "op5_licences": LICENCES,
     "op6_mixing": r"""

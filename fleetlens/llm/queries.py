@@ -11,6 +11,7 @@ from fleetlens.llm.exact_dedup import exact_dedup
 from fleetlens.llm.jaccard_join import Similar, near_groups
 from fleetlens.llm.mixing import mix
 from fleetlens.llm.scratch import Scratch
+from fleetlens.llm.substring_dedup import substring_dedup
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
              ("block", "net/es/"), ("block", "net/fr/")]
@@ -20,6 +21,13 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words covered by a 50-word window that also starts in a document with a smaller doc_id are removed."""
+    scratch = Scratch(spark, "op1")
+    out = substring_dedup(_docs(spark, sf_dir), scratch)
+    return scratch.finish(out.select("doc_id", "n_words", "n_removed", "kept_sha256"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts of all pages under URL_RULES; aliases come from the pages' canonical links and redirects."""
     scratch = Scratch(spark, "op3")
@@ -58,6 +66,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op3_url_filter": op3_url_filter,
     "op4_quality": op4_quality,
     "op5_licences": op5_licences,
