@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fleetlens.llm import licences, quality, url_filter
 from fleetlens.llm.exact_dedup import exact_dedup
 from fleetlens.llm.jaccard_join import Similar, near_groups
 from fleetlens.llm.mixing import mix
+from fleetlens.llm.packing import pack
 from fleetlens.llm.scratch import Scratch
 from fleetlens.llm.substring_dedup import substring_dedup
 
+#: tokenizer file; set ``spark.llm.tokenizer`` where the package of public tokenizers is not installed
+TOKENIZER = "word_bpe_49k.json"
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
              ("block", "net/es/"), ("block", "net/fr/")]
 
@@ -21,6 +24,15 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer_path(spark: SparkSession) -> str:
+    path = spark.conf.get("spark.llm.tokenizer", None)
+    if not path:
+        import public_tokenizers
+
+        path = public_tokenizers.path(TOKENIZER)
+    return str(path)
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words covered by a 50-word window that also starts in a document with a smaller doc_id are removed."""
     scratch = Scratch(spark, "op1")
@@ -52,6 +64,14 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scratch.finish(mix(_docs(spark, sf_dir), scratch).select("doc_id", "size", "source_size", "target", "taken"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens, each document ended by id 0, packed into few sequences."""
+    scratch = Scratch(spark, "op8")
+    packed = pack(_docs(spark, sf_dir), scratch, tokenizer_path(spark))
+    digests = packed.pieces.select("uid", F.col("id").alias("doc_id"), "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return scratch.finish(digests.join(packed.places, "uid").drop("uid"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of identical texts; the largest doc_id stays."""
     scratch = Scratch(spark, "op9")
@@ -71,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_licences": op5_licences,
     "op6_mixing": op6_mixing,
+    "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_jaccard_join": op10_jaccard_join,
 }

@@ -88,24 +88,34 @@ def chunks(column: pa.Array, lower: bool = False, limit: int = CHUNK_BYTES) -> I
 def _words(first: int, data: np.ndarray, off: np.ndarray, lower: bool) -> Words:
     if lower:
         data = _LOWER[data]
+    start, end = bounds(data, off)
+    return Words(first, data, start, end, hashes(data, start, end), np.searchsorted(start, off))
+
+
+def bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and past-the-end byte of every word; no word crosses the document offsets."""
     if not len(data):
         none = np.zeros(0, np.int64)
-        return Words(first, data, none, none, none.astype(np.uint64), np.zeros(len(off), np.int64))
+        return none, none
     word = _IS_WORD[data]
+    full = off[:-1] < off[1:]
     edge = word.copy()
     edge[1:] &= ~word[:-1]
-    lead = off[:-1][off[:-1] < off[1:]]
+    lead = off[:-1][full]
     edge[lead] = word[lead]
     start = np.flatnonzero(edge)
     edge = word.copy()
     edge[:-1] &= ~word[1:]
-    last = off[1:][off[:-1] < off[1:]] - 1
+    last = off[1:][full] - 1
     edge[last] = word[last]
-    end = np.flatnonzero(edge) + 1
+    return start, np.flatnonzero(edge) + 1
+
+
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges."""
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * powers(_BASE, len(data)), out=total[1:])
-    h = (total[end] - total[start]) * powers(_INVERSE, len(data))[start]
-    return Words(first, data, start, end, mix(h), np.searchsorted(start, off))
+    return mix((total[end] - total[start]) * powers(_INVERSE, len(data) + 1)[start])
 
 
 def grams(w: Words, k: int, short: bool = False) -> tuple[np.ndarray, np.ndarray]:
