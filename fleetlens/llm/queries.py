@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetlens.llm import licences, quality, url_filter
+from fleetlens.llm import langid, licences, quality, url_filter
 from fleetlens.llm.exact_dedup import exact_dedup
 from fleetlens.llm.jaccard_join import Similar, near_groups
 from fleetlens.llm.mixing import mix
@@ -64,6 +64,15 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scratch.finish(mix(_docs(spark, sf_dir), scratch).select("doc_id", "size", "source_size", "target", "taken"))
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from those that are not held out."""
+    scratch = Scratch(spark, "op7")
+    docs = _docs(spark, sf_dir)
+    out = langid.held_out(F.col("doc_id"))
+    model = langid.fit(docs.where(~out), scratch)
+    return scratch.finish(langid.predict(docs, model, {"doc_id": F.col("doc_id"), "held_out": out}))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens, each document ended by id 0, packed into few sequences."""
     scratch = Scratch(spark, "op8")
@@ -91,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_licences": op5_licences,
     "op6_mixing": op6_mixing,
+    "op7_langid": op7_langid,
     "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_jaccard_join": op10_jaccard_join,
