@@ -86,3 +86,9 @@ def flag_keywords(df, col: str, rules: dict[str, Iterable[str]], ignore_case: bo
     for name, pats in rules.items():
         out = out.withColumn(f"flag_{name}", matches_any(col, pats, ignore_case))
     return out
+
+
+def substring_from(col: str | Column, pos: int) -> Column:
+    """Everything from character ``pos`` (1-based) on, however long the text is."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.substring(c, F.lit(pos), F.length(c))

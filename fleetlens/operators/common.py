@@ -40,10 +40,40 @@ def top_k_per_group(df: DataFrame, group, order: Sequence[Column], k: int, rank_
     return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
 
 
-def last_n_by(df: DataFrame, n: int, by, order: str = "seq", rank_col: str = "_rn") -> DataFrame:
-    """The last ``n`` rows of each ``by`` group in ``order`` (``tail -n`` per file/host)."""
-    out = top_k_per_group(df, by, [F.col(order).desc()], n, rank_col)
-    return out.drop(rank_col) if rank_col.startswith("_") else out
+#: consecutive ``order`` values counted together by ``last_n_by``
+CHUNK_BITS = 16
+
+
+def last_n_by(df: DataFrame, n: int, by, order: str = "seq") -> DataFrame:
+    """The last ``n`` rows of each ``by`` group in line order (``tail -n`` per file/host).
+
+    No group is sorted.  Rows are counted per chunk of 2**16 ``order`` values (a partial
+    aggregate), the counts are summed from the end, and only the one chunk per group in
+    which the last ``n`` begin is numbered row by row.  Lines of several files are in the
+    order of ``line_order``: by file time and file first.
+    """
+    keys = _list(by)
+    files = [c for c in LINE_ORDER[:-1] if c in df.columns and c not in keys]
+    chunk = [*files, "_chunk"]
+    rows = df.withColumn("_chunk", F.shiftright(F.col(order), CHUNK_BITS))
+    counts = rows.groupBy(*keys, *chunk).agg(F.count(F.lit(1)).alias("_count"))
+    later = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in chunk]).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_room", F.lit(n) - F.coalesce(F.sum("_count").over(later), F.lit(0))).filter("_room > 0")
+    kept = rows.join(counts, [*keys, *chunk])
+    w = Window.partitionBy(*keys, *chunk).orderBy(F.col(order).desc())
+    first = (kept.filter("_count > _room").withColumn("_rn", F.row_number().over(w)).filter("_rn <= _room"))
+    return kept.filter("_count <= _room").select(*df.columns).unionByName(first.select(*df.columns))
+
+
+#: what orders lines over several files: the older file first, then the place in the file
+LINE_ORDER = ["file_time", "file", "seq"]
+
+
+def line_order(df: DataFrame) -> Column:
+    """Comparable line position: (file_time, file, seq) of ``read_lines``, or what of it is there."""
+    if "file_time" not in df.columns:
+        return F.col("seq")
+    return F.struct(*[c for c in LINE_ORDER if c in df.columns])
 
 
 def preview(df: DataFrame, n: int, order: Sequence[str | Column], total_col: str = "total") -> DataFrame:

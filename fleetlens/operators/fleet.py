@@ -32,10 +32,15 @@ DUPLICATE_TEST_FIXTURES = "drupal_system_listing_(in|)compatible_test"
 
 
 def _num(c: Column) -> Column:
-    """Leading integer of a field (awk coercion), NULL when there is none."""
+    """Leading integer of a field, NULL when there is none."""
     return F.regexp_extract(c, r"^(-?[0-9]+)", 1).try_cast("long")
 
 
+def _positive(c: Column) -> Column:
+    """awk's ``field > 0``: the leading number, decimals included."""
+    return F.coalesce(F.regexp_extract(c, r"^([0-9]+(\.[0-9]+)?|\.[0-9]+)", 1).try_cast("double") > 0, F.lit(False))
+
+
 def drift(df: DataFrame, host: str = "host", n: str = "folders") -> DataFrame:
     """Deployment drift: every host should hold the same count.  ``problem`` when any
     two differ; hosts below the maximum are flagged.  Max and min are scalar
@@ -70,25 +75,28 @@ def process_capacity(lines: DataFrame, user: str, file: str = "file") -> DataFra
     running processes, memory; flags user at limit, free memory under 20 %.
 
     Section headers (``[server]``) are forward-filled onto their rows with the chunked
-    scan, then each section is one conditional aggregate (last value by ``seq``)."""
+    scan, then each section is one conditional aggregate (last value by ``seq``).  A
+    server listed twice is two sections; a section without a count of running
+    processes has 0."""
     v = F.col("value")
     rows = lines.filter(~v.contains("defunct"))
-    hdr = F.when(v.contains("["), F.expr("substring(value, 2, length(value) - 2)"))
-    rows = forward_fill(rows.withColumn("_hdr", hdr), "_hdr", "seq", "server", partition_by=file).drop("_hdr")
+    hdr = F.when(v.contains("["), F.struct(F.col("seq").alias("at"), F.expr("substring(value, 2, length(value) - 2)").alias("server")))
+    rows = forward_fill(rows.withColumn("_hdr", hdr), "_hdr", "seq", "_section", partition_by=file).drop("_hdr")
+    rows = rows.select("*", F.col("_section.at").alias("_at"), F.col("_section.server").alias("server"))
     f1, f2 = awk_field(v, 1), awk_field(v, 2)
 
     def last_where(cond: Column, val: Column) -> Column:
         return F.max_by(F.when(cond, val), F.when(cond, F.col("seq")))
 
     agg = (rows.filter(F.col("server").isNotNull())
-           .groupBy(file, "server")
+           .groupBy(file, "_at", "server")
            .agg(last_where(v.contains("MaxProcessCount"), _num(f2)).alias("max_overall"),
-                last_where(v.contains("procs running"), _num(f1)).alias("total_running"),
+                F.coalesce(last_where(v.contains("procs running"), _num(f1)), F.lit(0)).alias("total_running"),
                 last_where(v.contains("DefaultMaxClass"), _num(f2)).alias("max_user"),
-                F.count_if((f1 == user) & (F.coalesce(_num(f2), F.lit(0)) > 0)).alias("user_running"),
+                F.count_if((f1 == user) & _positive(f2)).alias("user_running"),
                 last_where(v.startswith("Mem:"), _num(f2)).alias("total_mem"),
                 last_where(v.startswith("Mem:"), _num(awk_field(v, 4))).alias("free_mem")))
-    return (agg.withColumn("flag_user_at_max", F.col("user_running") >= F.col("max_user"))
+    return (agg.drop("_at").withColumn("flag_user_at_max", F.col("user_running") >= F.col("max_user"))
             .withColumn("flag_low_mem", F.try_divide(F.col("free_mem"), F.col("total_mem")) < 0.2))
 
 
@@ -110,7 +118,7 @@ def resolve_sections(lines: DataFrame, labels: DataFrame, file: str = "file") ->
     sites = (filled.filter(v.startswith(" "))
              .select(file, "seq", "label", awk_field(v, 1).alias("site"))
              .join(labels, "label", "left"))
-    last = sites.groupBy(file).agg(F.max("seq").alias("_last"))
+    last = lines.filter(v.startswith(" ")).groupBy(file).agg(F.max("seq").alias("_last"))
     return (sites.join(last, file).withColumn("chosen", F.col("seq") == F.col("_last")).drop("_last"))
 
 
@@ -160,7 +168,7 @@ def select_hosts(df: DataFrame, include_marked: bool = False, file: str = "file"
 def active_balancers(df: DataFrame) -> DataFrame:
     """Balancer rows (`` bal-``) whose third field is a positive number."""
     v = F.col("value")
-    return (df.filter(v.contains(" bal-") & (F.coalesce(_num(awk_field(v, 3)), F.lit(0)) > 0))
+    return (df.filter(v.contains(" bal-") & _positive(awk_field(v, 3)))
             .select("seq", awk_field(v, 1).alias("host")))
 
 
@@ -170,9 +178,8 @@ def domain_status(df: DataFrame, alerts: Sequence[str] = DOMAIN_ALERTS, status:
 
 
 def match_lists(names: DataFrame, lists: DataFrame) -> DataFrame:
-    """Enabled names that appear exactly in a (severity, name) list.  The lists are a
-    fixed, small lookup, so broadcasting them is bounded."""
-    return names.join(F.broadcast(lists), "name").select("severity", "name")
+    """Enabled names that appear exactly in a (severity, name) list."""
+    return names.join(lists, "name").select("severity", "name")
 
 
 def count_over(names: DataFrame, limit: int = MODULE_LIMIT) -> DataFrame:
@@ -249,13 +256,9 @@ def largest_tables(df: DataFrame, n: int = 10) -> DataFrame:
             .withColumn("flag_rows", F.col("row_count") >= BIG_TABLE_ROWS))
 
 
-def large_payloads(df: DataFrame, limit: int = PAYLOAD_LIMIT, k: int = 5, key: str = "name", col: str = "value",
-                   max_rows: int | None = None) -> DataFrame:
-    """Cached payloads longer than ``limit`` bytes, size in MB, the k largest.
-    ``max_rows`` reproduces the check's guard (skip tables with that many rows)."""
+def large_payloads(df: DataFrame, limit: int = PAYLOAD_LIMIT, k: int = 5, key: str = "name", col: str = "value") -> DataFrame:
+    """Cached payloads longer than ``limit`` bytes, size in MB, the k largest."""
     rows = df.select(F.col(key).alias("cid"), F.octet_length(col).alias("bytes"))
-    if max_rows is not None:
-        rows = rows.filter(df.select(F.count(F.lit(1))).scalar() < max_rows)
     return (rows.filter(F.col("bytes") > limit).withColumn("size_mb", F.col("bytes") / 1048576.0)
             .orderBy(F.desc("bytes"), F.desc("cid")).limit(k))
 

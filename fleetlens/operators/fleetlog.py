@@ -10,8 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_any, flag_keywords, matches_any
-from .common import last_n_by, top_k_per_group
+from ..functions.text import awk_field, contains_any, flag_keywords, matches_any, substring_from
+from .common import last_n_by, threshold_flag, top_k_per_group
 
 # Fixed values from the checks.
 SYSLOG_INCLUDE = [
@@ -49,14 +49,15 @@ def mail_per_day(df: DataFrame) -> DataFrame:
 
 
 def syslog_events(df: DataFrame, now: str, include: Sequence[str] = SYSLOG_INCLUDE, exclude: Sequence[str] = (),
-                  n: int = 100, window: int | None = None) -> DataFrame:
+                  n: int | None = None, window: int | None = None) -> DataFrame:
     """Important syslog lines per host: matching ``include``, not containing any
-    ``exclude`` literal, the last ``n`` per host; flags: today, this hour, severe.
-    ``window`` first keeps only each host's last ``window`` lines (the report's
-    ``tail -3000``); off by default so whole logs are checked."""
+    ``exclude`` literal; flags: today, this hour, severe.  Two explicit previews: ``n``
+    keeps the last ``n`` matches per host (the report shows 100), ``window`` looks only
+    at each host's last ``window`` lines (the report reads 3000)."""
     src = last_n_by(df, window, "host") if window else df
     hits = src.filter(matches_any("value", include) & ~contains_any("value", exclude))
-    return (last_n_by(hits, n, "host").select("host", "seq", "value")
+    shown = last_n_by(hits, n, "host") if n else hits
+    return (shown.select("host", "seq", "value")
             .withColumn("flag_today", F.col("value").startswith(_syslog_day(now)))
             .withColumn("flag_hour", F.col("value").startswith(_syslog_hour(now)))
             .withColumn("flag_severe", matches_any("value", SYSLOG_SEVERE)))
@@ -83,7 +84,7 @@ def skip_spawns(df: DataFrame, dialect: str = "fpm", window: int | None = None)
             "host", F.concat(head, F.lit(":XX:XX")).alias("hour_key"))
     elif dialect == "webserver":
         rows = src.filter(F.col("value").contains(WEBSERVER_SKIP_PHRASE)).select(
-            "host", F.concat(F.substring(head, 2, 1 << 20), F.lit(":XX")).alias("hour_key"))
+            "host", F.concat(substring_from(head, 2), F.lit(":XX")).alias("hour_key"))
     else:
         raise ValueError(dialect)
     return rows.groupBy("host", "hour_key").agg(F.count(F.lit(1)).alias("n"))
@@ -96,14 +97,15 @@ def count_literal_by_host(df: DataFrame, hosts: DataFrame, literal: str = "SIGSE
             .select("host", F.coalesce("n", F.lit(0)).alias("n")))
 
 
-def downtime_events(df: DataFrame, today: str, body: str = "html", key: str = "page_id", sep: str = "<br>",
-                    skip: int = 2, n: int = 15, keep: str = "20") -> DataFrame:
-    """Downtime notices: split each body on ``sep``, drop the first ``skip`` pieces,
-    keep pieces containing ``keep`` (``20``: a year), the first ``n`` per body; today's
-    flagged.  Each body is exploded on its own row, so no body is gathered anywhere."""
+def downtime_events(df: DataFrame, today: str, body: str = "html", key: str = "page_id", sep: str = "<br>|\n",
+                    skip: int = 2, n: int | None = None, keep: str = "20") -> DataFrame:
+    """Downtime notices: split each body on ``sep`` (line breaks of either kind), drop the
+    first ``skip`` pieces, keep pieces containing ``keep`` (``20``: a year); today's
+    flagged.  ``n`` is an explicit preview of the first pieces per body (the report shows
+    15).  Each body is exploded on its own row, so no body is gathered anywhere."""
     pieces = df.select(key, F.posexplode(F.split(F.col(body), sep)).alias("pos", "piece"))
     kept = pieces.filter((F.col("pos") >= skip) & F.col("piece").contains(keep))
-    first = top_k_per_group(kept, key, [F.col("pos")], n, "_rn").drop("_rn")
+    first = top_k_per_group(kept, key, [F.col("pos")], n, "_rn").drop("_rn") if n else kept
     return (first.select(key, (F.col("pos") + 1).cast("long").alias("pos"), "piece")
             .withColumn("flag_today", F.col("piece").contains(today)))
 
@@ -148,7 +150,8 @@ def session_status(df: DataFrame) -> DataFrame:
     """Per captured fetch: ``timeout`` when the fetch failed, ``anonymous session``
     when a Set-Cookie carries a session cookie, ``redirect`` when exactly one Location
     header came back, else ``ok``.  Header arrays are inspected in place (no explode)."""
-    h = F.col("headers")
+    # the report reads the captured header lines only: sent (>) and received (<)
+    h = F.filter("headers", lambda x: x.rlike("^[<>]"))
     sess = F.exists(h, lambda x: x.rlike("^< Set-Cookie: .*SESS"))
     locs = F.size(F.filter(h, lambda x: x.rlike(". Location:")))
     status = (F.when(F.col("exit") != 0, "timeout").when(sess, "anonymous session")
@@ -164,3 +167,37 @@ def expand_urls(df: DataFrame, col: str = "domain", n: int | None = None) -> Dat
         F.array(F.concat(F.lit("http://"), c), F.concat(F.lit("https://"), c)))
     out = df.select(c.alias("domain"), F.explode(urls).alias("url"))
     return out.orderBy("domain", "url").limit(n) if n else out
+
+
+# The four threshold checks.
+LOW_DISK_KB = 10_240
+BUSY_CPU = (40.0, 99.99)
+CONNECTIONS = (100, 599)
+LARGE_MEMORY_MB = 200
+
+
+def low_disk_space(df: DataFrame) -> DataFrame:
+    """``df -k`` rows of disks (``/dev/sd``) with less than 10 MB free."""
+    v = F.col("value")
+    disks = df.filter(v.contains("/dev/sd")).select(
+        "host", awk_field(v, 1).alias("filesystem"), awk_field(v, 4).try_cast("long").alias("available_kb"), awk_field(v, 6).alias("mounted"))
+    low = threshold_flag(disks, "available_kb", hi=LOW_DISK_KB, hi_strict=True, keep_only=True)
+    return low.withColumn("available_mb", F.round(F.col("available_kb") / 1024, 2))
+
+
+def busy_cpu(df: DataFrame) -> DataFrame:
+    """Process statistics; lines with a share of 40.00 to 99.99 % flagged."""
+    share = F.regexp_extract("value", r"([0-9]+\.[0-9]{2})", 1).try_cast("double")
+    return threshold_flag(df.select("host", "seq", share.alias("cpu")), "cpu", *BUSY_CPU)
+
+
+def connection_limits(df: DataFrame) -> DataFrame:
+    """Connection limits of balancers; complete settings (ending in ``;``) of 100 to 599 flagged."""
+    limit = F.regexp_extract("value", r"max_conn=([0-9]+);$", 1).try_cast("int")
+    return threshold_flag(df.select("seq", limit.alias("max_conn")), "max_conn", *CONNECTIONS)
+
+
+def memory_limits(df: DataFrame) -> DataFrame:
+    """Memory limits; 200 MB and more flagged."""
+    limit = F.regexp_extract("value", r"=> ([0-9]+)M", 1).try_cast("int")
+    return threshold_flag(df.select("seq", limit.alias("limit_mb")), "limit_mb", lo=LARGE_MEMORY_MB)

@@ -8,8 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sequence import previous_value
-
 KEYS = ["repo", "number"]
 
 # Review state ranks, console palette and contrast rule.
@@ -53,7 +51,7 @@ def state_rank(col: str | Column = "state") -> Column:
     return expr
 
 
-def review_state(requested: DataFrame, reviews: DataFrame, exact: bool | str = "auto") -> DataFrame:
+def review_state(requested: DataFrame, reviews: DataFrame, in_order: bool = False) -> DataFrame:
     """Current review state per (repo, number, reviewer).
 
     Requested reviewers start as ``REQUESTED`` (no time).  Reviews are then folded in
@@ -61,34 +59,17 @@ def review_state(requested: DataFrame, reviews: DataFrame, exact: bool | str = "
     entry (a review without a time never is) or ranks lower (REQUESTED 0, COMMENTED 1,
     others 2; unknown states 0).
 
-    When a reviewer's review times strictly increase in API order - how the API
-    returns them - the fold keeps the latest review of the highest rank, which is
-    ``max_by(entry, (rank, seq))``: a partial aggregate, so even a hot pull request
-    is combined map-side.  ``exact``:
-
-    * ``"auto"`` (default): a chunked previous-row scan finds the reviewer groups
-      whose times are not strictly increasing; only those run the literal fold, all
-      others take the partial aggregate.  Exact for any input.
-    * ``False``: partial aggregate only (trusts the ordering).
-    * ``True``: literal fold for every group (``aggregate`` over the group's reviews
-      sorted by ``seq``; the group is one reviewer on one pull request).
+    The fold is one aggregate per group over its reviews sorted by ``seq``; a group is
+    one reviewer on one pull request.  ``in_order`` trusts the caller that every group's
+    times strictly increase in ``seq``: the fold then is the latest review of the
+    highest rank, a partial aggregate that combines map-side.
     """
     keys = KEYS + ["user_id"]
     seeds = requested.select(*keys, "login", F.lit("REQUESTED").alias("state"),
                              F.lit(None).cast("timestamp_ntz").alias("submitted_at"), F.lit(-1).cast("long").alias("seq"))
     revs = reviews.select(*keys, "login", "state", F.col("submitted_at").cast("timestamp_ntz").alias("submitted_at"),
                           F.col("seq").cast("long"))
-    if exact is True:
-        return _fold_exact(seeds, revs, keys)
-    if exact is False:
-        return _fold_fast(seeds, revs, keys)
-    t = F.col("submitted_at")
-    scanned = previous_value(revs.select(*keys, "seq", "submitted_at"), "submitted_at", "seq", "_prev_t", keys)
-    irregular = (scanned.filter(t.isNull() | (F.col("_prev_t").isNotNull() & (t <= F.col("_prev_t"))))
-                 .select(*keys).distinct())
-    fast = _fold_fast(seeds.join(irregular, keys, "left_anti"), revs.join(irregular, keys, "left_anti"), keys)
-    slow = _fold_exact(seeds.join(irregular, keys, "left_semi"), revs.join(irregular, keys, "left_semi"), keys)
-    return fast.unionByName(slow)
+    return _fold_fast(seeds, revs, keys) if in_order else _fold_exact(seeds, revs, keys)
 
 
 def _fold_fast(seeds: DataFrame, revs: DataFrame, keys: list[str]) -> DataFrame:
@@ -146,7 +127,7 @@ def reviewer_summary(prs: DataFrame, states: DataFrame) -> DataFrame:
 
 
 def review_queue(issues: DataFrame, requested: DataFrame, reviews: DataFrame, since: str | None = None,
-                 me: str | None = None, min_approvals: int | None = MIN_APPROVALS, exact: bool | str = "auto") -> DataFrame:
+                 me: str | None = None, min_approvals: int | None = MIN_APPROVALS) -> DataFrame:
     """Open pull requests still needing review, with labels and reviewer states.
 
     The three per-PR facts the filters and the display need - approved by ``me``,
@@ -156,8 +137,9 @@ def review_queue(issues: DataFrame, requested: DataFrame, reviews: DataFrame, si
     ``reviewer_summary`` one after the other, with one shuffle instead of three."""
     prs = recent(pull_requests(issues), since)
     authors = prs.select(*KEYS, F.col("user.id").alias("_author"))
-    # fold first, then keep the selected pull requests (inner join with their authors)
-    states = review_state(requested, reviews, exact).join(authors, KEYS)
+    # only requests and reviews of the selected pull requests are folded
+    selected = prs.select(*KEYS)
+    states = review_state(requested.join(selected, KEYS, "left_semi"), reviews.join(selected, KEYS, "left_semi")).join(authors, KEYS)
     approved = F.col("state") == "APPROVED"
     others = F.collect_list(F.when(F.col("user_id") != F.col("_author"), F.struct("login", "state")))
     per_pr = states.groupBy(*KEYS).agg(

@@ -12,13 +12,11 @@ prefix scan:
    order to get the value carried in from all earlier chunks;
 3. the carried value is joined back on (key, chunk) and combined with the local one.
 
-Step 2 sees ``rows / 2**chunk_bits`` rows, so it stays small at any scale, and AQE
-turns the join in step 3 into a broadcast once that size is known.  The summary is a
-partial aggregate over a second, column-pruned read of the input, so the only full
-shuffle is the one feeding the chunk windows.  For ``prev`` and ``last`` only the rows
-that read the carried value (first row of a chunk; rows with no local value yet) take
-part in the join; with many small keys the summary is large, and the bulk of the rows
-then never becomes a join side.  ``order`` must be a
+Step 2 sees one row per non-empty chunk: ``rows / 2**chunk_bits`` for dense ``order``
+values, up to one per row for sparse ones (a key with few rows spread over a global
+counter); there the join of step 3 is an ordinary shuffle join, elsewhere AQE turns it
+into a broadcast once the size is known.  The summary is a partial aggregate over a
+second, column-pruned read of the input; the window runs once over all rows.  ``order`` must be a
 non-negative long that increases in line order within a key (``seq`` from
 ``read_lines`` or an id column).
 """
@@ -95,16 +93,7 @@ def running(
     scanned = base.withColumn("_fl_local", local)
     if how == "prev":
         scanned = scanned.withColumn("_fl_first", F.row_number().over(w_local) == 1)
-    if how in ("prev", "last"):
-        # only rows that read the carried value join the summary: the first row of
-        # each chunk (prev) or rows with nothing local yet (last); the rest pass
-        # through, so many small keys do not make the whole input a join side
-        need = F.col("_fl_first") if how == "prev" else F.col("_fl_local").isNull()
-        joined = (scanned.filter(need).join(carried, on=[*keys, "_fl_chunk"], how="left")
-                  .unionByName(scanned.filter(~need).withColumn("_fl_carry", F.lit(None).cast(
-                      carried.schema["_fl_carry"].dataType))))
-    else:
-        joined = scanned.join(carried, on=[*keys, "_fl_chunk"], how="left")
+    joined = scanned.join(carried, on=[*keys, "_fl_chunk"], how="left")
 
     if how == "sum":
         result = F.coalesce(F.col("_fl_carry"), F.lit(0)) + F.coalesce(F.col("_fl_local"), F.lit(0))

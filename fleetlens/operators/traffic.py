@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import top_counts
+from .common import line_order, top_counts
 
 # Fixed values from the reports.
 SLOW_SECONDS = 3
@@ -63,8 +63,8 @@ def top_slow(df: DataFrame, site: str, slow_s: float = SLOW_SECONDS, k: int = 10
          .agg(n.alias("n"),
               F.max("request_us").alias("max_us"),
               (F.sum("request_us") / n / 1e6).alias("avg_s"),
-              F.min_by("ts", "seq").alias("first_ts"),
-              F.max_by("ts", "seq").alias("last_ts")))
+              F.min_by("ts", line_order(df)).alias("first_ts"),
+              F.max_by("ts", line_order(df)).alias("last_ts")))
     return (g.withColumn("max_s", F.col("max_us") / 1e6)
             .orderBy(F.desc("n"), F.desc("max_us"), F.desc("method"), F.desc("path"))
             .limit(k).drop("max_us"))
@@ -102,7 +102,7 @@ def paged_hits_by_agent(df: DataFrame, k: int = 5, marker: str = AGENT_MARKER) -
 def latest_matching(df: DataFrame, literal: str = "GET /cron.php", n: int = 5) -> DataFrame:
     """The last ``n`` lines (in line order) containing ``literal``; empty = good."""
     return (df.filter(F.col("value").contains(literal))
-            .orderBy(F.desc("seq")).limit(n).select("seq", "value"))
+            .orderBy(line_order(df).desc()).limit(n).select("seq", "value"))
 
 
 def top_errors(df: DataFrame, k: int = 5) -> DataFrame:
@@ -112,13 +112,13 @@ def top_errors(df: DataFrame, k: int = 5) -> DataFrame:
 
 
 def oom_request_ids(errors: DataFrame, max_ids: int | None = None) -> DataFrame:
-    """Request ids (``v-`` ids only) of out-of-memory error lines, optionally only
-    the first ``max_ids`` in line order."""
+    """Request ids (``v-`` ids only) of out-of-memory error lines; ``max_ids`` is an
+    explicit preview of the first ones in line order."""
     ids = (errors.filter(F.col("value").contains(OOM_MARKER))
-           .select("seq", F.regexp_extract("value", r'request_id=[^"]*"([^"]*)', 1).alias("request_id"))
+           .select(line_order(errors).alias("_line"), F.regexp_extract("value", r'request_id=[^"]*"([^"]*)', 1).alias("request_id"))
            .filter(F.col("request_id").contains("v-")))
     if max_ids is not None:
-        ids = ids.orderBy("seq").limit(max_ids)
+        ids = ids.orderBy("_line").limit(max_ids)
     return ids.select("request_id")
 
 
@@ -129,12 +129,12 @@ def oom_paths(errors: DataFrame, access: DataFrame, max_ids: int | None = None,
 
     The id set can be as large as the error log, so it is not forced to broadcast:
     AQE broadcasts it when its measured size allows, else the semi join shuffles on
-    ``request_id`` (uniformly spread ids, no hot key).  ``max_ids``/``max_matches``
-    reproduce the report's workload bounds when set."""
+    ``request_id`` (uniformly spread ids, no hot key).  ``max_ids``/``max_matches`` are
+    explicit previews (the report stops at 1000 each); unset, everything counts."""
     ids = oom_request_ids(errors, max_ids)
     hits = access.join(ids, on="request_id", how="left_semi")
     if max_matches is not None:
-        hits = hits.orderBy("seq").limit(max_matches)
+        hits = hits.orderBy(line_order(access)).limit(max_matches)
     return top_counts(hits, ["method", "path", "protocol", "status"], k)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip_request_id
 from ..sources.parse import watchdog_type
-from .common import top_counts, top_k_per_group
+from .common import line_order, top_counts, top_k_per_group
 
 # Fixed values from the report.
 MODULE_CHANGE = "module .*abled"
@@ -41,7 +41,7 @@ def top_messages_per_type(df: DataFrame, n_types: int = 2, k: int = 5, exclude:
     per_type = counts.groupBy("type").agg(F.sum("n").alias("type_n"))
     if exclude:
         per_type = per_type.filter(~F.col("type").isin(list(exclude)))
-    chosen = per_type.orderBy(F.desc("type_n"), F.desc("type")).limit(min(n_types, 5))
+    chosen = per_type.orderBy(F.desc("type_n"), F.desc("type")).limit(n_types)
     top = top_k_per_group(counts, "type", [F.desc("n"), F.desc("message")], k, "rank")
     chosen = chosen.withColumnRenamed("type", "_t")
     top = top.join(F.broadcast(chosen), top["type"].eqNullSafe(chosen["_t"])).drop("_t")
@@ -58,8 +58,8 @@ def top_not_found(df: DataFrame, k: int = 5, alert: int = 1_000) -> DataFrame:
 def recent_cron(df: DataFrame, n: int = 10) -> DataFrame:
     """The last ``n`` cron entries in line order: head (field 1) and message."""
     return (df.filter(F.col("type") == "cron")
-            .select("seq", "head", strip_request_id(F.col("message")).alias("message"))
-            .orderBy(F.desc("seq")).limit(n)
+            .select(line_order(df).alias("_line"), "seq", "head", strip_request_id(F.col("message")).alias("message"))
+            .orderBy(F.desc("_line")).limit(n).drop("_line")
             .withColumn("flag_exception", F.col("message").rlike("(?i)exception")))
 
 

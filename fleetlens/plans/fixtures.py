@@ -17,37 +17,6 @@ from pyspark.sql import types as T
 from ..session import ensure_utc
 
 
-_STORED: dict[tuple, str] = {}
-
-
-def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """Logs at rest: render ``build()`` once per session into the shared folder
-    (parquet, line order kept in ``seq``) and scan it from there, as production scans
-    stored logs.  Later queries of the session reuse the files; the scan is a leaf
-    the optimizer cannot push filters through, so rendering is never repeated."""
-    ensure_utc(spark)  # also when the stored copy is reused: logs are UTC
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    path = _STORED.get(key)
-    if path is None or not _exists(spark, path):
-        from ..session import shared_dir
-
-        path = shared_dir(spark, f"logs-{name}")
-        df = build()
-        # several files in line order (contiguous seq ranges), as logs arrive,
-        # so scans of the stored copy use every core
-        n = max(1, spark.sparkContext.defaultParallelism)
-        df = df.repartitionByRange(n, "seq") if "seq" in df.columns else df.repartition(n)
-        df.write.parquet(path)
-        _STORED[key] = path
-    return spark.read.parquet(path)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ensure_utc(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -200,8 +169,8 @@ def _render_syslog_lines(spark, sf_dir, name: str = "syslog") -> DataFrame:
                                         F.lit(" (php) score 900")))
             .when(K() % 5 == 1, F.concat(F.lit("kernel: Killed process "), _s(EID()), F.lit(" (php-fpm) total-vm:2048kB")))
             .when(K() % 5 == 2, F.lit("puppet-agent: Restarting php-fpm service"))
-            .when((K() % 5 == 3) & (K() % 2 == 0), F.lit("ah-monitor: AH_SPLIT_BRAIN: Split brain detected: db=main"))
-            .when(K() % 5 == 3, F.lit("ah-monitor: AH_SERIOUS_ load above limit"))
+            .when((K() % 5 == 3) & (K() % 2 == 0), F.lit("hostwatch: AH_SPLIT_BRAIN: Split brain detected: db=main"))
+            .when(K() % 5 == 3, F.lit("hostwatch: AH_SERIOUS_ load above limit"))
             .otherwise(F.lit("cron: session idle")))
     line = F.concat_ws(" ", syslog_stamp(), HOST(), text)
     return ev.select(F.concat(HOST(), F.lit("/" + name)).alias("file"), HOST().alias("host"), EID().alias("seq"),
@@ -317,13 +286,17 @@ def _render_stats_rows(spark, sf_dir) -> DataFrame:
 
 
 def _render_section_lines(spark, sf_dir) -> DataFrame:
-    """Process listing: ``[srv-N]`` header every 20 events, then user rows, counts,
-    limits, memory and a defunct row."""
+    """Process listing: ``[srv-N]`` header every 20 events (names repeat), then user rows
+    (some with fractions), counts (missing in every 5th section), limits, memory and a
+    defunct row."""
     ev = events(spark, sf_dir)
     r = EID() % 20
     site = F.concat(F.lit("site"), _s(UID() % 3))
-    line = (F.when(r == 0, F.concat(F.lit("[srv-"), _s(F.expr("event_id div 20")), F.lit("]")))
-            .when(r <= 14, F.concat_ws(" ", site, _s(K() % 3), F.lit("php-cgi")))
+    section = F.expr("event_id div 20")
+    used = F.when(K() % 6 == 0, F.lit("0.7")).otherwise(_s(K() % 3))
+    line = (F.when(r == 0, F.concat(F.lit("[srv-"), _s(section % 40), F.lit("]")))
+            .when(r <= 14, F.concat_ws(" ", site, used, F.lit("php-cgi")))
+            .when((r == 15) & (section % 5 == 0), F.lit("nothing to count"))
             .when(r == 15, F.concat(_s(K()), F.lit(" procs running")))
             .when(r == 16, F.concat(F.lit("MaxProcessCount "), _s(K() + 20)))
             .when(r == 17, F.concat(F.lit("DefaultMaxClass "), _s(K() % 10)))
@@ -373,7 +346,7 @@ def _render_host_listing(spark, sf_dir) -> DataFrame:
     prefix = F.element_at(F.array(*[F.lit(p) for p in HOST_PREFIXES]), (sk % 7 + 1).cast("int"))
     line = F.concat(F.lit(" "), prefix, F.lit("-"), _s(sk), F.lit(" "), F.when(sk % 2 == 0, "up").otherwise("idle"),
                     F.lit(" "), _s(sk % 3), F.when(sk % 11 == 0, " *").otherwise(""))
-    return s.select(F.lit("servers.txt").alias("file"), sk.alias("seq"), line.alias("value"))
+    return s.select(F.concat(F.lit("servers-"), _s(F.col("s_nationkey"))).alias("file"), sk.alias("seq"), line.alias("value"))
 
 
 def url_host(col: str = "url") -> Column:
@@ -390,6 +363,7 @@ def header_traces(spark, sf_dir) -> DataFrame:
         F.when(pid % 5 == 0, F.concat(F.lit("< Set-Cookie: SESS"), _s(pid), F.lit("=abc; path=/"))),
         F.when(pid % 3 == 0, F.concat(F.lit("< Location: https://"), url_host(), F.lit("/"))),
         F.when(pid % 6 == 0, F.lit("< Location: https://example.org/second")),
+        F.when(pid % 4 == 0, F.lit("* Location: not a header")),
         F.lit("< Cache-Control: no-cache"),
     ))
     return p.select(url_host().alias("domain"), pid.alias("seq"),
@@ -561,6 +535,50 @@ def domain_rows(spark, sf_dir) -> DataFrame:
                     status.alias("status"))
 
 
+def downtime_pages(spark, sf_dir) -> DataFrame:
+    """Downtime notices per page, lines broken by ``<br>`` and by newlines."""
+    p = table(spark, sf_dir, "pages")
+    pid = F.col("page_id")
+    body = F.concat(F.lit("Downtime<br>Host\n2024-01-"), F.lpad(_s(pid % 28 + 1), 2, "0"), F.lit(" web-"), _s(pid % 5),
+                    F.lit(" down<br>"), url_host(), F.lit(" checked\n2024-01-15 web-"), _s(pid % 3), F.lit(" up"))
+    return p.select("page_id", body.alias("html"))
+
+
+def disk_lines(spark, sf_dir) -> DataFrame:
+    """``df -k`` of every supplier host: two disks and a memory file system."""
+    s = table(spark, sf_dir, "supplier")
+    sk = F.col("s_suppkey")
+    free = F.round(F.abs(F.col("s_acctbal")) * 2).cast("long")
+    rows = F.array(F.concat_ws(" ", F.lit("Filesystem 1K-blocks Used Available Use% Mounted on")),
+                   F.concat(F.lit("/dev/sda1   50000000  49000000 "), _s(free), F.lit("  98% /")),
+                   F.concat(F.lit("/dev/sdb1 50000000 1000 "), _s(free * 3), F.lit(" 1% /mnt")), F.lit("tmpfs 100 0 100 0% /run"))
+    return s.select(F.concat(F.lit("web-"), _s(sk)).alias("host"), F.posexplode(rows).alias("pos", "value")).select(
+        "host", F.col("pos").cast("long").alias("seq"), "value")
+
+
+def cpu_lines(spark, sf_dir) -> DataFrame:
+    """``pidstat`` lines, one per event."""
+    ev = events(spark, sf_dir)
+    line = F.concat(F.date_format("ts", "HH:mm:ss"), F.lit("  "), _s(EID()), F.lit("  "), _s(K()), F.lit(".25  php-fpm"))
+    return ev.select(HOST().alias("host"), EID().alias("seq"), line.alias("value"))
+
+
+def connection_lines(spark, sf_dir) -> DataFrame:
+    """``max_conn`` settings of balancers, one per part."""
+    p = table(spark, sf_dir, "part")
+    pk = F.col("p_partkey")
+    return p.select(pk.alias("seq"), F.concat(F.lit("server 10.0.0."), _s(pk % 250), F.lit(":80 max_conn="), _s(F.col("p_size") * 20),
+                                              F.when(pk % 10 == 0, "").otherwise(";")).alias("value"))
+
+
+def memory_lines(spark, sf_dir) -> DataFrame:
+    """``memory_limit`` settings, one per part."""
+    p = table(spark, sf_dir, "part")
+    pk = F.col("p_partkey")
+    return p.select(pk.alias("seq"), F.concat(F.lit("memory_limit => "), _s(F.col("p_size") * 8), F.lit("M => "),
+                                              _s(F.col("p_size") * 8), F.lit("M")).alias("value"))
+
+
 # ---------------------------------------------------------------- F6 review queue
 
 def _repo(col: Column) -> Column:
@@ -612,16 +630,18 @@ REVIEW_STATES = {"click": "COMMENTED", "purchase": "APPROVED", "error": "CHANGES
                  "signup": "DISMISSED"}
 
 
-def _render_reviews(spark, sf_dir) -> DataFrame:
+def _render_reviews(spark, sf_dir, in_order: bool = False) -> DataFrame:
     ev = events(spark, sf_dir)
     number = K() * 4 + UID() % 4
     state = F.lit(None).cast("string")
     for src, dst in REVIEW_STATES.items():
         state = F.when(F.col("event_type") == src, dst).otherwise(state)
     uid = UID() % 50
+    # some reviews have no time, some are dated before the ones they follow
+    time = F.when(K() % 31 == 7, None).when(K() % 9 == 4, F.col("ts") - F.expr("interval 12 days")).otherwise(F.col("ts"))
     return ev.select(EID().alias("seq"), _repo(number).alias("repo"), number.cast("long").alias("number"),
                      uid.alias("user_id"), F.concat(F.lit("user"), _s(uid)).alias("login"), state.alias("state"),
-                     F.col("ts").alias("submitted_at"))
+                     (F.col("ts") if in_order else time).alias("submitted_at"))
 
 
 def _render_commits(spark, sf_dir) -> DataFrame:
@@ -630,100 +650,100 @@ def _render_commits(spark, sf_dir) -> DataFrame:
 
 
 def access_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(spark, sf_dir, "access_lines", lambda: _render_access_lines(spark, sf_dir))
+    return _render_access_lines(spark, sf_dir)
 
 
 def php_error_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(spark, sf_dir, "php_error_lines", lambda: _render_php_error_lines(spark, sf_dir))
+    return _render_php_error_lines(spark, sf_dir)
 
 
 def mail_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(spark, sf_dir, "mail_lines", lambda: _render_mail_lines(spark, sf_dir))
+    return _render_mail_lines(spark, sf_dir)
 
 
 def pool_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(spark, sf_dir, "pool_lines", lambda: _render_pool_lines(spark, sf_dir))
+    return _render_pool_lines(spark, sf_dir)
 
 
 def webserver_error_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(spark, sf_dir, "webserver_error_lines", lambda: _render_webserver_error_lines(spark, sf_dir))
+    return _render_webserver_error_lines(spark, sf_dir)
 
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(spark, sf_dir, "tasks", lambda: _render_tasks(spark, sf_dir))
+    return _render_tasks(spark, sf_dir)
 
 
 def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(spark, sf_dir, "audit_lines", lambda: _render_audit_lines(spark, sf_dir))
+    return _render_audit_lines(spark, sf_dir)
 
 
 def section_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(spark, sf_dir, "section_lines", lambda: _render_section_lines(spark, sf_dir))
+    return _render_section_lines(spark, sf_dir)
 
 
 def realm_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(spark, sf_dir, "realm_lines", lambda: _render_realm_lines(spark, sf_dir))
+    return _render_realm_lines(spark, sf_dir)
 
 
 def cache_audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(spark, sf_dir, "cache_audit_lines", lambda: _render_cache_audit_lines(spark, sf_dir))
+    return _render_cache_audit_lines(spark, sf_dir)
 
 
 def flush_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(spark, sf_dir, "flush_lines", lambda: _render_flush_lines(spark, sf_dir))
+    return _render_flush_lines(spark, sf_dir)
 
 
 def syslog_lines(spark: SparkSession, sf_dir: str, name: str = "syslog") -> DataFrame:
-    return stored(spark, sf_dir, f"syslog_lines-{name}", lambda: _render_syslog_lines(spark, sf_dir, name))
+    return _render_syslog_lines(spark, sf_dir, name)
 
 
 def watchdog_lines(spark: SparkSession, sf_dir: str, layout: str = "pipe") -> DataFrame:
-    return stored(spark, sf_dir, f"watchdog_lines-{layout}", lambda: _render_watchdog_lines(spark, sf_dir, layout))
+    return _render_watchdog_lines(spark, sf_dir, layout)
 
 
 def host_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(spark, sf_dir, "host_listing", lambda: _render_host_listing(spark, sf_dir))
+    return _render_host_listing(spark, sf_dir)
 
 
 def db_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(spark, sf_dir, "db_listing", lambda: _render_db_listing(spark, sf_dir))
+    return _render_db_listing(spark, sf_dir)
 
 
 def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(spark, sf_dir, "issues", lambda: _render_issues(spark, sf_dir))
+    return _render_issues(spark, sf_dir)
 
 
 def requested_reviewers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(spark, sf_dir, "requested_reviewers", lambda: _render_requested_reviewers(spark, sf_dir))
+    return _render_requested_reviewers(spark, sf_dir)
 
 
-def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(spark, sf_dir, "reviews", lambda: _render_reviews(spark, sf_dir))
+def reviews(spark: SparkSession, sf_dir: str, in_order: bool = False) -> DataFrame:
+    return _render_reviews(spark, sf_dir, in_order)
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(spark, sf_dir, "commits", lambda: _render_commits(spark, sf_dir))
+    return _render_commits(spark, sf_dir)
 
 
 def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(spark, sf_dir, "hosts", lambda: _render_hosts(spark, sf_dir))
+    return _render_hosts(spark, sf_dir)
 
 
 def storage_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(spark, sf_dir, "storage_tables", lambda: _render_storage_tables(spark, sf_dir))
+    return _render_storage_tables(spark, sf_dir)
 
 
 def server_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(spark, sf_dir, "server_capacity", lambda: _render_server_capacity(spark, sf_dir))
+    return _render_server_capacity(spark, sf_dir)
 
 
 def stats_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(spark, sf_dir, "stats_rows", lambda: _render_stats_rows(spark, sf_dir))
+    return _render_stats_rows(spark, sf_dir)
 
 
 def sockets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(spark, sf_dir, "sockets", lambda: _render_sockets(spark, sf_dir))
+    return _render_sockets(spark, sf_dir)
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(spark, sf_dir, "sessions", lambda: _render_sessions(spark, sf_dir))
+    return _render_sessions(spark, sf_dir)

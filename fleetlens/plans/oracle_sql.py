@@ -72,8 +72,8 @@ hl AS (
     CASE WHEN k % 5 = 0 THEN 'kernel: Out of memory: Kill process ' || event_id || ' (php) score 900'
          WHEN k % 5 = 1 THEN 'kernel: Killed process ' || event_id || ' (php-fpm) total-vm:2048kB'
          WHEN k % 5 = 2 THEN 'puppet-agent: Restarting php-fpm service'
-         WHEN k % 5 = 3 AND k % 2 = 0 THEN 'ah-monitor: AH_SPLIT_BRAIN: Split brain detected: db=main'
-         WHEN k % 5 = 3 THEN 'ah-monitor: AH_SERIOUS_ load above limit'
+         WHEN k % 5 = 3 AND k % 2 = 0 THEN 'hostwatch: AH_SPLIT_BRAIN: Split brain detected: db=main'
+         WHEN k % 5 = 3 THEN 'hostwatch: AH_SERIOUS_ load above limit'
          ELSE 'cron: session idle' END AS text
   FROM ev),
 hosts7 AS (SELECT DISTINCT 'web-' || CAST(s_suppkey % 7 AS VARCHAR) AS host FROM supplier)"""
@@ -122,18 +122,21 @@ rev AS (
     'user' || CAST(user_id % 50 AS VARCHAR) AS login,
     CASE event_type WHEN 'click' THEN 'COMMENTED' WHEN 'purchase' THEN 'APPROVED' WHEN 'error' THEN 'CHANGES_REQUESTED'
       WHEN 'view' THEN 'PENDING' WHEN 'signup' THEN 'DISMISSED' END AS state,
-    ts AS submitted_at
+    CASE WHEN k % 31 = 7 THEN NULL WHEN k % 9 = 4 THEN ts - INTERVAL 12 DAY ELSE ts END AS submitted_at
   FROM ev),
 allr AS (
   SELECT repo, number, user_id, login, 'REQUESTED' AS state, CAST(NULL AS TIMESTAMP) AS submitted_at,
     CAST(-1 AS BIGINT) AS seq FROM req
   UNION ALL SELECT repo, number, user_id, login, state, submitted_at, seq FROM rev),
-states AS (
-  SELECT repo, number, user_id, login, state, submitted_at FROM (
-    SELECT *, row_number() OVER (PARTITION BY repo, number, user_id ORDER BY
-      CASE state WHEN 'COMMENTED' THEN 1 WHEN 'APPROVED' THEN 2 WHEN 'CHANGES_REQUESTED' THEN 2
-                 WHEN 'DISMISSED' THEN 2 ELSE 0 END DESC, seq DESC) AS rn
-    FROM allr) WHERE rn = 1),
+ranked AS (
+  SELECT *, CASE state WHEN 'COMMENTED' THEN 1 WHEN 'APPROVED' THEN 2 WHEN 'CHANGES_REQUESTED' THEN 2
+                       WHEN 'DISMISSED' THEN 2 ELSE 0 END AS rank FROM allr),
+folded AS (
+  SELECT repo, number, user_id, list_reduce(
+    list({'rank': rank, 't': submitted_at, 'state': state, 'login': login} ORDER BY seq),
+    lambda a, x: CASE WHEN x.t IS NULL OR (a.t IS NOT NULL AND x.t <= a.t) OR x.rank < a.rank THEN a ELSE x END) AS f
+  FROM ranked GROUP BY 1, 2, 3),
+states AS (SELECT repo, number, user_id, f.login AS login, f.state AS state, f.t AS submitted_at FROM folded),
 prs AS (SELECT * FROM iss WHERE is_pr),
 summ AS (
   SELECT s.repo, s.number, string_agg(s.login || ':' || s.state, ' ' ORDER BY s.login, s.state) AS reviewers
@@ -144,12 +147,15 @@ mine AS (SELECT repo, number FROM states WHERE login = 'user7' AND state = 'APPR
 
 FLUSH_NOW = "TIMESTAMP '2024-01-30 23:30:00'"
 
+REVIEW_IN_ORDER = REVIEW.replace("CASE WHEN k % 31 = 7 THEN NULL WHEN k % 9 = 4 THEN ts - INTERVAL 12 DAY ELSE ts END", "ts")
+
+
 ORACLES.update({
     # ---------------------------------------------------------------- sources
     "read_lines": _q("SELECT site, line AS value FROM acc2"),
     "last_n_lines": _q("""
 SELECT 'access-' || site || '.log' AS file, event_id AS seq, line AS value
-FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY event_id DESC) AS rn FROM acc2) WHERE rn <= 1000"""),
+FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY event_id DESC) AS rn FROM acc2) WHERE rn <= 3000"""),
     "file_sizes": _q("""
 SELECT site, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes, round(sum(strlen(line) + 1) / 1048576.0, 1) AS size_mb,
   sum(strlen(line) + 1) > 10000000 AS flag_large
@@ -269,10 +275,10 @@ SELECT host, strftime(ts, '%a %b %d %H') || ':XX' AS hour_key, count(*) AS n FRO
 SELECT h.host, coalesce(c.n, 0) AS n FROM hosts7 h
 LEFT JOIN (SELECT host, count(*) AS n FROM hl WHERE k % 4 = 2 GROUP BY 1) c USING (host)""", HOSTLOG),
     "downtime_events": """
-WITH s AS (SELECT page_id, string_split(html, '<br>') AS parts FROM pages),
-e AS (SELECT page_id, unnest(range(1, len(parts) + 1)) AS pos, unnest(parts) AS piece FROM s),
-f AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rn FROM e WHERE pos >= 3 AND contains(piece, '<b>'))
-SELECT page_id, pos, piece, contains(piece, '2024-01-15') AS flag_today FROM f WHERE rn <= 15""",
+WITH p AS (SELECT page_id, '2024-01-' || lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0') || ' web-' || (page_id % 5) || ' down' AS a,
+  '2024-01-15 web-' || (page_id % 3) || ' up' AS b FROM pages)
+SELECT page_id, CAST(3 AS BIGINT) AS pos, a AS piece, contains(a, '2024-01-15') AS flag_today FROM p
+UNION ALL SELECT page_id, 5, b, true FROM p""",
     "flag_tasks": _q("""
 SELECT host, event_id AS seq,
   strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || host || ' ' ||
@@ -304,14 +310,14 @@ SELECT domain, 'http://' || domain AS url FROM d UNION ALL SELECT domain, 'https
 SELECT host, folders, (SELECT max(folders) FROM sh) AS max_n, folders < (SELECT max(folders) FROM sh) AS flag_below_max,
   (SELECT max(folders) <> min(folders) FROM sh) AS problem FROM sh""",
     "process_capacity": _q("""
-SELECT 'procs.txt' AS file, 'srv-' || CAST(event_id // 20 AS VARCHAR) AS server,
+SELECT 'procs.txt' AS file, 'srv-' || CAST(event_id // 20 % 40 AS VARCHAR) AS server,
   CAST(max(CASE WHEN event_id % 20 = 16 THEN k + 20 END) AS BIGINT) AS max_overall,
-  CAST(max(CASE WHEN event_id % 20 = 15 THEN k END) AS BIGINT) AS total_running,
+  CAST(coalesce(max(CASE WHEN event_id % 20 = 15 AND event_id // 20 % 5 <> 0 THEN k END), 0) AS BIGINT) AS total_running,
   CAST(max(CASE WHEN event_id % 20 = 17 THEN k % 10 END) AS BIGINT) AS max_user,
-  count(*) FILTER (WHERE event_id % 20 BETWEEN 1 AND 14 AND user_id % 3 = 1 AND k % 3 > 0) AS user_running,
+  count(*) FILTER (WHERE event_id % 20 BETWEEN 1 AND 14 AND user_id % 3 = 1 AND (k % 3 > 0 OR k % 6 = 0)) AS user_running,
   CAST(max(CASE WHEN event_id % 20 = 18 THEN k * 10 + 4000 END) AS BIGINT) AS total_mem,
   CAST(max(CASE WHEN event_id % 20 = 18 THEN round(value * 10) END) AS BIGINT) AS free_mem,
-  count(*) FILTER (WHERE event_id % 20 BETWEEN 1 AND 14 AND user_id % 3 = 1 AND k % 3 > 0)
+  count(*) FILTER (WHERE event_id % 20 BETWEEN 1 AND 14 AND user_id % 3 = 1 AND (k % 3 > 0 OR k % 6 = 0))
     >= max(CASE WHEN event_id % 20 = 17 THEN k % 10 END) AS flag_user_at_max,
   max(CASE WHEN event_id % 20 = 18 THEN round(value * 10) END) / max(CASE WHEN event_id % 20 = 18 THEN k * 10 + 4000 END)
     < 0.2 AS flag_low_mem
@@ -339,17 +345,17 @@ SELECT file, passive, active, coalesce(passive, active) AS chosen FROM a""",
 })
 
 HOST_LISTING = """hls AS (
-  SELECT s_suppkey AS seq, ['srv', 'web', 'ded', 'staging', 'managed', 'bal', 'db'][s_suppkey % 7 + 1] AS prefix,
+  SELECT 'servers-' || CAST(s_nationkey AS VARCHAR) AS file, s_suppkey AS seq, ['srv', 'web', 'ded', 'staging', 'managed', 'bal', 'db'][s_suppkey % 7 + 1] AS prefix,
     s_suppkey % 11 = 0 AS marked, s_suppkey % 3 AS n3 FROM supplier),
 hlw AS (SELECT * FROM hls WHERE prefix IN ('srv', 'web', 'ded', 'staging', 'managed') {marked}),
-hw AS (SELECT *, bool_or(prefix = 'web') OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seen FROM hlw),
-hoff AS (SELECT *, bool_or(prefix = 'ded' AND seen) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS off
+hw AS (SELECT *, bool_or(prefix = 'web') OVER (PARTITION BY file ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seen FROM hlw),
+hoff AS (SELECT *, bool_or(prefix = 'ded' AND seen) OVER (PARTITION BY file ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS off
          FROM hw)"""
 
 
 def _hosts_sql(raw: bool) -> str:
     return ("WITH " + HOST_LISTING.replace("{marked}", "" if raw else "AND NOT marked")
-            + " SELECT 'servers.txt' AS file, seq, prefix || '-' || CAST(seq AS VARCHAR) AS host FROM hoff WHERE NOT off")
+            + " SELECT file, seq, prefix || '-' || CAST(seq AS VARCHAR) AS host FROM hoff WHERE NOT off")
 
 
 def _in_list(xs) -> str:
@@ -471,7 +477,7 @@ SELECT name, path, is_enabled FROM c WHERE name IN (SELECT name FROM c WHERE is_
     "recent": _q("SELECT repo, number, title, html_url FROM prs WHERE updated_at >= TIMESTAMP '2000-01-01'", REVIEW),
     "review_state": _q("SELECT * FROM states", REVIEW),
     "review_state_exact": _q("SELECT * FROM states", REVIEW),
-    "review_state_fast": _q("SELECT * FROM states", REVIEW),
+    "review_state_fast": _q("SELECT * FROM states", REVIEW_IN_ORDER),
     "not_approved_by": _q("""
 SELECT repo, number, title, html_url FROM prs WHERE (repo, number) NOT IN (SELECT (repo, number) FROM mine)""", REVIEW),
     "below_min_approvals": _q("""
@@ -522,3 +528,23 @@ SELECT whead AS head, wmsg AS message, strftime(ts, '%m-%d') = '01-15' AS flag_t
   wmsg = 'dblog module enabled.' AS flag_costly
 FROM wd WHERE event_type = 'signup' AND k % 10 IN (0, 5)
   AND CAST(ts AS DATE) > (SELECT max(CAST(ts AS DATE)) FROM events) - INTERVAL 5 DAY""", WATCHDOG)
+
+ORACLES.update({
+    "latest_matching_files": "SELECT value FROM (" + ORACLES["latest_matching"] + ")",
+    "top_slow_files": ORACLES["top_slow"],
+    "recent_cron_files": "SELECT * EXCLUDE (seq) FROM (" + ORACLES["recent_cron"] + ")",
+    "low_disk_space": """
+WITH d AS (SELECT 'web-' || s_suppkey AS host, CAST(round(abs(s_acctbal) * 2) AS BIGINT) AS free FROM supplier),
+f AS (SELECT host, '/dev/sda1' AS filesystem, free AS available_kb, '/' AS mounted FROM d
+      UNION ALL SELECT host, '/dev/sdb1', free * 3, '/mnt' FROM d)
+SELECT *, round(available_kb / 1024, 2) AS available_mb FROM f WHERE available_kb < 10240""",
+    "busy_cpu": _q("""
+SELECT 'web-' || CAST(user_id % 5 AS VARCHAR) AS host, event_id AS seq, CAST(k AS DOUBLE) + 0.25 AS cpu, k BETWEEN 40 AND 99 AS flag
+FROM ev""", EV),
+    "connection_limits": """
+SELECT p_partkey AS seq, CASE WHEN p_partkey % 10 <> 0 THEN p_size * 20 END AS max_conn,
+  p_partkey % 10 <> 0 AND p_size * 20 BETWEEN 100 AND 599 AS flag FROM part""",
+    "memory_limits": "SELECT p_partkey AS seq, p_size * 8 AS limit_mb, p_size * 8 >= 200 AS flag FROM part",
+    "mixed_layouts": """SELECT file, seq, head, type, uri, message FROM (VALUES ('pipe'), ('semicolon')) f(file), ("""
+                     + ORACLES["parse_watchdog"] + ")",
+})

@@ -65,7 +65,7 @@ def read_lines(spark, sf_dir):
 @register()
 def last_n_lines(spark, sf_dir):
     lines = fx.access_lines(spark, sf_dir).withColumn("file", F.concat(F.lit("access-"), "log_site", F.lit(".log")))
-    return src_lines.last_n_lines(lines, 1000, by="file", min_bytes=None).select("file", "seq", "value")
+    return src_lines.last_n_lines(lines, 3000).select("file", "seq", "value")
 
 
 @register()
@@ -258,6 +258,62 @@ def fs_touch_days(spark, root: str) -> None:
             fs.setTimes(f.getPath(), mtime, -1)
 
 
+# ------------------------------------------------------------------ rotated files, read as text
+
+def _rotated(spark, lines: DataFrame, name: str) -> DataFrame:
+    """A log kept as rotated text files - the older ones hold a quarter of the lines, so the
+    newer ones are larger - written with their own times and read back by ``read_lines``."""
+    base = shared_dir(spark, name)
+    quarter = lines.select(F.percentile_approx("seq", 0.25, 1000)).scalar()
+    parts = [lines.filter(F.col("seq") <= quarter), lines.filter(F.col("seq") > quarter)]
+    for i, part in enumerate(parts):
+        # range partitions in line order: one file each, named in that order
+        part.repartitionByRange("seq").sortWithinPartitions("seq").select("value").write.text(f"{base}/{1 - i}")
+    touch_in_order(spark, [f"{base}/1", f"{base}/0"])
+    return src_lines.read_lines(spark, [f"{base}/0", f"{base}/1"])
+
+
+def touch_in_order(spark, folders: list[str]) -> None:
+    """Give the files of these folders rising modification times, in the order of folders and
+    names (metadata only, one call per file)."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    time = 1_700_000_000_000
+    for folder in folders:
+        base = jvm.org.apache.hadoop.fs.Path(folder)
+        fs = base.getFileSystem(conf)
+        for st in sorted(fs.listStatus(base), key=lambda f: f.getPath().getName()):
+            time += 1000
+            fs.setTimes(st.getPath(), time, -1)
+
+
+@register()
+def latest_matching_files(spark, sf_dir):
+    """``latest_matching`` over rotated text files, of which the newer are the larger."""
+    lines = _rotated(spark, fx.access_lines(spark, sf_dir), "rotated-access")
+    return traffic.latest_matching(parse_access(lines), "GET /cron.php", 5).select("value")
+
+
+@register()
+def top_slow_files(spark, sf_dir):
+    """``top_slow`` with first and last times over rotated text files."""
+    return traffic.top_slow(parse_access(_rotated(spark, fx.access_lines(spark, sf_dir), "rotated-slow")), "site1")
+
+
+@register()
+def recent_cron_files(spark, sf_dir):
+    """``recent_cron`` over rotated text files; their layout is found from their first lines."""
+    log = parse_watchdog(_rotated(spark, fx.watchdog_lines(spark, sf_dir, "semicolon"), "rotated-cron"))
+    return watchdog.recent_cron(log).drop("seq")
+
+
+@register()
+def mixed_layouts(spark, sf_dir):
+    """Watchdog files of either layout, told apart per file: the ``|`` and the ``; `` one of the same log."""
+    both = [fx.watchdog_lines(spark, sf_dir, layout).withColumn("file", F.lit(layout)) for layout in ("pipe", "semicolon")]
+    parsed = parse_watchdog(both[0].unionByName(both[1]))
+    return parsed.select("file", "seq", "head", "type", "uri", "message")
+
+
 # ------------------------------------------------------------------ fleet logs
 
 @register("mail_per_day")
@@ -267,7 +323,7 @@ def _mail_per_day(spark, sf_dir):
 
 @register("syslog_events")
 def _syslog_events(spark, sf_dir):
-    return fleetlog.syslog_events(fx.syslog_lines(spark, sf_dir), EVENTS_NOW, exclude=[SPLIT_BRAIN_NOISE])
+    return fleetlog.syslog_events(fx.syslog_lines(spark, sf_dir), EVENTS_NOW, exclude=[SPLIT_BRAIN_NOISE], n=100)
 
 
 @register("literal_events")
@@ -292,7 +348,7 @@ def _count_literal_by_host(spark, sf_dir):
 
 @register("downtime_events")
 def _downtime_events(spark, sf_dir):
-    return fleetlog.downtime_events(fx.table(spark, sf_dir, "pages"), EVENTS_TODAY, keep="<b>")
+    return fleetlog.downtime_events(fx.downtime_pages(spark, sf_dir), EVENTS_TODAY)
 
 
 @register("flag_tasks")
@@ -328,6 +384,26 @@ def _threshold_flag(spark, sf_dir):
     return common.threshold_flag(fx.hosts(spark, sf_dir), "metric", hi=1000.0, hi_strict=True, keep_only=True)
 
 
+@register("low_disk_space")
+def _low_disk_space(spark, sf_dir):
+    return fleetlog.low_disk_space(fx.disk_lines(spark, sf_dir))
+
+
+@register("busy_cpu")
+def _busy_cpu(spark, sf_dir):
+    return fleetlog.busy_cpu(fx.cpu_lines(spark, sf_dir))
+
+
+@register("connection_limits")
+def _connection_limits(spark, sf_dir):
+    return fleetlog.connection_limits(fx.connection_lines(spark, sf_dir))
+
+
+@register("memory_limits")
+def _memory_limits(spark, sf_dir):
+    return fleetlog.memory_limits(fx.memory_lines(spark, sf_dir))
+
+
 @register("drift")
 def _drift(spark, sf_dir):
     return fleet.drift(fx.hosts(spark, sf_dir))
@@ -482,12 +558,12 @@ def _review_state(spark, sf_dir):
 
 @register("review_state_exact")
 def _review_state_exact(spark, sf_dir):
-    return review.review_state(fx.requested_reviewers(spark, sf_dir), fx.reviews(spark, sf_dir), exact=True)
+    return review.review_state(fx.requested_reviewers(spark, sf_dir), fx.reviews(spark, sf_dir))
 
 
 @register("review_state_fast")
 def _review_state_fast(spark, sf_dir):
-    return review.review_state(fx.requested_reviewers(spark, sf_dir), fx.reviews(spark, sf_dir), exact=False)
+    return review.review_state(fx.requested_reviewers(spark, sf_dir), fx.reviews(spark, sf_dir, in_order=True), in_order=True)
 
 
 def _states(spark, sf_dir):
@@ -581,7 +657,8 @@ def _ten_minute_times_stream(spark, sf_dir):
     flush lines fall in windows of the year 2100, which are left out of the result."""
     from ..streaming import live
 
-    df = _windowed_replay(spark, fx.access_lines(spark, sf_dir), "stream-tenmin", live.ten_minute_times_stream)
+    df = _windowed_replay(spark, fx.access_lines(spark, sf_dir), "stream-tenmin",
+                          lambda s: live.ten_minute_times_stream(s, F.expr("request_us div 10"), F.col("request_us")))
     return df.filter(F.col("bucket") < F.lit("2099-01-01").cast("timestamp_ntz"))
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
-def get_session(master: str | None = None, app: str = "fleetlens", shuffle_partitions: int = 8) -> SparkSession:
+def get_session(master: str | None = None, app: str = "fleetlens", shuffle_partitions: int | None = None,
+                driver_memory: str | None = None) -> SparkSession:
     """Build (or reuse) a session with the settings every report assumes.
 
     Log times are GMT+0, so the session clock is pinned to UTC.  AQE stays on so
@@ -19,15 +22,17 @@ def get_session(master: str | None = None, app: str = "fleetlens", shuffle_parti
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     spark = (
         builder.config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.unionOutputPartitioning", "false")
-        .config("spark.driver.memory", "16g")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -41,12 +46,12 @@ def cluster_conf(input_bytes: int, cores: int) -> dict[str, str]:
       stream through one core's memory.  gzip files are one split each regardless.
     * Initial shuffle partitions sized for ~256 MiB of map output each when no
       aggregation shrinks the data (AQE coalesces down when it does), at least 4x
-      the cores; capped at 50k so map-status bookkeeping (maps x reducers) stays small.
+      the cores.
     * AQE skew join splits partitions 4x over the median and over 512 MiB.
     * Broadcast threshold 64 MiB: per-file layout flags, per-chunk summaries and
       per-listing aggregates stay broadcast at fleet scale (measured at run time).
     """
-    parts = max(4 * cores, min(50_000, input_bytes // (256 << 20)))
+    parts = max(4 * cores, input_bytes // (256 << 20))
     return {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
@@ -74,18 +79,23 @@ def ensure_utc(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+_LOCAL: list[str] = []
+
+
 def shared_dir(spark: SparkSession, name: str = "") -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
-    ``spark.checkpoint.dir`` names storage every executor can reach.  Only when it
-    is unset (local tests) do we create one under the local temp folder and
-    register it, so ``DataFrame.checkpoint()`` works as well.
+    ``spark.checkpoint.dir`` names storage every executor can reach.  Where it is unset,
+    a ``local[...]`` master (tests) gets a temporary folder, which is removed when the
+    driver ends; on a cluster the setting is required.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="fleetlens-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    path = os.path.join(base, f"{name or 'run'}-{uuid.uuid4().hex[:12]}")
-    return path
-
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="fleetlens-"))
+            atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+        base = _LOCAL[0]
+    return os.path.join(base, f"{name or 'run'}-{uuid.uuid4().hex[:12]}")

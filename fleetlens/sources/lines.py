@@ -9,19 +9,20 @@ from pyspark.sql import functions as F
 
 from ..operators.common import last_n_by
 
-# Fixed values from the reports: full-read limit and lines kept beyond it.
-FULL_READ_BYTES = 5_242_880
+# Fixed values from the reports: lines of a recency preview, and the size of a large log.
 RECENT_LINES = 200_000
 LARGE_LOG_BYTES = 10_000_000
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str], **options) -> DataFrame:
-    """Scan plain or gzip text logs into ``(file, file_size, seq, value)``.
+    """Scan plain or gzip text logs into ``(file, file_size, file_time, block_start, seq, value)``.
 
     gzip is decoded by the text source (a .gz file is one split).  ``seq`` is taken
     straight after the scan, before any shuffle: splits of one file are planned in
     offset order, so ``seq`` increases in line order within every file (checked by
-    the split-invariance tests with tiny ``maxPartitionBytes``).
+    the split-invariance tests with tiny ``maxPartitionBytes``).  Across files ``seq``
+    says nothing (Spark plans larger files first): lines of rotated files are ordered by
+    ``(file_time, file, seq)``, see ``operators.common.line_order``.
     """
     if isinstance(paths, str):
         paths = [paths]
@@ -29,21 +30,17 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], **options) -> Da
     return df.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_size").alias("file_size"),
+        F.col("_metadata.file_modification_time").alias("file_time"),
+        F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("seq"),
         "value",
     )
 
 
-def last_n_lines(df: DataFrame, n: int = RECENT_LINES, by: str = "file",
-                 min_bytes: int | None = FULL_READ_BYTES, size_col: str = "file_size") -> DataFrame:
-    """Recency cap: files under ``min_bytes`` pass whole, larger ones keep their last
-    ``n`` lines (``min_bytes=None`` caps every file).  Per-file top-n by ``seq`` runs
-    as WindowGroupLimit, so no file is ever gathered into one task."""
-    if min_bytes is None:
-        return last_n_by(df, n, by, "seq")
-    small = df.filter(F.col(size_col) < min_bytes)
-    large = last_n_by(df.filter(F.col(size_col) >= min_bytes), n, by, "seq")
-    return small.unionByName(large)
+def last_n_lines(df: DataFrame, n: int, by: str = "file") -> DataFrame:
+    """Recency preview that the caller asks for: the last ``n`` lines of every file (the
+    report looks at RECENT_LINES).  No file is sorted in one task, see ``last_n_by``."""
+    return last_n_by(df, n, by, "seq")
 
 
 def list_files(spark: SparkSession, pattern: str) -> DataFrame:

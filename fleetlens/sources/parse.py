@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import awk_field, cut_field, replace_first, strip_request_id
+from ..functions.text import awk_field, cut_field, replace_first, strip_request_id, substring_from
 
 
 def parse_access(df: DataFrame, col: str = "value") -> DataFrame:
@@ -29,7 +29,7 @@ def parse_access(df: DataFrame, col: str = "value") -> DataFrame:
     return df.select(
         "*",
         ts.alias("ts"),
-        F.substring(awk_field(v, 6), 2, 1 << 20).alias("method"),
+        substring_from(awk_field(v, 6), 2).alias("method"),
         awk_field(v, 7).alias("path"),
         F.regexp_replace(awk_field(v, 8), '"$', "").alias("protocol"),
         status.alias("status"),
@@ -54,7 +54,7 @@ def _semicolon_to_pipe(parts: Column) -> Column:
     to its next colon)."""
     f1 = F.get(parts, 0)
     head = F.regexp_extract(f1, r"^([^:]*:[^:]*:[^:]*):", 1)
-    msg = F.substring(F.regexp_extract(f1, r"^[^:]*:[^:]*:[^:]*:(.*)$", 1), 2, 1 << 30)
+    msg = substring_from(F.regexp_extract(f1, r"^[^:]*:[^:]*:[^:]*:(.*)$", 1), 2)
     g = lambda i: F.coalesce(F.get(parts, i), F.lit(""))
     return F.concat(head, F.lit(": "), g(1), F.lit("|"), g(2), F.lit("|"), g(3), F.lit("|"), g(4),
                     F.lit("|"), g(5), F.lit("||"), g(7), F.lit("||"), msg)
@@ -63,11 +63,12 @@ def _semicolon_to_pipe(parts: Column) -> Column:
 def detect_watchdog_layout(df: DataFrame, col: str = "value", file_col: str = "file",
                            order: str = "seq", sample: int = 20) -> DataFrame:
     """Per file: ``; `` layout when any of the first ``sample`` lines has more than 5
-    ``; ``-fields.  The sample is a per-file top-n (WindowGroupLimit), the result one
-    row per file."""
+    ``; ``-fields.  Lines of ``read_lines`` know their block: only first blocks are looked
+    at.  The sample is a per-file top-n (WindowGroupLimit), the result one row per file."""
     from ..operators.common import top_k_per_group
 
-    first = top_k_per_group(df.select(file_col, order, col), file_col, [F.col(order)], sample, "_rn")
+    lines = df.filter("block_start = 0") if "block_start" in df.columns else df
+    first = top_k_per_group(lines.select(file_col, order, col), file_col, [F.col(order)], sample, "_rn")
     return first.groupBy(file_col).agg(
         (F.max(F.size(F.split(F.col(col), "; "))) > 5).alias("semicolon_layout"))
 
