@@ -13,6 +13,7 @@ from fleetlens.llm.mixing import mix
 from fleetlens.llm.packing import pack
 from fleetlens.llm.scratch import Scratch
 from fleetlens.llm.substring_dedup import substring_dedup
+from fleetlens.llm.token_shards import write_shards
 
 #: tokenizer file; set ``spark.llm.tokenizer`` where the package of public tokenizers is not installed
 TOKENIZER = "word_bpe_49k.json"
@@ -40,6 +41,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scratch.finish(out.select("doc_id", "n_words", "n_removed", "kept_sha256"))
 
 
+def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as shards of 2048-token sequences in keyed order; the rows are the manifest."""
+    scratch = Scratch(spark, "op2")
+    return scratch.finish(write_shards(_docs(spark, sf_dir), scratch, scratch.path("shards"), tokenizer_path(spark)))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts of all pages under URL_RULES; aliases come from the pages' canonical links and redirects."""
     scratch = Scratch(spark, "op3")
@@ -96,6 +103,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_token_shards": op2_token_shards,
     "op3_url_filter": op3_url_filter,
     "op4_quality": op4_quality,
     "op5_licences": op5_licences,
