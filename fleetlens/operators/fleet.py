@@ -248,12 +248,12 @@ def storage_by_engine(df: DataFrame, unit: int = GB, digits: int = 3) -> DataFra
     return out.orderBy("total_bytes")
 
 
-def largest_tables(df: DataFrame, n: int = 10) -> DataFrame:
-    """The ``n`` largest tables (data + index); >= 100 MB and >= 10,000 rows flagged."""
+def largest_tables(df: DataFrame, n: int = 10, big_bytes: int = BIG_TABLE_BYTES, big_rows: int = BIG_TABLE_ROWS) -> DataFrame:
+    """The ``n`` largest tables (data + index); large ones (>= 100 MB, >= 10,000 rows) flagged."""
     return (df.withColumn("total", F.col("data") + F.col("index"))
             .orderBy(F.desc("total"), F.desc("table_name")).limit(n)
-            .withColumn("flag_size", F.col("total") >= BIG_TABLE_BYTES)
-            .withColumn("flag_rows", F.col("row_count") >= BIG_TABLE_ROWS))
+            .withColumn("flag_size", F.col("total") >= big_bytes)
+            .withColumn("flag_rows", F.col("row_count") >= big_rows))
 
 
 def large_payloads(df: DataFrame, limit: int = PAYLOAD_LIMIT, k: int = 5, key: str = "name", col: str = "value") -> DataFrame:

@@ -158,11 +158,11 @@ SELECT 'access-' || site || '.log' AS file, event_id AS seq, line AS value
 FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY event_id DESC) AS rn FROM acc2) WHERE rn <= 3000"""),
     "file_sizes": _q("""
 SELECT site, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes, round(sum(strlen(line) + 1) / 1048576.0, 1) AS size_mb,
-  sum(strlen(line) + 1) > 10000000 AS flag_large
+  sum(strlen(line) + 1) > 540000 AS flag_large
 FROM acc2 GROUP BY site"""),
     "read_stats_csv": "WITH " + STATS + " SELECT * FROM st",
     "uncached_ratio": "WITH " + STATS + """
-SELECT *, uncached / total AS ratio, CASE WHEN uncached / total > 0.075 THEN 'high' ELSE 'ok' END AS status
+SELECT *, uncached / total AS ratio, CASE WHEN uncached / total > 0.2 THEN 'high' ELSE 'ok' END AS status
 FROM st WHERE total > 0""",
     "flatten_inventory": """
 SELECT r_name AS realm, n_name AS env, 'zone-' || CAST(s_suppkey % 3 AS VARCHAR) AS zone, s_name AS host,
@@ -230,21 +230,21 @@ SELECT date_trunc('hour', ts) + to_minutes(CAST(minute(ts) // 10 * 10 AS BIGINT)
 FROM (SELECT ts, CAST(round(value * 20000) AS BIGINT) AS us FROM events) GROUP BY 1""",
     # ---------------------------------------------------------------- watchdog
     "top_types": _q("""
-SELECT wtype AS type, count(*) AS n, count(*) >= 10000 AS flag_large FROM wd GROUP BY 1
+SELECT wtype AS type, count(*) AS n, count(*) >= 2010 AS flag_large FROM wd GROUP BY 1
 ORDER BY n DESC, type DESC LIMIT 5""", WATCHDOG),
     "top_messages_per_type": _q("""
 , t AS (SELECT wtype, count(*) AS n FROM wd GROUP BY 1 ORDER BY n DESC, wtype DESC LIMIT 2),
 m AS (SELECT wtype AS type, wmsg AS message, count(*) AS n FROM wd WHERE wtype IN (SELECT wtype FROM t) GROUP BY 1, 2),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY type ORDER BY n DESC, message DESC) AS INTEGER) AS rank FROM m)
-SELECT type, message, r.n AS n, rank, t.n AS type_n, r.n >= 1000 AS flag_large,
+SELECT type, message, r.n AS n, rank, t.n AS type_n, r.n >= 240 AS flag_large,
   regexp_matches(message, '(?i)exception|error') AS flag_error
 FROM r JOIN t ON r.type = t.wtype WHERE rank <= 5""".lstrip("\n"), WATCHDOG),
     "top_not_found": _q("""
-SELECT path AS uri, count(*) AS n, count(*) >= 1000 AS flag_large FROM wd WHERE wtype = 'page not found'
+SELECT path AS uri, count(*) AS n, count(*) >= 51 AS flag_large FROM wd WHERE wtype = 'page not found'
 GROUP BY 1 ORDER BY n DESC, uri DESC LIMIT 5""", WATCHDOG),
     "recent_cron": _q("""
 SELECT event_id AS seq, whead AS head, wmsg AS message, regexp_matches(wmsg, '(?i)exception') AS flag_exception
-FROM wd WHERE wtype = 'cron' ORDER BY event_id DESC LIMIT 10""", WATCHDOG),
+FROM wd WHERE wtype = 'cron' ORDER BY event_id DESC LIMIT 40""", WATCHDOG),
     "module_changes": _q("""
 SELECT event_id AS seq, whead AS head, wmsg AS message, strftime(ts, '%m-%d') = '01-15' AS flag_today,
   wmsg = 'dblog module enabled.' AS flag_costly
@@ -441,7 +441,7 @@ g AS (SELECT CASE WHEN grouping(engine) = 1 THEN 'Total' ELSE engine END AS engi
 SELECT *, round(data_bytes / 1073741824.0, 3) AS data_gb, round(index_bytes / 1073741824.0, 3) AS index_gb,
   round(total_bytes / 1073741824.0, 3) AS total_gb FROM g""",
     "largest_tables": "WITH " + STORAGE + """
-SELECT *, data + "index" AS total, data + "index" >= 104857600 AS flag_size, row_count >= 10000 AS flag_rows
+SELECT *, data + "index" AS total, data + "index" >= 1248000000 AS flag_size, row_count >= 228 AS flag_rows
 FROM tb ORDER BY total DESC, table_name DESC LIMIT 10""",
     "large_payloads": """
 SELECT source || '-' || CAST(doc_id AS VARCHAR) AS cid, CAST(strlen(text) AS INTEGER) AS bytes,

@@ -26,6 +26,7 @@ ORDERS_NOW = "2002-01-01 00:00:00"
 REVIEW_SINCE = "2000-01-01 00:00:00"
 REVIEWER = "user7"
 PAYLOAD_TEST_LIMIT = 10_000
+LARGE_TEST_LOG = 540_000
 SPLIT_BRAIN_NOISE = "AH_SPLIT_BRAIN: Split brain detected: db=main"
 
 
@@ -77,7 +78,7 @@ def file_sizes(spark, sf_dir):
     per_site = (sizes.groupBy(F.regexp_extract("file", "site=([^/]+)", 1).alias("site"))
                 .agg(F.sum("bytes").alias("bytes")))
     return (per_site.withColumn("size_mb", F.round(F.col("bytes") / 1048576.0, 1))
-            .withColumn("flag_large", F.col("bytes") > src_lines.LARGE_LOG_BYTES))
+            .withColumn("flag_large", F.col("bytes") > LARGE_TEST_LOG))
 
 
 @register()
@@ -89,7 +90,7 @@ def read_stats_csv(spark, sf_dir):
 
 @register()
 def uncached_ratio(spark, sf_dir):
-    return fleet.uncached_ratio(fx.stats_rows(spark, sf_dir))
+    return fleet.uncached_ratio(fx.stats_rows(spark, sf_dir), bad=0.2)
 
 
 @register()
@@ -198,22 +199,22 @@ def _ten_minute_times(spark, sf_dir):
 
 @register("top_types")
 def _top_types(spark, sf_dir):
-    return watchdog.top_types(watchdog_log(spark, sf_dir))
+    return watchdog.top_types(watchdog_log(spark, sf_dir), alert=2010)
 
 
 @register("top_messages_per_type")
 def _top_messages_per_type(spark, sf_dir):
-    return watchdog.top_messages_per_type(watchdog_log(spark, sf_dir))
+    return watchdog.top_messages_per_type(watchdog_log(spark, sf_dir), alert=240)
 
 
 @register("top_not_found")
 def _top_not_found(spark, sf_dir):
-    return watchdog.top_not_found(watchdog_log(spark, sf_dir))
+    return watchdog.top_not_found(watchdog_log(spark, sf_dir), alert=51)
 
 
 @register("recent_cron")
 def _recent_cron(spark, sf_dir):
-    return watchdog.recent_cron(watchdog_log(spark, sf_dir))
+    return watchdog.recent_cron(watchdog_log(spark, sf_dir), 40)
 
 
 @register("module_changes")
@@ -303,7 +304,7 @@ def top_slow_files(spark, sf_dir):
 def recent_cron_files(spark, sf_dir):
     """``recent_cron`` over rotated text files; their layout is found from their first lines."""
     log = parse_watchdog(_rotated(spark, fx.watchdog_lines(spark, sf_dir, "semicolon"), "rotated-cron"))
-    return watchdog.recent_cron(log).drop("seq")
+    return watchdog.recent_cron(log, 40).drop("seq")
 
 
 @register()
@@ -502,7 +503,7 @@ def _storage_by_engine(spark, sf_dir):
 
 @register("largest_tables")
 def _largest_tables(spark, sf_dir):
-    return fleet.largest_tables(fx.storage_tables(spark, sf_dir))
+    return fleet.largest_tables(fx.storage_tables(spark, sf_dir), big_bytes=1_248_000_000, big_rows=228)
 
 
 @register("large_payloads")

@@ -59,8 +59,7 @@ def test_fast_form_equals_fold_on_chronological_input(spark, seed):
     req, rev = frames(spark, requested, reviews)
     exp = loop_fold(requested, reviews)
     assert _collect(review.review_state(req, rev)) == exp
-    assert _collect(review.review_state(req, rev, exact=False)) == exp
-    assert _collect(review.review_state(req, rev, exact=True)) == exp
+    assert _collect(review.review_state(req, rev, in_order=True)) == exp
 
 
 @settings(max_examples=8, deadline=None)
@@ -69,8 +68,7 @@ def test_exact_form_equals_fold_on_any_input(spark, seed):
     requested, reviews = _random_case(random.Random(seed), False)
     req, rev = frames(spark, requested, reviews)
     exp = loop_fold(requested, reviews)
-    assert _collect(review.review_state(req, rev, exact=True)) == exp
-    assert _collect(review.review_state(req, rev)) == exp  # auto: irregular groups take the literal fold
+    assert _collect(review.review_state(req, rev)) == exp
 
 
 def _php_nearest(hexcolor):

@@ -5,9 +5,11 @@ import time
 
 from pyspark.sql import functions as F
 
-from fleetlens.operators import inventory
+from fleetlens.operators import inventory, traffic
+from fleetlens.operators.common import last_n_by
 from fleetlens.sources import lines as sl
 from fleetlens.sources import tables as st
+from fleetlens.sources.parse import parse_access
 
 
 def _write(path, rows, gz=False):
@@ -39,16 +41,48 @@ def test_read_lines_plain_gzip_and_order_across_splits(spark, tmp_path):
     assert [v for _, v in sorted(by["b.log.gz"])] == rows[:500]
 
 
-def test_last_n_lines_size_rule(spark, tmp_path):
-    _write(tmp_path / "small.log", [f"s{i}" for i in range(50)])
+def test_last_n_lines(spark, tmp_path):
+    _write(tmp_path / "small.log", [f"s{i}" for i in range(5)])
     _write(tmp_path / "big.log", [f"b{i:04d}" for i in range(2000)])
     df = sl.read_lines(spark, str(tmp_path))
-    out = sl.last_n_lines(df, n=10, min_bytes=1000)
+    out = sl.last_n_lines(df, n=10)
     counts = {os.path.basename(r.file): r.n for r in out.groupBy("file").agg(F.count("*").alias("n")).collect()}
-    assert counts == {"small.log": 50, "big.log": 10}
+    assert counts == {"small.log": 5, "big.log": 10}
     assert sorted(r.value for r in out.filter(F.col("file").endswith("big.log")).collect())[0] == "b1990"
 
 
+def test_last_n_by_cuts_inside_and_between_chunks(spark):
+    rows = spark.range(300_000).select(F.concat(F.lit("f"), F.col("id") % 2).alias("file"), F.col("id").alias("seq"))
+    for n in (1, 1000, 40_000, 100_000, 200_000):
+        got = last_n_by(rows, n, "file").groupBy("file").agg(F.count("*").alias("n"), F.min("seq").alias("lo")).collect()
+        assert {(r.n, r.lo // 2) for r in got} == {(min(n, 150_000), max(0, 150_000 - n))}
+
+
+def test_last_n_of_a_host_over_rotated_files(spark):
+    rows = [("h", "b.log", 1, i, f"old{i}") for i in range(5)] + [("h", "a.log", 2, i, f"new{i}") for i in range(3)]
+    df = spark.createDataFrame(rows, "host string, file string, file_time int, seq long, value string")
+    assert sorted(r.value for r in last_n_by(df, 4, "host").collect()) == ["new0", "new1", "new2", "old4"]
+
+
+def test_long_values_are_kept_whole(spark):
+    """No text is cut: a method of 2 MiB comes back whole."""
+    line = '1.1.1.1 - - [01/Jan/2024:00:00:00 +0000] "' + "G" * (2 << 20) + ' /x HTTP/1.1" 200 1 "-" "a"'
+    assert len(parse_access(spark.createDataFrame([(line,)], "value string")).first().method) == 2 << 20
+
+
+def test_newest_lines_over_rotated_files(spark, tmp_path):
+    """A newer, larger file comes after the older one whatever Spark's scan order is."""
+    stamp = '10.0.0.1 - - [%02d/Jan/2024:00:00:00 +0000] "GET /cron.php HTTP/1.1" 200 1 "-" "a" hosting_site=s request_time=9000000'
+    _write(tmp_path / "access.log.1", [stamp % 1] * 20)
+    _write(tmp_path / "access.log", [stamp % 2] * 2000)
+    os.utime(tmp_path / "access.log.1", (1000, 1000))
+    os.utime(tmp_path / "access.log", (2000, 2000))
+    log = parse_access(sl.read_lines(spark, str(tmp_path / "access.log*")))
+    assert {r.value[:30] for r in traffic.latest_matching(log).collect()} == {(stamp % 2)[:30]}
+    slow = traffic.top_slow(log, "s").first()
+    assert (slow.first_ts.day, slow.last_ts.day) == (1, 2)
+
+
 def test_file_sizes_and_newest(spark, tmp_path):
     for i, name in enumerate(["a.log", "b.log", "c.log"]):
         _write(tmp_path / name, ["x" * (10 * (i + 1))])
