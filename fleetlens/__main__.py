@@ -21,7 +21,7 @@ def main(argv: list[str] | None = None) -> int:
     a.add_argument("log_dir")
     a.add_argument("site")
     a.add_argument("out")
-    a.add_argument("--recent", type=int, default=None, help="last N lines of files over 5 MiB")
+    a.add_argument("--recent", type=int, default=None, help="preview: only the last N lines of every file")
     w = sub.add_parser("watchdog-report", parents=[common], help="application log reports")
     w.add_argument("path")
     w.add_argument("today", help="yyyy-MM-dd")

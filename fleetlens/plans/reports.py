@@ -1,7 +1,8 @@
-"""Report bundles: the reports a site check prints, as named DataFrames over one
-parsed scan, and a registry of fleet checks that replaces ``--only`` / skip flags.
+"""Report bundles: the reports a site check prints, as named DataFrames over logs that
+are parsed once, and a registry of fleet checks that replaces ``--only`` / skip flags.
 
-Nothing here is evaluated until a report is written or shown."""
+A bundle writes its parsed logs to the shared folder when it is built; every report then
+reads only the columns it needs from there."""
 
 from __future__ import annotations
 
@@ -11,23 +12,27 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import fleet, fleetlog, traffic, watchdog
+from ..session import shared_dir
 from ..sources import lines as src_lines
 from ..sources.parse import parse_access, parse_php_error, parse_watchdog
 from ..sources.tables import write_report
 
 
 def access_log_report(spark: SparkSession, log_dir: str, site: str, slow_s: float = traffic.SLOW_SECONDS,
-                      recent_lines: int | None = None) -> dict[str, DataFrame]:
+                      recent_lines: int | None = None, disk: DataFrame | None = None) -> dict[str, DataFrame]:
     """Everything the access/error log check reports for one site, from
     ``access.log*`` and ``php-errors.log*`` in ``log_dir`` (plain or gzip).
-    ``recent_lines`` applies the 5 MiB / last-N-lines rule per file."""
+    ``recent_lines`` is a preview of the last lines of every file; ``disk`` holds the
+    hosts' ``df -k`` lines (host, value), for the low-space report."""
     acc_lines = src_lines.read_lines(spark, os.path.join(log_dir, "access.log*"))
     err_lines = src_lines.read_lines(spark, os.path.join(log_dir, "php-errors.log*"))
     if recent_lines:
         acc_lines = src_lines.last_n_lines(acc_lines, recent_lines)
         err_lines = src_lines.last_n_lines(err_lines, recent_lines)
-    access, errors = parse_access(acc_lines), parse_php_error(err_lines)
-    return {
+    access = _parsed_once(parse_access(acc_lines), "access")
+    errors = _parsed_once(parse_php_error(err_lines), "php-errors")
+    low = {"low_disk_space": fleetlog.low_disk_space(disk)} if disk is not None else {}
+    return low | {
         "log_sizes": src_lines.file_sizes(spark, os.path.join(log_dir, "*.log")),
         "hourly_traffic": traffic.hourly_traffic(access, site, slow_s),
         "top_slow": traffic.top_slow(access, site, slow_s),
@@ -40,11 +45,17 @@ def access_log_report(spark: SparkSession, log_dir: str, site: str, slow_s: floa
     }
 
 
+def _parsed_once(df: DataFrame, name: str) -> DataFrame:
+    path = shared_dir(df.sparkSession, f"parsed-{name}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def watchdog_report(spark: SparkSession, path: str, today: str, n_files: int = 5) -> dict[str, DataFrame]:
     """The application-log check for one log (either layout): types, top messages of
     the two largest types, not-found paths, recent cron runs, and module changes in
     the ``n_files`` newest rotated files."""
-    log = parse_watchdog(src_lines.read_lines(spark, path))
+    log = _parsed_once(parse_watchdog(src_lines.read_lines(spark, path)), "watchdog")
     newest = src_lines.newest_files(spark, path + "*", n_files)
     rotated = parse_watchdog(src_lines.read_lines(spark, newest)) if newest else log
     return {
@@ -66,6 +77,10 @@ CHECKS: dict[str, Callable[..., DataFrame]] = {
     "fpm_errors": fleetlog.count_literal_by_host,
     "nagios_downtime": fleetlog.downtime_events,
     "tasks": fleetlog.flag_tasks,
+    "disk": fleetlog.low_disk_space,
+    "webs_cpu": fleetlog.busy_cpu,
+    "max_conn": fleetlog.connection_limits,
+    "php_memory_limit": fleetlog.memory_limits,
     "audit": fleetlog.audit_errors,
     "external_connections": fleetlog.external_connections,
     "anonsession": fleetlog.session_status,

@@ -17,7 +17,9 @@ def test_access_report_bundle_and_sink(spark, tmp_path):
         for i, (p, s, us) in enumerate([("/a", 200, 10), ("/cron.php", 200, 4_000_000), ("/b", 503, 5)])])
     _w(logs / "php-errors.log", ['[05-Jan-2024 10:02:00 UTC] PHP Fatal error:  Allowed memory size of 1 bytes '
                                  'exhausted (tried to allocate 9 bytes) request_id="v-2"'])
-    rep = reports.access_log_report(spark, str(logs), "s1")
+    disk = spark.createDataFrame([("web-1", "/dev/sda1 100 90 10 90% /"), ("web-1", "tmpfs 1 1 0 100% /run")], "host string, value string")
+    rep = reports.access_log_report(spark, str(logs), "s1", disk=disk)
+    assert [r.filesystem for r in rep["low_disk_space"].collect()] == ["/dev/sda1"]
     assert rep["hourly_traffic"].first().n_requests == 3
     assert rep["oom_paths"].first().path == "/b"
     out = reports.write_reports(rep, str(tmp_path / "out"))
