@@ -196,7 +196,7 @@ def test_access_reports_are_split_invariant(spark, tmp_path):
 def test_cluster_conf_applies(spark):
     from fleetlens.session import apply_conf, cluster_conf
     conf = cluster_conf(100 * 10**12, 8000)
-    assert conf["spark.sql.shuffle.partitions"] == "50000"
+    assert conf["spark.sql.shuffle.partitions"] == str(100 * 10**12 // (256 << 20))
     saved = {k: spark.conf.get(k, None) for k in conf}
     try:
         apply_conf(spark, conf)
