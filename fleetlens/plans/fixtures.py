@@ -139,7 +139,7 @@ def _render_watchdog_lines(spark: SparkSession, sf_dir: str, layout: str = "pipe
     else:
         line = F.concat_ws("; ", F.concat(F.col("w_head"), F.lit(": "), F.col("w_msg")), F.col("w_url"),
                            _s(F.col("w_epoch")), F.col("w_type"), ip, F.col("a_path"), F.lit("-"), _s(UID()))
-    return w.select(F.lit("drupal-watchdog.log").alias("file"), EID().alias("seq"), line.alias("value"))
+    return w.select(F.concat(F.lit("drupal-watchdog-"), _s(UID() % 3), F.lit(".log")).alias("file"), EID().alias("seq"), line.alias("value"))
 
 
 # ---------------------------------------------------------------- F4 host logs
@@ -318,7 +318,7 @@ def _render_realm_lines(spark, sf_dir) -> DataFrame:
     env = F.when(K() % 2 == 0, "prod").otherwise("test")
     line = F.when(EID() % 10 == 0, F.concat(F.lit("["), label, F.lit("]:"))).otherwise(
         F.concat(F.lit(" site"), _s(UID() % 3), F.lit("."), env, F.lit(" "), _s(K())))
-    return ev.select(F.lit("realms.txt").alias("file"), EID().alias("seq"), line.alias("value"))
+    return ev.select(F.concat(F.lit("realms-"), _s(F.expr("event_id div 1000"))).alias("file"), EID().alias("seq"), line.alias("value"))
 
 
 def realm_labels(spark) -> DataFrame:

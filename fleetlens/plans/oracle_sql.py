@@ -325,13 +325,13 @@ FROM ev GROUP BY event_id // 20""", EV),
     "resolve_sections": _q("""
 , s AS (
   SELECT ['Enterprise', 'Standard', 'Network', 'Gardens', 'Legacy'][(event_id // 10) % 5 + 1] AS label,
-    'realms.txt' AS file, event_id AS seq,
+    'realms-' || CAST(event_id // 1000 AS VARCHAR) AS file, event_id AS seq,
     'site' || CAST(user_id % 3 AS VARCHAR) || '.' || CASE WHEN k % 2 = 0 THEN 'prod' ELSE 'test' END AS site
   FROM ev WHERE event_id % 10 <> 0)
 SELECT label, file, seq, site,
   CASE label WHEN 'Enterprise' THEN 'ent' WHEN 'Standard' THEN 'std' WHEN 'Network' THEN 'net' WHEN 'Gardens' THEN 'gdn' END
     AS code,
-  seq = (SELECT max(seq) FROM s) AS chosen
+  seq = max(seq) OVER (PARTITION BY file) AS chosen
 FROM s""".lstrip("\n"), EV),
     "passive_or_active": """
 WITH h AS (
