@@ -33,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from fleetlens.llm.scratch import Scratch
+from fleetlens.llm.words import trimmed
 
 #: bytes of distinct texts a map task holds before it emits its table
 LOCAL_BYTES = 32 << 20
@@ -125,7 +126,7 @@ def _local_tables(key: str, text: str, limit: int):
         if table:
             yield from emit()
 
-    return run
+    return trimmed(run)
 
 
 class _Table:
@@ -243,7 +244,7 @@ def _grace(limit: int):
         finally:
             shutil.rmtree(folder, ignore_errors=True)
 
-    return run
+    return trimmed(run)
 
 
 def _outcome(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens.llm.scratch import Scratch
+from fleetlens.llm.words import trimmed
 
 BITS = 18
 #: rows a language gives to training, and how often they are gone through
@@ -81,6 +82,7 @@ def _vectors(grams, rows: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(key[a:b] & ((1 << BITS) - 1), count[a:b] / max(1, count[a:b].sum())) for a, b in zip(cut[:-1], cut[1:])]
 
 
+@trimmed
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df = np.zeros((1 << BITS) + 1, np.int64)
     seen = np.zeros(1 << BITS, np.int64)
@@ -100,6 +102,7 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(df[at], pa.int64())], names=["feature", "n"])
 
 
+@trimmed
 def _sample_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         feature, weight = [], []
@@ -173,7 +176,7 @@ def _train(idf: np.ndarray, epochs: int):
         model = (languages, (weights * idf[:, None]).astype(np.float32), temperature)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model, protocol=5)], pa.binary())], names=["model"])
 
-    return run
+    return trimmed(run)
 
 
 def fit(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -209,7 +212,7 @@ def _predicted(model):
             yield pa.RecordBatch.from_arrays([*rest, pa.array(lang, pa.string()), pa.array(score, pa.float64())],
                                              names=[*(c for c in b.schema.names if c != "text"), "lang_pred", "score"])
 
-    return run
+    return trimmed(run)
 
 
 def predict(docs: DataFrame, model: Model | None, carry: dict[str, Column], text_col: str = "text") -> DataFrame:

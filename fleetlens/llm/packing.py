@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from fleetlens.llm import tokenise
 from fleetlens.llm.ranks import numbered
 from fleetlens.llm.scratch import Scratch
+from fleetlens.llm.words import trimmed
 
 CAPACITY = 2048
 #: buckets in which the pieces of one length are numbered
@@ -158,7 +159,7 @@ def _pieces(path: str, capacity: int, end: int):
                     names=["uid", "id", "piece", "start", "length", "ids"])
                 uid += len(doc)
 
-    return run
+    return trimmed(run)
 
 
 def _placed(places):
@@ -168,7 +169,7 @@ def _placed(places):
             yield pa.RecordBatch.from_arrays([b.column("uid"), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())],
                                              names=["uid", "sequence_id", "offset"])
 
-    return run
+    return trimmed(run)
 
 
 class Packed(NamedTuple):

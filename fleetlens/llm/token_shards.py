@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from fleetlens.llm import tokenise
 from fleetlens.llm.scratch import Scratch
-from fleetlens.llm.words import mix
+from fleetlens.llm.words import mix, trimmed
 
 LENGTH = 2048
 #: sequences in a shard file
@@ -78,7 +78,7 @@ def _blocks(path: str, end: int):
                     names=["part", "before", "n", "ids", "largest"])
                 before += len(whole)
 
-    return run
+    return trimmed(run)
 
 
 def _narrow(ids: np.ndarray) -> np.ndarray:
@@ -102,7 +102,7 @@ def _sequences(order: Permutation, length: int, kind: str):
                      pa.array([pack.compress(ids[s:e].tobytes()) for s, e in zip(begin.tolist(), stop.tolist())], pa.binary())],
                     names=["slot", "sequence_id", "at", "ids"])
 
-    return run
+    return trimmed(run)
 
 
 def _shards(folder: str, length: int, per_shard: int, kind: str, pad: int):
@@ -149,7 +149,7 @@ def _shards(folder: str, length: int, per_shard: int, kind: str, pad: int):
             close()
             yield _manifest(rows)
 
-    return run
+    return trimmed(run)
 
 
 def _manifest(rows: list[tuple]) -> pa.RecordBatch:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -38,6 +40,25 @@ class Words(NamedTuple):
         return b" ".join(self.data[s:e].tobytes() for s, e in zip(self.start[a:b].tolist(), self.end[a:b].tolist()))
 
 
+def trimmed(run):
+    """A task function that hands its worker's free memory back when the task ends.
+
+    Workers live on between tasks, next to the executor's heap.
+    """
+    @functools.wraps(run)
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return inner
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Bijective finaliser of 64-bit values."""
     h = h ^ (h >> np.uint64(30))
