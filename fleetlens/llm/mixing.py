@@ -70,7 +70,10 @@ def mix(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str =
         F.min("bucket").alias("cut_bucket"), F.min_by("_start", "bucket").alias("cut_start"))
     plan = budget.alias("p").join(cut.alias("c"), F.col("p.source").eqNullSafe(F.col("c.source")), "left").select(
         "p.*", "cut_bucket", "cut_start")
-    d = docs.alias("d").join(plan.alias("q"), F.col("d.source").eqNullSafe(F.col("q.source")), "left").select(
+    # documents meet the plan by source and bucket, so that a hot source is dealt over all its buckets
+    fate = starts.alias("s").join(plan.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source"))).select(
+        "s.source", "s.bucket", "source_size", "target", "epochs", "rest", "cut_bucket", "cut_start")
+    d = docs.alias("d").join(fate.alias("f"), F.col("d.source").eqNullSafe(F.col("f.source")) & (F.col("d.bucket") == F.col("f.bucket"))).select(
         "d.*", "source_size", "target", "epochs", "rest", "cut_bucket", "cut_start")
     d = scratch.write(d, "planned")
     whole = d.where("cut_bucket is null or bucket <> cut_bucket").withColumn(
