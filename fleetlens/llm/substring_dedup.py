@@ -5,7 +5,8 @@ in a document with a smaller id.  Shards are cut by content, so that a document
 the shards that can hold its windows:
 
 1. Every window is anchored at one of its ``gram``-word grams, the first in the order of
-   ``sketch`` (rare before common) and hash.  Consecutive windows with one anchor are a run.
+   ``sketch`` (rare before common) and hash.  Consecutive windows with equal anchors are a run
+   (of at most ``LONGEST_RUN`` windows; repetitive text has long ones).
    Equal windows have equal anchors, so only runs whose anchor occurs in two documents matter.
 2. Those runs are read from the text as passages; equal passages are pre-aggregated to their
    smallest id, so that thousands of copies are one row.
@@ -35,12 +36,14 @@ from pyspark.sql import DataFrame, functions as F
 from fleetlens.llm import sketch, words
 from fleetlens.llm.fm_index import FMIndex
 from fleetlens.llm.scratch import Scratch
+from fleetlens.llm.words import trimmed
 
 WINDOW = 50
 GRAM = 10
 #: words of one FM-index; a shard's anchors are indexed together up to it
 INDEX_WORDS = 1 << 20
 SPLIT = 4096
+LONGEST_RUN = 256
 
 
 def _first_least(key: np.ndarray, width: int) -> np.ndarray:
@@ -90,15 +93,17 @@ def _runs(level, window: int, gram: int):
                 starts = np.flatnonzero((np.arange(len(least)) + width <= goff[doc + 1]) & ids.is_valid().to_numpy(False)[doc + w.first])
                 if not len(starts):
                     continue
-                anchor, of = least[starts], doc[starts]
+                anchor, of = key[least[starts]], doc[starts]
                 new = np.ones(len(starts), bool)
                 new[1:] = (anchor[1:] != anchor[:-1]) | (of[1:] != of[:-1])
                 lead = np.flatnonzero(new)
+                new |= (np.arange(len(starts)) - np.repeat(lead, np.diff(np.append(lead, len(starts))))) % LONGEST_RUN == 0
+                lead = np.flatnonzero(new)
                 of = of[lead]
-                yield _runs_batch(b, of + w.first, anchor=key[anchor[lead]].astype(np.int64),
+                yield _runs_batch(b, of + w.first, anchor=anchor[lead].astype(np.int64),
                                   start=starts[lead] - goff[of], count=np.diff(np.append(lead, len(starts))))
 
-    return run
+    return trimmed(run)
 
 
 def _runs_batch(b: pa.RecordBatch, rows: np.ndarray, n=None, sha=None, anchor=None, start=None, count=None) -> pa.RecordBatch:
@@ -131,7 +136,7 @@ def _passages(window: int):
                  pa.array([xxhash.xxh3_128_digest(t) for t in text], pa.binary()), pa.array(text, pa.binary()).cast(pa.string())],
                 names=["id", "sig", "anchor", "start", "key", "passage"])
 
-    return run
+    return trimmed(run)
 
 
 def _single_windows(window: int):
@@ -151,7 +156,7 @@ def _single_windows(window: int):
                  pa.array([xxhash.xxh3_128_digest(t) for t in text], pa.binary()), pa.array(text, pa.string())],
                 names=["id", "sig", "anchor", "start", "key", "passage"])
 
-    return run
+    return trimmed(run)
 
 
 def _shard(window: int, most_words: int):
@@ -199,7 +204,7 @@ def _shard(window: int, most_words: int):
         if parts:
             yield index(parts)
 
-    return run
+    return trimmed(run)
 
 
 def _removed(window: int):
@@ -229,7 +234,7 @@ def _removed(window: int):
                 [b.column("id"), b.column("sig"), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary()).cast(pa.string())],
                 names=["id", "sig", "n_removed", "sha", "kept"])
 
-    return run
+    return trimmed(run)
 
 
 def substring_dedup(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
@@ -244,7 +249,7 @@ def substring_dedup(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
 
     # runs whose anchor occurs in two documents, with their texts
     shared = runs.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor")
-    per_doc = runs.join(shared, "anchor").distinct().groupBy("id", "sig").agg(
+    per_doc = runs.join(shared, "anchor").groupBy("id", "sig").agg(
         F.collect_list(F.struct("anchor", "start", "count")).alias("runs"))
     suspects = scratch.write(docs.join(per_doc, ["id", "sig"]).dropDuplicates(["id", "sig"]), "suspects")
     fields = f"id {kind}, sig long, anchor long, start int, key binary, passage string"
