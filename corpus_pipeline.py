@@ -29,27 +29,27 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs, scratch)
     judged = langid.predict(docs, model, {f"c{i}": F.col(c) for i, c in enumerate(docs.columns)} | {"body": F.col("text")})
     kept = judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return scratch.finish(kept.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns))))
+    scratch.drop(*list(scratch.tables))
+    return kept.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts: the one with the largest doc_id."""
-    scratch = Scratch(spark, "pipeline-exact")
-    return scratch.finish(exact_dedup(docs, scratch).survivors)
+    return exact_dedup(docs, Scratch(spark, "pipeline-exact")).survivors
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8): the smallest doc_id."""
     scratch = Scratch(spark, "pipeline-near")
     groups = near_groups(docs, scratch, how=Similar(5, 80, 100))
-    keep = groups.where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return scratch.finish(docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"))
+    keep = scratch.finish(groups.where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct())
+    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
 
 def sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sources mixed to weights 5, 2, 1 in turn: documents as often as they are taken."""
     scratch = Scratch(spark, "pipeline-sources")
-    return scratch.finish(repeated(docs, mix(docs, scratch)))
+    return repeated(docs, scratch.finish(mix(docs, scratch)))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
