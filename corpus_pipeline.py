@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from fleetlens.llm import langid
 from fleetlens.llm.exact_dedup import exact_dedup
 from fleetlens.llm.jaccard_join import Similar, near_groups
-from fleetlens.llm.mixing import mix, repeated
+from fleetlens.llm.mixing import mix, repeated, with_rows
 from fleetlens.llm.packing import pack
 from fleetlens.llm.queries import tokenizer_path
 from fleetlens.llm.scratch import Scratch
@@ -49,7 +49,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sources mixed to weights 5, 2, 1 in turn: documents as often as they are taken."""
     scratch = Scratch(spark, "pipeline-sources")
-    return repeated(docs, scratch.finish(mix(docs, scratch)))
+    rows = with_rows(docs, Scratch(spark, "pipeline-rows"))
+    return repeated(rows, scratch.finish(mix(rows, scratch)))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,9 @@ to the exact word.  The order is cut in two steps that never sort a source in on
 key's leading digits are a bucket, bucket sums are pre-aggregated and prefix-summed per
 source, and only the one bucket per source that holds the cut is sorted row by row.
 
+Rows are repeated by their own decision: ``with_rows`` gives each a number, which ``mix`` carries
+and ``repeated`` joins on, so that rows may share an id, or have none.
+
 Defined results: a null text has size 0; a null source is a source of its own, the last one;
 rows with the same id have the same key, and which of them comes first makes no difference;
 sources without words have target 0; an empty table gives an empty result.
@@ -23,6 +26,8 @@ from fleetlens.llm.words import WORD
 
 #: hexadecimal digits of a bucket: 4096 buckets a source
 DIGITS = 3
+#: column of the rows' own numbers
+ROW = "_mix_row"
 
 
 def word_count(text: Column) -> Column:
@@ -51,13 +56,22 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], most: float) -> Dat
     return s.select("source", "source_size", target.alias("target"))
 
 
+def with_rows(df: DataFrame, scratch: Scratch) -> DataFrame:
+    """``df`` with a number of its own for every row, as written: reading it again gives the same numbers."""
+    return scratch.write(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
 def mix(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: Sequence[int] = (5, 2, 1), most: float = 3.0, seed: str = "mix", size: Column | None = None) -> DataFrame:
-    """One row per document: id, size, source, source_size, target of its source, and taken words."""
+    """One row per document: id, size, source, source_size, target of its source, and taken words.
+
+    The numbers of ``with_rows`` are passed on where ``df`` has them.
+    """
+    row = [ROW] if ROW in df.columns else []
     size = word_count(F.col(text_col)) if size is None else size
     digest = F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")))
     docs = scratch.write(df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"),
-                                   digest.alias("key"), F.substring(digest, 1, DIGITS).alias("bucket")), "sizes")
+                                   digest.alias("key"), F.substring(digest, 1, DIGITS).alias("bucket"), *row), "sizes")
     starts = scratch.write(bucket_starts(docs, ["source"], "bucket", "size"), "buckets")
     targets = scratch.write(source_targets(starts.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights, most), "targets")
     rest = F.floor(F.col("target")) - F.col("epochs") * F.col("source_size")
@@ -78,18 +92,30 @@ def mix(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str =
     d = scratch.write(d, "planned")
     whole = d.where("cut_bucket is null or bucket <> cut_bucket").withColumn(
         "part", F.when(F.col("bucket") < F.col("cut_bucket"), F.col("size")).otherwise(F.lit(0)).cast("long"))
-    running = F.sum("size").over(Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1))
+    running = F.sum("size").over(Window.partitionBy("source").orderBy("key", "doc_id", "size", *row).rowsBetween(Window.unboundedPreceding, -1))
     split = d.where("bucket = cut_bucket").withColumn("left", F.col("rest") - F.col("cut_start") - F.coalesce(running, F.lit(0))).withColumn(
         "part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("left"))).cast("long")).drop("left")
     taken = F.col("epochs") * F.col("size") + F.col("part")
-    return whole.unionByName(split).select(F.col("doc_id").alias(id_col), "size", "source", "source_size", "target", taken.cast("long").alias("taken"))
+    return whole.unionByName(split).select(
+        F.col("doc_id").alias(id_col), "size", "source", "source_size", "target", taken.cast("long").alias("taken"), *row)
 
 
 def repeated(df: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The mixed documents, with the columns of ``df``: each as often as it is taken whole, and cut to
-    its leading words where a source's budget ends inside it."""
-    takes = decisions.where("taken > 0").groupBy(F.col(id_col).alias("_id")).agg(F.max("size").alias("_size"), F.max("taken").alias("_taken"))
-    rows = df.join(takes, F.col(id_col).eqNullSafe(F.col("_id")))
+    """The mixed documents, with the columns of ``df`` but ``ROW``: each row as often as it is taken
+    whole, and cut to its leading words where a source's budget ends inside it.
+
+    ``decisions`` are those of ``mix`` over ``df``.  Rows without the numbers of ``with_rows`` meet
+    theirs by id, which fails where several rows share one.
+    """
+    columns = [c for c in df.columns if c != ROW]
+    if ROW in df.columns:
+        takes = decisions.where("taken > 0").select(F.col(ROW), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+        rows = df.join(takes, ROW)
+    else:
+        shared = F.raise_error(F.lit("rows share an id: number them by with_rows before mix"))
+        takes = decisions.groupBy(F.col(id_col).alias("_id")).agg(F.max("size").alias("_size"), F.when(
+            F.count("*") > 1, shared.cast("long")).otherwise(F.max("taken")).alias("_taken")).where("_taken > 0")
+        rows = df.join(takes, F.col(id_col).eqNullSafe(F.col("_id")))
     times = F.expr("sequence(1, cast(ceil(_taken / _size) as int))")
     rows = rows.withColumn("_turn", F.explode(times))
     room = F.least(F.col("_size"), F.col("_taken") - (F.col("_turn") - 1) * F.col("_size"))
@@ -97,4 +123,4 @@ def repeated(df: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text_c
     rows = rows.withColumn(text_col, F.when(room < F.col("_size"), lead).otherwise(F.col(text_col)))
     if "n_chars" in df.columns:
         rows = rows.withColumn("n_chars", F.when(room < F.col("_size"), F.length(text_col).cast(df.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*df.columns)
+    return rows.select(*columns)
