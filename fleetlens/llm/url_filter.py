@@ -5,6 +5,10 @@ other, or name each other as canonical, are aliases: connected components over t
 found by a distributed algorithm.  A block decision holds for all aliases without a rule of
 their own, unless one of the aliases is explicitly allowed: explicit allow takes precedence.
 
+Links are read as html has them: attribute values end at their own quote, character references
+are decoded, a refresh target is the rest of its attribute or ends at a quote of its own, and dot
+segments make no difference to a url's identity.
+
 Defined results: a null url, or one without ``://``, has empty host and path, no rule, no
 aliases and is allowed; repeated pages are judged alike; links that are null, empty or to the
 page itself add nothing; an empty table gives an empty result.
@@ -12,7 +16,10 @@ page itself add nothing; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import html
+import re
 from collections.abc import Sequence
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -21,11 +28,36 @@ from fleetlens.llm.scratch import Scratch
 
 AUTHORITY = r"^[\s\S]*?://([^/?#]*)"
 PATH = r"^[\s\S]*?://[^/?#]*([^?#]*)"
+BEFORE_PATH = r"^([\s\S]*?://[^/?#]*)"
+BEHIND_PATH = r"^[\s\S]*?://[^?#]*([\s\S]*)"
 QUERY = r"^[^#]*?(\?[^#]*)"
 CANONICAL = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
 REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-REFRESH_URL = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)"
+VALUE = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^"'\s>][^\s>]*))"""
+HREF = re.compile(r"(?is)\bhref" + VALUE)
+CONTENT = re.compile(r"(?is)\bcontent" + VALUE)
+REFRESH_URL = re.compile(r"""(?is)\burl\s*=\s*(?:"([^"]*)|'([^']*)|(.*))""")
+REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|([A-Za-z][A-Za-z0-9]*;?)(?!=))")
+DOTS = r"(?i)/(\.|%2e){1,2}(/|$)"
+
+
+def decoded(value: str) -> str:
+    """An attribute's value with its character references decoded, as html defines it for attributes.
+
+    Names without ``;`` stay where a letter, digit or ``=`` follows, as in ``?a=1&copy=2``.
+    """
+    return REFERENCE.sub(lambda m: html.unescape(m[0]) if m[1] is None else html5.get(m[1], m[0]), value)
+
+
+def _value(pattern: re.Pattern, text: str) -> str:
+    found = pattern.search(text)
+    return next((g for g in found.groups() if g is not None), "") if found else ""
+
+
+def _target(canonical: str, refresh: str) -> list[str]:
+    """Links of a canonical tag and of a refresh tag, each empty where there is none."""
+    links = decoded(_value(HREF, canonical)), _value(REFRESH_URL, decoded(_value(CONTENT, refresh)))
+    return [re.sub(r"[\t\n\r]", "", link).strip(" \x0b\x0c") for link in links]
 
 
 def host(url: Column) -> Column:
@@ -37,9 +69,21 @@ def path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), PATH, 1)
 
 
+def without_dots(path_: Column) -> Column:
+    """A path with its ``.`` and ``..`` segments applied; it never leaves the root."""
+    def step(kept: Column, segment: Column) -> Column:
+        up = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1)))
+        return (F.when(F.regexp_like(segment, F.lit(r"^(?i)(\.|%2e)$")), kept).when(F.regexp_like(segment, F.lit(r"^(?i)(\.|%2e){2}$")), up)
+                .otherwise(F.concat(kept, F.array(segment))))
+
+    segments = F.concat(F.split(path_, "/"), F.when(F.regexp_like(path_, F.lit(r"(?i)/(\.|%2e){1,2}$")), F.array(F.lit(""))).otherwise(
+        F.array().cast("array<string>")))
+    return F.when(F.regexp_like(path_, F.lit(DOTS)), F.array_join(F.aggregate(segments, F.array().cast("array<string>"), step), "/")).otherwise(path_)
+
+
 def node(url: Column) -> Column:
-    """Identity of a url: host, path and query; scheme and fragment make no difference.  Null without host."""
-    return F.when(host(url) != "", F.concat(host(url), F.when(path(url) == "", F.lit("/")).otherwise(path(url)),
+    """Identity of a url: host, path without dot segments, and query; scheme and fragment make no difference.  Null without host."""
+    return F.when(host(url) != "", F.concat(host(url), F.when(path(url) == "", F.lit("/")).otherwise(without_dots(path(url))),
                                             F.regexp_extract(url, QUERY, 1)))
 
 
@@ -48,18 +92,20 @@ def resolve(link: Column, base: Column) -> Column:
     scheme = F.regexp_extract(base, r"^([^:]*):", 1)
     site = F.concat(scheme, F.lit("://"), F.regexp_extract(base, AUTHORITY, 1))
     folder = F.regexp_extract(path(base), r"^(.*/)", 1)
-    return (F.when(link.isNull() | (link == ""), None).when(F.regexp_like(link, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*://")), link)
-            .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link)).when(link.startswith("/"), F.concat(site, link))
-            .when(link.startswith("?") | link.startswith("#"), F.concat(site, path(base), link))
-            .otherwise(F.concat(site, F.when(folder == "", F.lit("/")).otherwise(folder), link)))
+    whole = (F.when(link.isNull() | (link == ""), None).when(F.regexp_like(link, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*://")), link)
+             .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link)).when(link.startswith("/"), F.concat(site, link))
+             .when(link.startswith("?") | link.startswith("#"), F.concat(site, path(base), link))
+             .otherwise(F.concat(site, F.when(folder == "", F.lit("/")).otherwise(folder), link)))
+    return F.concat(F.regexp_extract(whole, BEFORE_PATH, 1), without_dots(path(whole)), F.regexp_extract(whole, BEHIND_PATH, 1))
 
 
 def html_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(src, dst) urls of canonical links and refresh redirects in the pages' html."""
-    html = F.col(html_col)
-    targets = F.array(F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), HREF, 1),
-                      F.regexp_extract(F.regexp_extract(html, REFRESH, 0), REFRESH_URL, 1))
-    links = pages.select(F.col(url_col).alias("src"), F.explode(targets).alias("link")).where("link <> ''")
+    markup = F.col(html_col)
+    tags = pages.select(F.col(url_col).alias("src"), F.regexp_extract(markup, CANONICAL, 0).alias("canonical"),
+                        F.regexp_extract(markup, REFRESH, 0).alias("refresh")).where("canonical <> '' or refresh <> ''")
+    targets = F.udf(_target, "array<string>", useArrow=False)(F.col("canonical"), F.col("refresh"))
+    links = tags.select("src", F.explode(targets).alias("link")).where("link <> ''")
     return links.select("src", resolve(F.col("link"), F.col("src")).alias("dst"))
 
 

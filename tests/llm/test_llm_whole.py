@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from fleetlens.llm import queries, url_filter
 from fleetlens.llm.mixing import mix, repeated, with_rows
 from fleetlens.llm.scratch import Scratch
 
@@ -37,3 +38,22 @@ def test_mixing_repeats_every_row_by_its_own_decision(spark):
     assert collections.Counter(w for r in own for w in r["text"].split()) == +taken
     with pytest.raises(Exception, match="share an id"):
         repeated(df, mix(df, Scratch(spark, "t"))).collect()
+
+
+def test_links_are_read_as_html_has_them(spark):
+    """Each odd page is an alias of a page that is blocked by way of its own canonical link."""
+    link, refresh, block = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="{}">', "http://a.net/es/1"
+    targets = ["http://q.org/p?page=2&ref=x", "http://q.org/a/x/y", "http://q.org/up/", "http://q.org/x;id=1", "http://q.org/y;id=1", "http://q.org/z?a=1&b=2",
+               "http://q.org/c?a=1&copy=2", "http://q.org/o'b", "http://q.org/é?x"]
+    odd = [("http://r.org/1", link.format("http://q.org/p?page=2&amp;ref=x")), ("http://r.org/2", link.format("http://q.org/p?page=2&#38;ref=x")),
+           ("http://r.org/3", link.format("http://q.org/p?page=2&#x26;ref=x")), ("http://q.org/a/b/c", link.format("../x/./y")),
+           ("http://r.org/4", link.format("http://q.org/a/b/%2E%2e/x/y")), ("http://q.org/up/b/c", link.format("..")),
+           ("http://r.org/5", refresh.format("0; url=http://q.org/x;id=1")), ("http://r.org/6", refresh.format("0;URL='http://q.org/y;id=1' ")),
+           ("http://r.org/7", refresh.format("0; url=http://q.org/z?a=1&amp;b=2")), ("http://r.org/8", link.format("http://q.org/c?a=1&copy=2")),
+           ("http://r.org/9", link.format("http://q.org/o'b")), ("http://r.org/10", link.format(" http://q.org/&eacute;?x\n")),
+           ("http://r.org/11", "<meta http-equiv=refresh content=0;url=http://q.org/x;id=1>"), ("http://q.org/up/d", link.format("../../../up/"))]
+    free = [("http://s.org/1", link.format("http://q.org/x")), ("http://s.org/2", link.format("http://q.org/p?page=2")), ("http://q.org/a/b/x/y", "<p>")]
+    pages = [(u, link.format(block)) for u in targets] + odd + free
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = url_filter.filter_urls(df, queries.URL_RULES, url_filter.html_links(df), Scratch(spark, "t")).collect()
+    assert {pages[r["page_id"]][0] for r in got if r["verdict"] == "block"} == {u for u, _ in pages} - {u for u, _ in free} and len(got) == len(pages)
