@@ -11,6 +11,7 @@ rows that repeat id and text get the same answer; an empty table gives an empty
 from __future__ import annotations
 
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -47,9 +48,49 @@ Permission is granted to anyone to use this software for any purpose, including
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 
 3. This notice may not be removed or altered from any source distribution."""
-KNOWN = [
-    ("MIT", "text", MIT), ("MIT", "text", "MIT License\n\n" + MIT), ("ISC", "text", ISC), ("ISC", "text", "ISC License\n\n" + ISC),
-    ("BSD-2-Clause", "text", BSD_2), ("Zlib", "text", ZLIB),
+TEXTS = Path(__file__).with_name("licence_texts")
+END = "END OF TERMS AND CONDITIONS"
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"), "ISC": ("ISC License", "The ISC License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License'),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License'),
+    "Zlib": ("zlib License", "The zlib License", "The zlib/libpng License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
+# who disclaims in the BSD texts, and whose name may not be used
+HOLDERS = [("REGENTS", "REGENTS"), ("COPYRIGHT HOLDERS", "COPYRIGHT HOLDER"), ("COPYRIGHT HOLDERS", "COPYRIGHT HOLDERS"),
+           ("COPYRIGHT HOLDERS", "COPYRIGHT OWNER")]
+NAMES = ["the University", "the copyright holder", "the copyright holders", "the copyright owner", "the author", "the authors",
+         "the organization"]
+
+
+def _bsd(regents: str) -> list[str]:
+    """Usual forms of a BSD text: its holders, names, and clauses numbered, lettered or marked by signs."""
+    by_holder = [regents.replace("BY THE REGENTS", f"BY THE {a}").replace("SHALL THE REGENTS", f"SHALL THE {b}") for a, b in HOLDERS]
+    named = [t.replace("the University", name).replace("its contributors", i) for t in by_holder for name in NAMES for i in ("its contributors", "their contributors")]
+    out = {t.replace("1. Redis", f"{x} Redis").replace("2. Redis", f"{y} Redis").replace("3. Neither", f"{z} Neither")
+           for t in named for x, y, z in (("1.", "2.", "3."), ("a.", "b.", "c."), ("*", "*", "*"))}
+    return sorted(out)
+
+
+def known_texts() -> list[tuple[str, str, str]]:
+    """Whole texts: those above and the files of ``TEXTS``, also under their titles or without what follows the terms."""
+    files = [(f.stem, f.read_text(encoding="utf-8")) for f in sorted(TEXTS.glob("*.txt"))]
+    texts = [("MIT", MIT), ("ISC", ISC), ("Zlib", ZLIB)]
+    for name, text in files:
+        texts += [(name, t) for t in (_bsd(text) if name == "BSD-3-Clause" else [text])]
+        # a heading is alone on its line; other lines name it in passing
+        ends = [i for i, line in enumerate(text.split("\n")) if line.strip() == END]
+        if ends:
+            lines = text.split("\n")
+            texts += [(name, "\n".join(lines[:ends[0] + 1])), (name, "\n".join(lines[:ends[0]]))]
+    regents = BSD_2.replace("BY THE COPYRIGHT HOLDERS", "BY THE REGENTS").replace("SHALL THE COPYRIGHT HOLDER", "SHALL THE REGENTS")
+    texts += [("BSD-2-Clause", t) for t in _bsd(regents)]
+    titled = [(name, f"{title}\n\n{t}") for name, t in texts for title in TITLES.get(name, ())]
+    return [(name, "text", t) for name, t in dict.fromkeys(texts + titled)]
+
+
+KNOWN = known_texts() + [
     ("MIT", "notice", "Released under the MIT License."), ("MIT", "notice", "Licensed under the MIT License."),
     ("Apache-2.0", "notice", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "notice", "Released under the Apache License, Version 2.0."),
@@ -59,7 +100,13 @@ KNOWN = [
     ("GPL-2.0", "notice", "This work is licensed under the GNU General Public License, version 2."),
 ]
 
-COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright[ \t]*(\(c\)|©|<?(year|[0-9]{4}))|\(c\)|©|all rights reserved)[^\n]*$"
+# comment signs before it, then: copyright with a sign or year, a sign with a year or a short name, copyright with a name and years
+COPYRIGHT_LINE = (
+    r"(?m)^[ \t/*#;%!<>|.\\\x22\x27-]*("
+    r"copyright[ \t:]*(\(c\)|©|[<\[({]?(year|yyyy|[0-9]{4}))[^\n]*|©[^\n]*|all rights reserved[^\n]*"
+    r"|\(c\)[ \t]*(copyright|©|[<\[({]?(year|yyyy|[0-9]{4}))[^\n]*|\(c\)([ \t]+[^ \t\n]+){1,5}[ \t]*"
+    r"|(copyright|\(c\))[ \t:]+([^ \t\n0-9]+[ \t]+){1,8}[<\[({]?(year|yyyy|[0-9]{4})([ \t,–-]+([0-9]{4}|present))*[\])}>]?[ \t.,;*/#>-]*(all rights reserved[ \t.,;*/#>-]*)?"
+    r")\r?$")
 NOT_ALNUM = r"[^\p{L}\p{N}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

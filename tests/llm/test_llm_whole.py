@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from fleetlens.llm import queries, url_filter
+from fleetlens.llm import licences, queries, url_filter
 from fleetlens.llm.mixing import mix, repeated, with_rows
 from fleetlens.llm.scratch import Scratch
 
@@ -57,3 +57,23 @@ def test_links_are_read_as_html_has_them(spark):
     df = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id long, url string, html string")
     got = url_filter.filter_urls(df, queries.URL_RULES, url_filter.html_links(df), Scratch(spark, "t")).collect()
     assert {pages[r["page_id"]][0] for r in got if r["verdict"] == "block"} == {u for u, _ in pages} - {u for u, _ in free} and len(got) == len(pages)
+
+
+def test_licences_of_whole_texts_and_in_comments(spark):
+    texts = {f.stem: f.read_text() for f in licences.TEXTS.glob("*.txt")}
+    assert {"Apache-2.0", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"} <= texts.keys()
+    rows = [(name, text) for name, text in texts.items()]
+    rows += [(name, " ".join(licences.TEXTS.joinpath(f"{name}.txt").read_text().split("\n\n"))) for name in ("BSL-1.0", "Unlicense")]
+    apache = texts["Apache-2.0"]
+    rows += [("Apache-2.0", apache[:apache.index("APPENDIX")]), ("Apache-2.0", apache.replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2020 Jane Doe")),
+             ("Apache-2.0", "\n\n".join(" ".join(p.split()) for p in apache.split("\n\n")))]
+    bsd = texts["BSD-3-Clause"].replace("the University", "the copyright holder").replace("BY THE REGENTS", "BY THE COPYRIGHT HOLDERS").replace("THE REGENTS", "THE COPYRIGHT HOLDER")
+    rows += [("BSD-3-Clause", "BSD 3-Clause License\n\n" + bsd), ("BSD-3-Clause", bsd.replace("1.", "*").replace("2.", "*").replace("3.", "*"))]
+    body = licences.MIT.split("\n")
+    for line in ("Copyright (c) 2020 X", "Copyright Jane Doe 2020", "Copyright Jane Doe 2018, 2020-2021. All rights reserved.", "(c) 2020 X", "(c) Jane Doe",
+                 "© Jane Doe", "Copyright © 2020", "Copyright: 2020 X", "All rights reserved."):
+        rows += [("MIT", "\n".join([sign + x for x in [line, "", *body]])) for sign in ("", "# ", " * ", "// ", "-- ", ";; ", "<!-- ", "' ")]
+    rows += [(None, line + "\n" + licences.MIT) for line in ("Copyright law was made in 1709 and has changed since", "Some prose (c) 2020", "The words copyright 2020")]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["licence"] for r in licences.scan(df).collect()}
+    assert [(i, got[i], t[:60]) for i, (name, t) in enumerate(rows) if got[i] != name] == []
