@@ -81,16 +81,16 @@ class FMIndex:
             order = np.argsort(key, kind="stable")
             rank = _ranks(key, order)
             step *= 2
-        self.rank = rank
         bwt = text[order - 1]  # before the first word comes the last terminator: symbol 0
         self.matrix = WaveletMatrix(bwt, sigma)
         self.start = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])
-        # rows of the sorted suffixes that agree in their first ``threshold`` words are one block
+        # rows of the sorted suffixes that agree in their first ``threshold`` words are one block;
+        # an interval whose match is cut to so many words ends where its block does
         passage = np.repeat(np.arange(passages), size + 1)
         same = self._agree(order, text, passage, threshold)
         self.block = np.cumsum(~same) - 1
-        heads = np.flatnonzero(~same)
-        self.least = np.minimum.reduceat(owner[passage[order]], heads) if n else owner
+        self.edge = np.append(np.flatnonzero(~same), n)
+        self.owner = np.append(owner[passage[order]], 0)  # one row more, as an end for the last interval
 
     def _agree(self, order: np.ndarray, text: np.ndarray, passage: np.ndarray, threshold: int) -> np.ndarray:
         """Whether each suffix shares its first ``threshold`` words with the one before it."""
@@ -102,30 +102,45 @@ class FMIndex:
         same[at] = True
         return same
 
-    def search(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def matches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Matching statistics of all passages, streamed from their last word to the first.
 
-        Returns passage, window and least owner for every window of ``threshold`` words: the
-        backward search keeps the interval of rows that match the words read so far; cut back to
-        ``threshold`` words, it is the block of its first row.
+        Returns passage, window and low, the first of the rows that start with the window, for
+        every window of ``threshold`` words, and high by low, where that interval ends: the backward search keeps the interval
+        and length of the match, and drops the match's last words above ``threshold``.  The
+        passages are the indexed ones, so that a match never ends.
         """
         live = np.flatnonzero(self.size > 0)
         low, high = np.zeros(len(live), np.int64), np.full(len(live), len(self.text), np.int64)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        read = 0
+        past = np.zeros(len(self.text), np.int64)
+        read = length = 0
         while len(live):
-            read += 1
+            read, length = read + 1, length + 1
             symbol = self.text[self.end[live] - read]
             both = self.matrix.rank(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
             low, high = self.start[symbol] + both[:len(live)], self.start[symbol] + both[len(live):]
-            if read >= self.threshold:
-                found.append((live, self.size[live] - read, self.least[self.block[low]]))
+            if length > self.threshold:
+                block, length = self.block[low], self.threshold
+                low, high = self.edge[block], self.edge[block + 1]
+            if length == self.threshold:
+                found.append((live, self.size[live] - read, low))
+                past[low] = high
             more = self.size[live] > read
             live, low, high = live[more], low[more], high[more]
         if not found:
             none = np.zeros(0, np.int64)
-            return none, none, none
-        return tuple(np.concatenate(x) for x in zip(*found))
+            return none, none, none, past
+        return *(np.concatenate(x) for x in zip(*found)), past
+
+    def search(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Passage, window and least owner of the window's interval, for every window of ``threshold`` words."""
+        passage, window, low, past = self.matches()
+        # intervals of so many words are equal or apart
+        first = np.flatnonzero(past)
+        if len(first):
+            past[first] = np.minimum.reduceat(self.owner, np.stack([first, past[first]], axis=1).ravel())[::2]
+        return passage, window, past[low]
 
 
 def _ranks(key: np.ndarray, order: np.ndarray) -> np.ndarray:

@@ -8,6 +8,7 @@ import pytest
 
 import corpus_pipeline
 from fleetlens.llm import licences, queries, url_filter
+from fleetlens.llm.fm_index import FMIndex
 from fleetlens.llm.mixing import mix, repeated, with_rows
 from fleetlens.llm.scratch import Scratch
 
@@ -77,3 +78,18 @@ def test_licences_of_whole_texts_and_in_comments(spark):
     df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
     got = {r["doc_id"]: r["licence"] for r in licences.scan(df).collect()}
     assert [(i, got[i], t[:60]) for i, (name, t) in enumerate(rows) if got[i] != name] == []
+
+
+def test_intervals_of_the_backward_search_hold_the_equal_windows():
+    rng = np.random.default_rng(3)
+    for threshold in (1, 3, 5):
+        parts = [rng.integers(1, 4, int(rng.integers(0, 40))) for _ in range(30)] + [np.ones(20, np.int64)] * 2
+        owner = rng.permutation(len(parts))
+        windows = {(p, i): tuple(x[i:i + threshold].tolist()) for p, x in enumerate(parts) for i in range(len(x) - threshold + 1)}
+        count, least = collections.Counter(windows.values()), {}
+        for (p, _), w in windows.items():
+            least[w] = min(least.get(w, len(parts)), int(owner[p]))
+        index = FMIndex(np.concatenate(parts), np.array([len(x) for x in parts]), owner, threshold)
+        passage, at, low, past = index.matches()
+        assert {(p, i): n for p, i, n in zip(passage.tolist(), at.tolist(), (past[low] - low).tolist())} == {k: count[w] for k, w in windows.items()}
+        assert {(p, i): n for p, i, n in zip(*(x.tolist() for x in index.search()))} == {k: least[w] for k, w in windows.items()}
