@@ -92,7 +92,66 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id)
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least_ l ON l.node = d.doc_id
 """
 
+FILL = r"""
+WITH hashed AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d,
+         regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u FROM documents),
+keyed AS (
+  SELECT *, len(u) AS n, CAST('0x' || substr(d, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(d, 9, 8) AS BIGINT) AS h2,
+         CAST('0x' || substr(d, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(d, 25, 8) AS BIGINT) AS h4 FROM hashed),
+cut AS (
+  SELECT doc_id, text, n, CASE WHEN n = 0 OR regexp_matches(text, '<[PSM]>') OR h3 % 100 >= 90 THEN 'plain'
+                               WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+         array_to_string(u[:least(h1 % (n + 1), h2 % (n + 1))], '') AS prefix,
+         array_to_string(u[least(h1 % (n + 1), h2 % (n + 1)) + 1:greatest(h1 % (n + 1), h2 % (n + 1))], '') AS middle,
+         array_to_string(u[greatest(h1 % (n + 1), h2 % (n + 1)) + 1:], '') AS suffix FROM keyed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                   ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM cut
+"""
+
+
+def _round(entries: str, name: str) -> str:
+    """Common tables of one round: the nearest entry of every part, and (but for the last round) the next entries."""
+    return f"""
+{name}_gap AS (
+  SELECT x.vec_id, x.part, e.entry, CAST(sum((x.v - e.v) * (x.v - e.v)) AS BIGINT) AS gap
+  FROM components x JOIN {entries} e ON e.part = x.part AND e.position = x.position GROUP BY ALL),
+{name}_near AS (SELECT vec_id, part, arg_min(entry, (gap, entry)) AS entry, min(gap) AS gap FROM {name}_gap GROUP BY ALL),
+{name}_mean AS (
+  SELECT part, entry, position, CAST(sum(v) AS BIGINT) AS s, count(*) AS n
+  FROM components JOIN {name}_near USING (vec_id, part) GROUP BY ALL),
+{name}_next AS (
+  SELECT part, entry, position, CASE WHEN n IS NULL THEN v ELSE (s - ((s % n) + n) % n) // n END AS v
+  FROM {entries} LEFT JOIN {name}_mean USING (part, entry, position)),"""
+
+
+CODES = f"""
+WITH kept AS (
+  SELECT vec_id, label, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+components AS (
+  SELECT vec_id, (i - 1) // (len(embedding) // 16) AS part, (i - 1) % (len(embedding) // 16) AS position,
+         CAST(floor(CAST(embedding[i] AS DOUBLE) * 256) AS BIGINT) AS v
+  FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM kept)),
+start AS (
+  SELECT part, entry, position, v FROM components
+  JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept) USING (vec_id) WHERE entry < 64),
+{_round("start", "one")}{_round("one_next", "two")}{_round("two_next", "three")}
+coded AS (
+  SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(gap) AS BIGINT) AS error
+  FROM three_near GROUP BY vec_id),
+books AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry, position)) AS codebooks_sha256 FROM two_next)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (vec_id), books
+"""
+
 ORACLES: dict[str, str] = {
+    "op12_vector_codes": CODES,
+    "op13_fill_middle": FILL,
     "op10_jaccard_join": NEAR,
     "op1_substring_dedup": SUBSTRINGS,
     "op3_url_filter": URLS,

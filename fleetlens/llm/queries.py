@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetlens.llm import langid, licences, quality, url_filter
+from fleetlens.llm import fill_middle, langid, licences, passage_quality, quality, url_filter, vector_codes
 from fleetlens.llm.exact_dedup import exact_dedup
 from fleetlens.llm.jaccard_join import Similar, near_groups
 from fleetlens.llm.mixing import mix
@@ -17,6 +17,8 @@ from fleetlens.llm.token_shards import write_shards
 
 #: tokenizer file; set ``spark.llm.tokenizer`` where the package of public tokenizers is not installed
 TOKENIZER = "word_bpe_49k.json"
+#: least score of a document that is predicted good
+GOOD_SCORE = 0.3
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
              ("block", "net/es/"), ("block", "net/fr/")]
 
@@ -101,6 +103,36 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scratch.finish(near_groups(_docs(spark, sf_dir), scratch, how=Similar(3, 90, 100)))
 
 
+def op11_passage_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned from the labels of those that are not held out."""
+    scratch = Scratch(spark, "op11")
+    docs = _docs(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    out = langid.held_out(F.col("doc_id"))
+    model = passage_quality.fit(docs.where(~out), labels.where(~out))
+    scored = passage_quality.score(docs, model, {"doc_id": F.col("doc_id"), "held_out": out})
+    return scratch.finish(scored.withColumn("predicted", (F.col("score") >= GOOD_SCORE).cast("int")))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all embeddings: 16 parts, 64 entries each, two rounds."""
+    scratch = Scratch(spark, "op12")
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    codes = vector_codes.encode(vectors, {"vec_id": F.col("vec_id"), "label": F.col("label")})
+    rows = vector_codes.label_errors(scratch.write(codes.rows, "codes"))
+    return scratch.finish(rows.select("vec_id", "code", "error", "label_error", F.lit(codes.sha256).alias("codebooks_sha256")))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-the-middle outputs of all documents and their round trip, as digests."""
+    scratch = Scratch(spark, "op13")
+    cut = fill_middle.transform(_docs(spark, sf_dir), {"doc_id": F.col("doc_id")})
+    kept = ["doc_id", "n", "form", "prefix_chars", "middle_chars"]
+    carried = {c: F.col(c) for c in kept} | {"output_sha256": F.sha2("output", 256)}
+    back = fill_middle.restore(cut, carried)
+    return scratch.finish(back.select(*carried, F.sha2("restored", 256).alias("restored_sha256")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_shards": op2_token_shards,
@@ -112,4 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_passage_quality": op11_passage_quality,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_fill_middle": op13_fill_middle,
 }

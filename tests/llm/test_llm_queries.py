@@ -17,7 +17,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     return c
 
@@ -30,7 +30,7 @@ def test_query_matches_oracle(spark, con, name):
     assert sorted(map(str, (tuple(r) for r in got.select(*cols).collect()))) == sorted(map(str, want))
 
 
-@pytest.mark.parametrize("name", ["op4_quality", "op7_langid"])
+@pytest.mark.parametrize("name", ["op4_quality", "op7_langid", "op11_passage_quality"])
 def test_one_row_per_document(spark, con, name):
     ids = [r["doc_id"] for r in QUERIES[name](spark, SF).select("doc_id").collect()]
     assert sorted(ids) == [r[0] for r in con.execute("select doc_id from documents order by 1").fetchall()]
