@@ -40,29 +40,47 @@ def top_k_per_group(df: DataFrame, group, order: Sequence[Column], k: int, rank_
     return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
 
 
+def join_same(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """Join on equal ``keys`` where null equals null, with the left side's key columns.
+
+    Lines of an unknown host or file are a group of their own; a plain join on the column
+    would drop them."""
+    names = _list(keys)
+    other = right.select(*[F.col(c).alias(f"_same_{c}") for c in names], *[c for c in right.columns if c not in names])
+    on = F.lit(True)
+    for c in names:
+        on = on & F.col(c).eqNullSafe(F.col(f"_same_{c}"))
+    return left.join(other, on, how).drop(*[f"_same_{c}" for c in names])
+
+
 #: consecutive ``order`` values counted together by ``last_n_by``
 CHUNK_BITS = 16
+#: up to this many rows a group are cut in every task before the shuffle (Spark's own limit for that plan)
+GROUP_LIMIT = 1000
 
 
 def last_n_by(df: DataFrame, n: int, by, order: str = "seq") -> DataFrame:
-    """The last ``n`` rows of each ``by`` group in line order (``tail -n`` per file/host).
+    """The last ``n`` rows of each ``by`` group in line order (``tail -n`` per file/host); a null group is one too.
 
-    No group is sorted.  Rows are counted per chunk of 2**16 ``order`` values (a partial
-    aggregate), the counts are summed from the end, and only the one chunk per group in
-    which the last ``n`` begin is numbered row by row.  Lines of several files are in the
-    order of ``line_order``: by file time and file first.
+    For ``n`` up to GROUP_LIMIT every task cuts its rows of a group to ``n`` before the
+    shuffle, and the input is read once.  For larger ``n`` it is read twice and no group is sorted: rows are counted
+    per chunk of 2**16 ``order`` values (a partial aggregate), the counts are summed from the
+    end, and only chunks with rows among the last ``n`` are numbered, each for itself.  Lines of several files
+    are in the order of ``line_order``: by file time and file first.
     """
     keys = _list(by)
     files = [c for c in LINE_ORDER[:-1] if c in df.columns and c not in keys]
+    if n <= GROUP_LIMIT:
+        newest = [F.col(c).desc_nulls_last() for c in [*files, order]]
+        return top_k_per_group(df, keys, newest, n, "_rn").drop("_rn")
     chunk = [*files, "_chunk"]
     rows = df.withColumn("_chunk", F.shiftright(F.col(order), CHUNK_BITS))
     counts = rows.groupBy(*keys, *chunk).agg(F.count(F.lit(1)).alias("_count"))
     later = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in chunk]).rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_room", F.lit(n) - F.coalesce(F.sum("_count").over(later), F.lit(0))).filter("_room > 0")
-    kept = rows.join(counts, [*keys, *chunk])
+    kept = join_same(rows, counts, [*keys, *chunk])
     w = Window.partitionBy(*keys, *chunk).orderBy(F.col(order).desc())
-    first = (kept.filter("_count > _room").withColumn("_rn", F.row_number().over(w)).filter("_rn <= _room"))
-    return kept.filter("_count <= _room").select(*df.columns).unionByName(first.select(*df.columns))
+    return kept.withColumn("_rn", F.row_number().over(w)).filter("_rn <= _room").select(*df.columns)
 
 
 #: what orders lines over several files: the older file first, then the place in the file

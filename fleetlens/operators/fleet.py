@@ -8,12 +8,12 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import awk_field, flag_keywords, matches_any
-from .common import top_k_per_group
-from .sequence import forward_fill, previous_value
+from .common import join_same
+from .sequence import DEFAULT_CHUNK_BITS, Scan, forward_fill, scan
 
 # Fixed values from the checks.
 UNCACHED_BAD = 0.075
@@ -78,28 +78,41 @@ def process_capacity(lines: DataFrame, user: str, file: str = "file") -> DataFra
     scan, then each section is one conditional aggregate (last value by ``seq``).  A
     server listed twice is two sections; a section without a count of running
     processes has 0."""
-    v = F.col("value")
-    rows = lines.filter(~v.contains("defunct"))
-    hdr = F.when(v.contains("["), F.struct(F.col("seq").alias("at"), F.expr("substring(value, 2, length(value) - 2)").alias("server")))
-    rows = forward_fill(rows.withColumn("_hdr", hdr), "_hdr", "seq", "_section", partition_by=file).drop("_hdr")
+    rows = process_values(lines.filter(~F.col("value").contains("defunct")), user)
+    header = F.when(F.col("server").isNotNull(), F.struct(F.col("seq").alias("at"), "server"))
+    rows = forward_fill(rows.withColumn("_hdr", header).drop("server"), "_hdr", "seq", "_section", partition_by=file)
     rows = rows.select("*", F.col("_section.at").alias("_at"), F.col("_section.server").alias("server"))
-    f1, f2 = awk_field(v, 1), awk_field(v, 2)
 
-    def last_where(cond: Column, val: Column) -> Column:
-        return F.max_by(F.when(cond, val), F.when(cond, F.col("seq")))
+    def last_known(col: str) -> Column:
+        return F.max_by(col, F.when(F.col(col).isNotNull(), F.col("seq"))).alias(col)
 
     agg = (rows.filter(F.col("server").isNotNull())
            .groupBy(file, "_at", "server")
-           .agg(last_where(v.contains("MaxProcessCount"), _num(f2)).alias("max_overall"),
-                F.coalesce(last_where(v.contains("procs running"), _num(f1)), F.lit(0)).alias("total_running"),
-                last_where(v.contains("DefaultMaxClass"), _num(f2)).alias("max_user"),
-                F.count_if((f1 == user) & _positive(f2)).alias("user_running"),
-                last_where(v.startswith("Mem:"), _num(f2)).alias("total_mem"),
-                last_where(v.startswith("Mem:"), _num(awk_field(v, 4))).alias("free_mem")))
-    return (agg.drop("_at").withColumn("flag_user_at_max", F.col("user_running") >= F.col("max_user"))
+           .agg(last_known("max_overall"), last_known("total_running"), last_known("max_user"),
+                F.sum("user_running").alias("user_running"), last_known("total_mem"), last_known("free_mem")))
+    return (agg.drop("_at").withColumn("total_running", F.coalesce("total_running", F.lit(0)))
+            .withColumn("flag_user_at_max", F.col("user_running") >= F.col("max_user"))
             .withColumn("flag_low_mem", F.try_divide(F.col("free_mem"), F.col("total_mem")) < 0.2))
 
 
+def process_values(lines: DataFrame, user: str) -> DataFrame:
+    """What each line of a process listing says, in columns in place of ``value``: ``server`` of a
+    ``[server]`` header, limits, running processes and memory (NULL where it says nothing), and
+    ``user_running`` 1 for a running process of ``user``, else 0."""
+    v = F.col("value")
+    f1, f2 = awk_field(v, 1), awk_field(v, 2)
+    memory = F.coalesce(v.startswith("Mem:"), F.lit(False))
+    return lines.select(
+        *[c for c in lines.columns if c != "value"],
+        F.when(v.contains("["), F.expr("substring(value, 2, length(value) - 2)")).alias("server"),
+        F.when(v.contains("MaxProcessCount"), _num(f2)).alias("max_overall"),
+        F.when(v.contains("procs running"), _num(f1)).alias("total_running"),
+        F.when(v.contains("DefaultMaxClass"), _num(f2)).alias("max_user"),
+        F.coalesce((f1 == user) & _positive(f2), F.lit(False)).cast("long").alias("user_running"),
+        F.when(memory, _num(f2)).alias("total_mem"),
+        F.when(memory, _num(awk_field(v, 4))).alias("free_mem"))
+
+
 def flat_capacity(df: DataFrame) -> DataFrame:
     """Per-server variant of ``process_capacity`` (one row per server already):
     ``server, max_procs, running, total_mem, free_mem``; flags running at the
@@ -114,12 +127,11 @@ def resolve_sections(lines: DataFrame, labels: DataFrame, file: str = "file") ->
     last site row of each file is ``chosen`` (later matches overwrite earlier ones)."""
     v = F.col("value")
     hdr = F.when(v.startswith("["), F.expr("substring(value, 2, length(value) - 3)"))
-    filled = forward_fill(lines.withColumn("_hdr", hdr), "_hdr", "seq", "label", partition_by=file)
-    sites = (filled.filter(v.startswith(" "))
-             .select(file, "seq", "label", awk_field(v, 1).alias("site"))
-             .join(labels, "label", "left"))
-    last = lines.filter(v.startswith(" ")).groupBy(file).agg(F.max("seq").alias("_last"))
-    return (sites.join(last, file).withColumn("chosen", F.col("seq") == F.col("_last")).drop("_last"))
+    site = F.when(v.startswith(" "), F.col("seq"))
+    filled = scan(lines, [Scan("label", hdr, "last"), Scan("_last", site, "all_max")], "seq", partition_by=file)
+    return (filled.filter(v.startswith(" "))
+            .select(file, "seq", "label", awk_field(v, 1).alias("site"), (F.col("seq") == F.col("_last")).alias("chosen"))
+            .join(labels, "label", "left"))
 
 
 def passive_or_active(df: DataFrame, file: str = "file") -> DataFrame:
@@ -137,12 +149,12 @@ def passive_or_active(df: DataFrame, file: str = "file") -> DataFrame:
     ends = hosts.groupBy(file).agg(F.max("seq").alias("_last"),
                                    F.max_by(F.when(is_active, F.col("host")), F.when(is_active, F.col("seq")))
                                    .alias("active"))
-    with_end = hosts.join(ends, file)
+    with_end = join_same(hosts, ends, file)
     anchor = (with_end.filter(is_active & (F.col("seq") < F.col("_last")))
               .groupBy(file).agg(F.max("seq").alias("_anchor")))
-    passive = (hosts.join(anchor, file).filter(F.col("seq") > F.col("_anchor"))
+    passive = (join_same(hosts, anchor, file).filter(F.col("seq") > F.col("_anchor"))
                .groupBy(file).agg(F.min_by("host", "seq").alias("passive")))
-    return (ends.join(passive, file, "left").select(file, "passive", "active")
+    return (join_same(ends, passive, file, "left").select(file, "passive", "active")
             .withColumn("chosen", F.coalesce("passive", "active")))
 
 
@@ -159,9 +171,9 @@ def select_hosts(df: DataFrame, include_marked: bool = False, file: str = "file"
     if not include_marked:
         rows = rows.filter(~v.rlike(OUT_OF_ROTATION))
     first_web = rows.filter(v.contains("web-")).groupBy(file).agg(F.min("seq").alias("_web"))
-    off_at = (rows.join(first_web, file).filter(v.contains("ded-") & (F.col("seq") >= F.col("_web")))
+    off_at = (join_same(rows, first_web, file).filter(v.contains("ded-") & (F.col("seq") >= F.col("_web")))
               .groupBy(file).agg(F.min("seq").alias("_off")))
-    return (rows.join(off_at, file, "left").filter(F.col("_off").isNull() | (F.col("seq") < F.col("_off")))
+    return (join_same(rows, off_at, file, "left").filter(F.col("_off").isNull() | (F.col("seq") < F.col("_off")))
             .select(file, "seq", awk_field(v, 1).alias("host")))
 
 
@@ -198,21 +210,31 @@ def cache_audit(lines: DataFrame, head: int = 10, file: str = "file") -> DataFra
     shown, highlighted when a problem line occurred since the previous ``Enabled``
     line (itself included).
 
-    Only problem and ``Enabled`` lines matter: keep just those, and an ``Enabled``
-    line is highlighted iff it is a problem itself or the line before it (in that
-    subset) is a problem that is not an ``Enabled`` line.  One previous-row scan
-    (chunked) over the subset replaces a running count over every line."""
+    The input is read twice.  A summary by chunk of lines (a partial aggregate) tells how many
+    lines a file has before the chunk and what its last marked line (a problem or ``Enabled``)
+    was; then only marked lines, and all lines of the chunks in which the head lies, go on to
+    the window of their chunk."""
     v = F.col("value")
-    marked = (lines.withColumn("_enabled", v.contains("Enabled")).withColumn("_problem", v.rlike(CACHE_PROBLEM))
-              .filter(F.col("_enabled") | F.col("_problem")))
-    marked = previous_value(marked, "_enabled", "seq", "_prev_enabled", partition_by=file)
-    enabled = (marked.filter("_enabled")
-               .select(file, "seq", "value", F.lit("enabled").alias("kind"),
-                       (F.col("_problem") | (F.col("_prev_enabled").isNotNull() & ~F.col("_prev_enabled")))
-                       .alias("highlight")))
-    first = (top_k_per_group(lines, file, [F.col("seq")], head, "_rn")
-             .select(file, "seq", "value", F.lit("head").alias("kind"), F.lit(False).alias("highlight")))
-    return first.unionByName(enabled)
+    enabled = F.coalesce(v.contains("Enabled"), F.lit(False))
+    problem = F.coalesce(v.rlike(CACHE_PROBLEM), F.lit(False))
+    marked = lines.select(file, "seq", "value", F.shiftright("seq", DEFAULT_CHUNK_BITS).alias("_chunk"), enabled.alias("_enabled"),
+                          problem.alias("_problem"))
+    # of a marked line: whether it leaves a problem to be shown by the next ``Enabled`` line
+    marked = marked.withColumn("_leaves", F.when(F.col("_enabled") | F.col("_problem"), ~F.col("_enabled")))
+    summary = marked.groupBy(file, "_chunk").agg(
+        F.count(F.lit(1)).alias("_n"), F.max_by("_leaves", F.when(F.col("_leaves").isNotNull(), F.col("seq"))).alias("_left"))
+    earlier = Window.partitionBy(file).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    summary = summary.select(file, "_chunk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+                             F.last("_left", ignorenulls=True).over(earlier).alias("_carry"))
+    rows = join_same(marked, summary, [file, "_chunk"]).filter(F.col("_leaves").isNotNull() | (F.col("_before") < head))
+    w = Window.partitionBy(file, "_chunk").orderBy("seq")
+    carried = F.coalesce(F.last("_leaves", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_carry"), F.lit(False))
+    # where the head lies, all lines are there and are numbered
+    place = F.when(F.col("_before") < head, F.col("_before") + F.row_number().over(w))
+    rows = rows.withColumn("_shown", F.col("_problem") | carried).withColumn("_place", place)
+    kinds = F.array_compact(F.array(F.when(F.col("_place") <= head, F.struct(F.lit("head").alias("kind"), F.lit(False).alias("highlight"))),
+                                    F.when(F.col("_enabled"), F.struct(F.lit("enabled").alias("kind"), F.col("_shown").alias("highlight")))))
+    return rows.select(file, "seq", "value", F.explode(kinds).alias("_k")).select(file, "seq", "value", "_k.kind", "_k.highlight")
 
 
 def flag_overrides(df: DataFrame) -> DataFrame:

@@ -24,10 +24,13 @@ non-negative long that increases in line order within a key (``seq`` from
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import join_same
+
 DEFAULT_CHUNK_BITS = 16
 
 
@@ -39,6 +42,73 @@ def _keys(partition_by: str | Sequence[str] | None) -> list[str]:
     return list(partition_by)
 
 
+class Scan(NamedTuple):
+    """One running value: ``how`` is ``sum`` (a running count when the value is 0/1), ``max`` (a running
+    "seen so far"), ``last`` (last non-null value = forward fill), ``prev`` (value of the previous row, NULL
+    for the first row) or ``all_max`` (the maximum over all rows of the key).  ``inclusive`` counts the
+    current row in (``sum``, ``max``, ``last``)."""
+
+    out: str
+    value: str | Column
+    how: str
+    inclusive: bool = True
+
+
+def scan(df: DataFrame, scans: Sequence[Scan], order: str, partition_by: str | Sequence[str] | None = None,
+         chunk_bits: int = DEFAULT_CHUNK_BITS) -> DataFrame:
+    """Add the running values of all ``scans`` in ``order`` within ``partition_by``.
+
+    However many there are, the input is read twice: once for the chunk summary and once for
+    the rows.  Null keys are a key of their own."""
+    keys = _keys(partition_by)
+    base = df.withColumn("_fl_chunk", F.shiftright(F.col(order), chunk_bits))
+    for i, s in enumerate(scans):
+        base = base.withColumn(f"_fl_v{i}", F.col(s.value) if isinstance(s.value, str) else s.value)
+    in_chunk = Window.partitionBy(*keys, "_fl_chunk").orderBy(order)
+    chunks = Window.partitionBy(*keys).orderBy("_fl_chunk")
+    earlier = chunks.rowsBetween(Window.unboundedPreceding, -1)
+
+    totals, carries, locals_, results = [], [], {}, {}
+    for i, s in enumerate(scans):
+        v, total, carry, local = f"_fl_v{i}", f"_fl_tot{i}", f"_fl_carry{i}", f"_fl_local{i}"
+        frame = in_chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow if s.inclusive else -1)
+        if s.how == "sum":
+            totals.append(F.sum(v).alias(total))
+            carries.append(F.sum(total).over(earlier).alias(carry))
+            locals_[local] = F.sum(v).over(frame)
+            results[s.out] = F.coalesce(F.col(carry), F.lit(0)) + F.coalesce(F.col(local), F.lit(0))
+        elif s.how == "max":
+            totals.append(F.max(v).alias(total))
+            carries.append(F.max(total).over(earlier).alias(carry))
+            locals_[local] = F.max(v).over(frame)
+            results[s.out] = F.greatest(F.col(carry), F.col(local))
+        elif s.how == "last":
+            totals.append(F.max_by(v, F.when(F.col(v).isNotNull(), F.col(order))).alias(total))
+            carries.append(F.last(total, ignorenulls=True).over(earlier).alias(carry))
+            locals_[local] = F.last(v, ignorenulls=True).over(frame)
+            results[s.out] = F.coalesce(F.col(local), F.col(carry))
+        elif s.how == "prev":  # the carry is the last row of the previous non-empty chunk
+            totals.append(F.max_by(v, F.col(order)).alias(total))
+            carries.append(F.lag(total, 1).over(chunks).alias(carry))
+            locals_[local] = F.lag(v, 1).over(in_chunk)
+            locals_["_fl_first"] = F.row_number().over(in_chunk) == 1
+            results[s.out] = F.when(F.col("_fl_first"), F.col(carry)).otherwise(F.col(local))
+        elif s.how == "all_max":
+            totals.append(F.max(v).alias(total))
+            carries.append(F.max(total).over(Window.partitionBy(*keys)).alias(carry))
+            results[s.out] = F.col(carry)
+        else:
+            raise ValueError(f"unknown running aggregate {s.how!r}")
+
+    summary = base.groupBy(*keys, "_fl_chunk").agg(*totals)
+    carried = summary.select(*keys, "_fl_chunk", *carries)
+    scanned = base
+    for name, local in locals_.items():
+        scanned = scanned.withColumn(name, local)
+    joined = join_same(scanned, carried, [*keys, "_fl_chunk"], "left")
+    return joined.select(*[c for c in df.columns if c not in results], *[c.alias(name) for name, c in results.items()])
+
+
 def running(
     df: DataFrame,
     value: str | Column,
@@ -49,62 +119,8 @@ def running(
     inclusive: bool = True,
     chunk_bits: int = DEFAULT_CHUNK_BITS,
 ) -> DataFrame:
-    """Add ``out`` = running aggregate of ``value`` in ``order`` within ``partition_by``.
-
-    ``how``: ``sum`` (running count when value is 0/1), ``max`` (running "seen so
-    far" flag), ``last`` (last non-null value = forward fill) or ``prev`` (value of the
-    previous row, NULL for the first row).  ``inclusive`` includes the current row
-    (ignored by ``prev``).
-    """
-    keys = _keys(partition_by)
-    v = F.col(value) if isinstance(value, str) else value
-    base = df.withColumn("_fl_v", v).withColumn("_fl_chunk", F.shiftright(F.col(order), chunk_bits))
-    end = Window.currentRow if inclusive else -1
-    w_local = Window.partitionBy(*keys, "_fl_chunk").orderBy(order)
-    w_frame = w_local.rowsBetween(Window.unboundedPreceding, end)
-
-    if how == "sum":
-        local = F.sum("_fl_v").over(w_frame)
-        total = F.sum("_fl_v")
-    elif how == "max":
-        local = F.max("_fl_v").over(w_frame)
-        total = F.max("_fl_v")
-    elif how == "last":
-        local = F.last("_fl_v", ignorenulls=True).over(w_frame)
-        total = F.max_by("_fl_v", F.when(F.col("_fl_v").isNotNull(), F.col(order)))
-    elif how == "prev":
-        local = F.lag("_fl_v", 1).over(w_local)
-        total = F.max_by("_fl_v", F.col(order))
-    else:
-        raise ValueError(f"unknown running aggregate {how!r}")
-
-    summary = base.groupBy(*keys, "_fl_chunk").agg(total.alias("_fl_tot"))
-    w_chunks = Window.partitionBy(*keys).orderBy("_fl_chunk")
-    if how == "sum":
-        carry = F.sum("_fl_tot").over(w_chunks.rowsBetween(Window.unboundedPreceding, -1))
-    elif how == "max":
-        carry = F.max("_fl_tot").over(w_chunks.rowsBetween(Window.unboundedPreceding, -1))
-    elif how == "last":
-        carry = F.last("_fl_tot", ignorenulls=True).over(w_chunks.rowsBetween(Window.unboundedPreceding, -1))
-    else:  # prev: last row of the previous non-empty chunk
-        carry = F.lag("_fl_tot", 1).over(w_chunks)
-    carried = summary.select(*keys, "_fl_chunk", carry.alias("_fl_carry"))
-
-    scanned = base.withColumn("_fl_local", local)
-    if how == "prev":
-        scanned = scanned.withColumn("_fl_first", F.row_number().over(w_local) == 1)
-    joined = scanned.join(carried, on=[*keys, "_fl_chunk"], how="left")
-
-    if how == "sum":
-        result = F.coalesce(F.col("_fl_carry"), F.lit(0)) + F.coalesce(F.col("_fl_local"), F.lit(0))
-    elif how == "max":
-        result = F.greatest(F.col("_fl_carry"), F.col("_fl_local"))
-    elif how == "last":
-        result = F.coalesce(F.col("_fl_local"), F.col("_fl_carry"))
-    else:
-        result = F.when(F.col("_fl_first"), F.col("_fl_carry")).otherwise(F.col("_fl_local"))
-    cols = [c for c in joined.columns if not c.startswith("_fl_")]
-    return joined.select(*cols, result.alias(out))
+    """Add ``out`` = running aggregate of ``value`` in ``order`` within ``partition_by``; see ``Scan``."""
+    return scan(df, [Scan(out, value, how, inclusive)], order, partition_by, chunk_bits)
 
 
 def forward_fill(df, value, order, out, partition_by=None, chunk_bits=DEFAULT_CHUNK_BITS) -> DataFrame:

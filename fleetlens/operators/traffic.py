@@ -5,9 +5,13 @@ Inputs are the output of ``parse_access`` / ``parse_php_error``; each keeps the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.parse import access_request_id, parse_access
+from . import idfilter
 from .common import line_order, top_counts
 
 # Fixed values from the reports.
@@ -17,6 +21,8 @@ PATH_WIDTH = 50
 OOM_MARKER = "Allowed memory size of"
 FATAL_MARKER = "PHP Fatal error"
 AGENT_MARKER = "Drupal"
+#: how a report counts its keys: ``top_counts``, or ``heavy.heavy_hitters`` where almost all keys are distinct
+Counts = Callable[..., DataFrame]
 
 
 def _site_rows(df: DataFrame, site: str) -> DataFrame:
@@ -81,22 +87,22 @@ def _server_errors(df: DataFrame) -> DataFrame:
     return df.filter(F.col("status").startswith("50"))
 
 
-def top_error_paths(df: DataFrame, k: int = 5) -> DataFrame:
+def top_error_paths(df: DataFrame, k: int = 5, counts: Counts = top_counts) -> DataFrame:
     """Most frequent paths answered with a 50x status."""
-    return top_counts(_server_errors(df).select(short_path().alias("path")), ["path"], k)
+    return counts(_server_errors(df).select(short_path().alias("path")), ["path"], k)
 
 
-def top_error_paths_hourly(df: DataFrame, k: int = 5) -> DataFrame:
+def top_error_paths_hourly(df: DataFrame, k: int = 5, counts: Counts = top_counts) -> DataFrame:
     """Most frequent (hour, path) pairs answered with a 50x status."""
     rows = _server_errors(df).select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), short_path().alias("path"))
-    return top_counts(rows, ["hour", "path"], k)
+    return counts(rows, ["hour", "path"], k)
 
 
-def paged_hits_by_agent(df: DataFrame, k: int = 5, marker: str = AGENT_MARKER) -> DataFrame:
+def paged_hits_by_agent(df: DataFrame, k: int = 5, marker: str = AGENT_MARKER, counts: Counts = top_counts) -> DataFrame:
     """Hits on paged listings (``page=[1-9]`` anywhere in the line) by user agent;
     agents containing ``marker`` are flagged."""
     rows = df.filter(F.col("value").rlike("page=[1-9]")).select("user_agent")
-    return top_counts(rows, ["user_agent"], k).withColumn("flag_marker", F.col("user_agent").contains(marker))
+    return counts(rows, ["user_agent"], k).withColumn("flag_marker", F.col("user_agent").contains(marker))
 
 
 def latest_matching(df: DataFrame, literal: str = "GET /cron.php", n: int = 5) -> DataFrame:
@@ -105,10 +111,10 @@ def latest_matching(df: DataFrame, literal: str = "GET /cron.php", n: int = 5) -
             .orderBy(line_order(df).desc()).limit(n).select("seq", "value"))
 
 
-def top_errors(df: DataFrame, k: int = 5) -> DataFrame:
+def top_errors(df: DataFrame, k: int = 5, counts: Counts = top_counts) -> DataFrame:
     """Most frequent normalised PHP error messages; fatal errors flagged."""
     rows = df.select(F.col("message_key").alias("message"))
-    return top_counts(rows, ["message"], k).withColumn("flag_fatal", F.col("message").contains(FATAL_MARKER))
+    return counts(rows, ["message"], k).withColumn("flag_fatal", F.col("message").contains(FATAL_MARKER))
 
 
 def oom_request_ids(errors: DataFrame, max_ids: int | None = None) -> DataFrame:
@@ -138,6 +144,22 @@ def oom_paths(errors: DataFrame, access: DataFrame, max_ids: int | None = None,
     return top_counts(hits, ["method", "path", "protocol", "status"], k)
 
 
+def oom_paths_filtered(errors: DataFrame, access_lines: DataFrame, k: int = 10, bits_per_id: int = idfilter.BITS_PER_ID) -> DataFrame:
+    """``oom_paths`` over raw access lines: a bit filter of the out-of-memory ids is tested
+    on each line's id before the line is parsed, so only matching lines (and the few that pass
+    by chance) are parsed and shuffled to the exact semi join."""
+    hits = oom_candidates(errors, access_lines, bits_per_id)
+    hits = parse_access(hits).join(oom_request_ids(errors), on="request_id", how="left_semi")
+    return top_counts(hits, ["method", "path", "protocol", "status"], k)
+
+
+def oom_candidates(errors: DataFrame, access_lines: DataFrame, bits_per_id: int = idfilter.BITS_PER_ID) -> DataFrame:
+    """Access lines whose request id may be that of an out-of-memory error."""
+    ids = oom_request_ids(errors)
+    words = idfilter.words_for(ids.count(), bits_per_id)
+    return access_lines.filter(idfilter.might_contain(idfilter.build(ids, words), words, access_request_id("value")))
+
+
 def ten_minute_times(df: DataFrame, ts: str = "ts", queue_us: str = "queue_us", exec_us: str = "exec_us") -> DataFrame:
     """Per ten-minute bucket: requests, mean and max queue and execution seconds."""
     n = F.count(F.lit(1))

@@ -12,16 +12,17 @@ from pyspark.sql import functions as F
 from ..functions.text import strip_request_id
 from ..sources.parse import watchdog_type
 from .common import line_order, top_counts, top_k_per_group
+from .traffic import Counts
 
 # Fixed values from the report.
 MODULE_CHANGE = "module .*abled"
 COSTLY_MODULES = "(dblog|statistics) module enabled"
 
 
-def top_types(df: DataFrame, k: int = 5, alert: int = 10_000) -> DataFrame:
+def top_types(df: DataFrame, k: int = 5, alert: int = 10_000, counts: Counts = top_counts) -> DataFrame:
     """Messages per type (field 3), the k most frequent; counts >= ``alert`` flagged."""
     rows = df.select(watchdog_type("line").alias("type"))
-    return top_counts(rows, ["type"], k).withColumn("flag_large", F.col("n") >= alert)
+    return counts(rows, ["type"], k).withColumn("flag_large", F.col("n") >= alert)
 
 
 def top_messages_per_type(df: DataFrame, n_types: int = 2, k: int = 5, exclude: Sequence[str] = (),
@@ -49,10 +50,10 @@ def top_messages_per_type(df: DataFrame, n_types: int = 2, k: int = 5, exclude:
             .withColumn("flag_error", F.col("message").rlike("(?i)exception|error")))
 
 
-def top_not_found(df: DataFrame, k: int = 5, alert: int = 1_000) -> DataFrame:
+def top_not_found(df: DataFrame, k: int = 5, alert: int = 1_000, counts: Counts = top_counts) -> DataFrame:
     """Paths (field 5) answered ``page not found``, the k most frequent."""
     rows = df.filter(F.col("type") == "page not found").select(F.col("uri"))
-    return top_counts(rows, ["uri"], k).withColumn("flag_large", F.col("n") >= alert)
+    return counts(rows, ["uri"], k).withColumn("flag_large", F.col("n") >= alert)
 
 
 def recent_cron(df: DataFrame, n: int = 10) -> DataFrame:

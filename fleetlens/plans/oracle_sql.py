@@ -548,3 +548,23 @@ SELECT p_partkey AS seq, CASE WHEN p_partkey % 10 <> 0 THEN p_size * 20 END AS m
     "mixed_layouts": """SELECT file, seq, head, type, uri, message FROM (VALUES ('pipe'), ('semicolon')) f(file), ("""
                      + ORACLES["parse_watchdog"] + ")",
 })
+
+# ------------------------------------------------------------------ other forms of the same reports
+
+for _form, _of in {
+    "top_error_paths_heavy": "top_error_paths", "top_error_paths_hourly_heavy": "top_error_paths_hourly",
+    "paged_hits_by_agent_heavy": "paged_hits_by_agent", "top_errors_heavy": "top_errors", "top_types_heavy": "top_types",
+    "top_not_found_heavy": "top_not_found", "oom_paths_filtered": "oom_paths", "oom_paths_stream": "oom_paths",
+    "hourly_traffic_increments": "hourly_traffic", "ten_minute_increments": "ten_minute_times",
+    "process_capacity_stream": "process_capacity", "resolve_sections_stream": "resolve_sections", "cache_audit_stream": "cache_audit",
+}.items():
+    ORACLES[_form] = ORACLES[_of]
+
+ORACLES["heavy_hitters"] = _q("""
+SELECT url, status_code, count(*) AS n
+FROM (SELECT CASE WHEN event_id % 5 < 2 THEN path ELSE path || '?id=' || rid END AS url, status_code FROM acc2)
+GROUP BY 1, 2 ORDER BY n DESC, url DESC, status_code DESC LIMIT 5""")
+
+ORACLES["report_store"] = _q("""
+SELECT CAST(ts_s AS DATE) AS day, site, date_trunc('hour', ts_s) AS hour, ts_s AS ts, rid AS request_id, method, path, status, us AS request_us
+FROM acc2 WHERE site = 'site1' AND hour(ts_s) = 7""")

@@ -6,13 +6,15 @@ Entries without a DuckDB oracle (see ``oracle_sql.py``) say why in their docstri
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import common, fleet, fleetlog, inventory, review, traffic, watchdog
+from ..operators import common, fleet, fleetlog, heavy, increments, inventory, review, traffic, watchdog
 from ..session import shared_dir
 from ..sources import lines as src_lines
+from ..sources import store
 from ..sources import tables as src_tables
 from ..sources.parse import normalize_error, parse_access, parse_php_error, parse_watchdog, parse_watchdog_pipe
 from . import fixtures as fx
@@ -195,6 +197,88 @@ def _ten_minute_times(spark, sf_dir):
     return traffic.ten_minute_times(ev.withColumn("queue_us", F.expr("exec_us div 10")))
 
 
+# ------------------------------------------------------------------ two-pass counts, id filter, store, increments
+
+@register()
+def heavy_hitters(spark, sf_dir):
+    """Two-pass top-k over urls of which most carry a parameter of their own (almost all keys are distinct)."""
+    rows = access(spark, sf_dir).select(F.when(F.col("seq") % 5 < 2, F.col("path")).otherwise(F.concat("path", F.lit("?id="), "request_id")).alias("url"), "status")
+    return heavy.heavy_hitters(rows, ["url", "status"], 5)
+
+
+@register()
+def top_error_paths_heavy(spark, sf_dir):
+    return traffic.top_error_paths(access(spark, sf_dir), counts=heavy.heavy_hitters)
+
+
+@register()
+def top_error_paths_hourly_heavy(spark, sf_dir):
+    """Hour and path: flat counts, for which the bound proves nothing and the plain form answers."""
+    return traffic.top_error_paths_hourly(access(spark, sf_dir), counts=heavy.heavy_hitters)
+
+
+@register()
+def paged_hits_by_agent_heavy(spark, sf_dir):
+    return traffic.paged_hits_by_agent(access(spark, sf_dir), counts=heavy.heavy_hitters)
+
+
+@register()
+def top_errors_heavy(spark, sf_dir):
+    return traffic.top_errors(php_errors(spark, sf_dir), counts=heavy.heavy_hitters)
+
+
+@register()
+def top_types_heavy(spark, sf_dir):
+    return watchdog.top_types(watchdog_log(spark, sf_dir), alert=2010, counts=heavy.heavy_hitters)
+
+
+@register()
+def top_not_found_heavy(spark, sf_dir):
+    return watchdog.top_not_found(watchdog_log(spark, sf_dir), alert=51, counts=heavy.heavy_hitters)
+
+
+@register()
+def oom_paths_filtered(spark, sf_dir):
+    """``oom_paths`` with a bit filter of the ids on the raw access lines."""
+    return traffic.oom_paths_filtered(php_errors(spark, sf_dir), fx.access_lines(spark, sf_dir))
+
+
+@register()
+def report_store(spark, sf_dir):
+    """Parsed access lines stored by day; one day is delivered again; one site's hour of every day is read."""
+    out = shared_dir(spark, "store")
+    rows = access(spark, sf_dir).filter("ts is not null").select(
+        F.to_date("ts").alias("day"), "site", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"),
+        "ts", "request_id", "method", "path", "status", "request_us")
+    store.write_store(rows, out)
+    store.write_store(rows.filter(F.col("day") == EVENTS_TODAY), out)
+    return store.read_store(spark, out).filter((F.col("site") == "site1") & (F.hour("hour") == 7))
+
+
+def _in_deliveries(rows: DataFrame, fold, path: str) -> str:
+    """States of all days, delivered in three calls: odd days, even days, and the first ten days again."""
+    rows = rows.withColumn("delivery", F.to_date("ts"))
+    day = F.dayofmonth("delivery")
+    for part in (day % 2 == 1, day % 2 == 0, day <= 10):
+        increments.deliver(fold(rows.filter(part)), path)
+    return path
+
+
+@register()
+def hourly_traffic_increments(spark, sf_dir):
+    """``hourly_traffic`` from the partial states of daily deliveries, some of which come twice."""
+    path = _in_deliveries(access(spark, sf_dir), increments.hourly_states, shared_dir(spark, "hourly-states"))
+    return increments.hourly_report(spark, path, "site1")
+
+
+@register()
+def ten_minute_increments(spark, sf_dir):
+    """``ten_minute_times`` from the partial states of daily deliveries, some of which come twice."""
+    ev = fx.events(spark, sf_dir).withColumn("exec_us", F.round(F.col("value") * 20000).cast("long"))
+    path = _in_deliveries(ev.withColumn("queue_us", F.expr("exec_us div 10")), increments.ten_minute_states, shared_dir(spark, "ten-minute-states"))
+    return increments.ten_minute_report(spark, path)
+
+
 # ------------------------------------------------------------------ watchdog
 
 @register("top_types")
@@ -680,3 +764,86 @@ def _top_errors_stream(spark, sf_dir):
     counts = spark.read.parquet(out)
     return (counts.orderBy(F.desc("n"), F.desc("message")).limit(5)
             .withColumn("flag_fatal", F.col("message").contains(traffic.FATAL_MARKER)))
+
+
+@contextmanager
+def _conf(spark: SparkSession, settings: dict[str, str]):
+    """The session with these settings, which are put back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _segments(spark, lines: DataFrame, folder: str, schema: str, n: int = 4) -> None:
+    """Lines as stored segments in line order (rising file times), and two later segments of another file,
+    which only move event time and so end the idle files."""
+    names = schema_columns(schema)
+    lines.repartitionByRange(n, "seq").sortWithinPartitions("seq").select(*names).write.parquet(f"{folder}/lines")
+    for i, day in enumerate(("2100-01-01", "2100-01-02")):
+        end = spark.range(1).select(F.lit("__end__").alias("file"), F.lit(i).cast("long").alias("seq"), F.lit("").alias("value"),
+                                    F.lit(day).cast("timestamp").alias("event_time"))
+        end.select(*names).write.parquet(f"{folder}/end{i}")
+    touch_in_order(spark, [f"{folder}/lines", f"{folder}/end0", f"{folder}/end1"])
+
+
+def schema_columns(schema: str) -> list[str]:
+    return [part.split()[0] for part in schema.split(",")]
+
+
+SEGMENT = "file string, seq long, value string, event_time timestamp"
+
+
+def _live(spark, sf_dir, lines: DataFrame, name: str, build) -> DataFrame:
+    """Replay lines, timed by their event, in micro-batches of one segment; two runs on one checkpoint."""
+    from ..streaming import carry, live
+
+    base = shared_dir(spark, name)
+    timed = lines.join(fx.events(spark, sf_dir).select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("event_time")), "seq")
+    with _conf(spark, carry.STATE_CONF):
+        _segments(spark, timed, base + "/in", SEGMENT)
+        for folders in ("{lines,end0}", "{lines,end0,end1}"):
+            out = live.run_bounded(build(carry.read_segments(spark, f"{base}/in/{folders}", SEGMENT, late="1 hour")), base)
+    return spark.read.parquet(out)
+
+
+@register()
+def process_capacity_stream(spark, sf_dir):
+    """``process_capacity`` live: keyed state in small micro-batches, continued from its checkpoint."""
+    from ..streaming import carry
+
+    return _live(spark, sf_dir, fx.section_lines(spark, sf_dir), "live-procs", lambda s: carry.process_capacity_stream(s, "site1"))
+
+
+@register()
+def resolve_sections_stream(spark, sf_dir):
+    """``resolve_sections`` live: the last header and the last site row are the state."""
+    from ..streaming import carry
+
+    return _live(spark, sf_dir, fx.realm_lines(spark, sf_dir), "live-realms", lambda s: carry.resolve_sections_stream(s, fx.realm_labels(spark)))
+
+
+@register()
+def cache_audit_stream(spark, sf_dir):
+    """``cache_audit`` live: whether a problem is still to be shown is the state."""
+    from ..streaming import carry
+
+    return _live(spark, sf_dir, fx.cache_audit_lines(spark, sf_dir), "live-audit", carry.cache_audit_stream).filter("file != '__end__'")
+
+
+@register()
+def oom_paths_stream(spark, sf_dir):
+    """``oom_paths`` live: both logs replayed side by side, joined within ten minutes under watermarks."""
+    from ..streaming import correlate, live
+
+    base = shared_dir(spark, "live-oom")
+    for name, lines in (("access", fx.access_lines(spark, sf_dir)), ("errors", fx.php_error_lines(spark, sf_dir))):
+        lines.repartitionByRange(4, "seq").sortWithinPartitions("seq").select("value").write.text(f"{base}/{name}")
+        touch_in_order(spark, [f"{base}/{name}"])
+    access_, errors = (live.read_line_stream(spark, f"{base}/{name}", max_files_per_trigger=1) for name in ("access", "errors"))
+    hits = spark.read.parquet(live.run_bounded(correlate.oom_hits_stream(errors, access_, late="1 day"), base))
+    return common.top_counts(hits, ["method", "path", "protocol", "status"], 10)

@@ -24,7 +24,6 @@ def parse_access(df: DataFrame, col: str = "value") -> DataFrame:
     has_rt = F.instr(v, "request_time=") > 0
     rt = F.regexp_extract(v, r"request_time=([0-9]+)", 1)
     site = F.regexp_extract(v, r"hosting_site=(\S*)", 1)
-    rid = F.regexp_extract(v, r'request_id="([^"]*)"', 1)
     status = awk_field(v, 9)
     return df.select(
         "*",
@@ -37,10 +36,16 @@ def parse_access(df: DataFrame, col: str = "value") -> DataFrame:
         cut_field(v, '"', 6).alias("user_agent"),
         F.when(F.instr(v, "hosting_site=") > 0, site).alias("site"),
         F.when(has_rt, F.coalesce(rt.try_cast("long"), F.lit(0))).alias("request_us"),
-        F.when(rid != "", rid).alias("request_id"),
+        access_request_id(v).alias("request_id"),
     )
 
 
+def access_request_id(col: str | Column) -> Column:
+    """``request_id="..."`` of a line, NULL where there is none."""
+    rid = F.regexp_extract(F.col(col) if isinstance(col, str) else col, r'request_id="([^"]*)"', 1)
+    return F.when(rid != "", rid)
+
+
 WATCHDOG_FIELDS = ["head", "epoch", "type", "ip", "uri", "referer", "uid", "link", "message"]
 
 

@@ -236,6 +236,7 @@ def test_process_capacity_sections_match(spark, lines):
     from fleetlens.operators import fleet
 
     df = spark.createDataFrame([("p", i, v) for i, v in enumerate(lines)], "file string, seq long, value string")
-    got = {r.server: r.user_running for r in fleet.process_capacity(df, "u1").collect()}
-    # sections with the same name merge, as grouping by server does
+    got = defaultdict(int)
+    for r in fleet.process_capacity(df, "u1").collect():  # one row a section; those of one name add up here
+        got[r.server] += r.user_running
     assert got == awk_process_capacity(lines, "u1")
