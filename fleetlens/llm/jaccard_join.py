@@ -14,6 +14,11 @@ prefixes of n - ceil(n * num / den) + 1 shingles.
    verified against the leader of their group and groups by their leaders, and only pairs
    that are then still in different components are expanded member by member.
 
+Near copies of one text that are not near enough to each other share most of their prefixes.
+Every set therefore carries ``PARITY`` bits: the parity of the number of its shingles in each of as
+many hash buckets.  Two sets differ in at least as many shingles as in bits, so pairs whose bits
+differ in more than a link allows are dropped before prefixes are compared or sets are read.
+
 Long index lists (more than ``hot`` groups) are treated the same way: first all against one
 hub, then against several, while a list still spans many components; the rest is expanded
 in full, so nothing is ever capped or dropped.
@@ -44,6 +49,8 @@ from fleetlens.llm.words import trimmed
 ROWS_PER_TASK = 20_000
 #: pairs across components that a long list may have, per entry, before it gets more hubs
 CROSS = 500
+#: bits of a set's parities, a multiple of 64
+PARITY = 1024
 
 
 class Similar(NamedTuple):
@@ -59,21 +66,32 @@ class Similar(NamedTuple):
     def sizes(self, a: Column, b: Column) -> Column:
         return self.num * F.greatest(a, b) <= self.den * F.least(a, b)
 
+    def close(self, a: str, b: str) -> Column:
+        """Whether the parities of two sets leave room for a link: |A xor B| is at most (1 - t) / (1 + t) of both sizes."""
+        differ = sum((F.bit_count(F.get(f"{a}.parity", F.lit(i)).bitwiseXOR(F.get(f"{b}.parity", F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
+        return (self.den + self.num) * differ <= (self.den - self.num) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+
     def overlap(self, a: Column, b: Column) -> Column:
         """Least intersection of two linked sets of these sizes."""
         return F.ceil(self.num * (a + b) / F.lit(float(self.num + self.den)) - F.lit(1e-9))
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """PARITY bits of a set of shingle hashes, as 64-bit integers."""
+    odd = np.bincount((shingles >> np.uint64(44)).astype(np.int64) % PARITY, minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _signatures(level, how: Similar):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = level.value
         for b in batches:
-            size, digest, lead_digest, prefix = [], [], [], []
+            size, digest, lead_digest, prefix, parity = [], [], [], [], []
             for w in words.chunks(b.column("text"), lower=True):
                 h, off = words.grams(w, how.k, short=True)
                 for s, e in zip(off[:-1].tolist(), off[1:].tolist()):
                     if s == e:
-                        size.append(0), digest.append(None), lead_digest.append(None), prefix.append(None)
+                        size.append(0), digest.append(None), lead_digest.append(None), prefix.append(None), parity.append(None)
                         continue
                     u = np.unique(h[s:e])
                     # the rank of a shingle: its level, then its hash
@@ -83,10 +101,11 @@ def _signatures(level, how: Similar):
                     size.append(len(u))
                     digest.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest())
                     lead_digest.append(hashlib.blake2b(lead.tobytes(), digest_size=16).digest())
-                    prefix.append(lead.astype(np.int64))
+                    prefix.append(lead.astype(np.int64)), parity.append(parities(u))
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(lead_digest, pa.binary()),
-                 pa.array(prefix, pa.list_(pa.int64()))], names=["id", "n", "digest", "lead", "prefix"])
+                 pa.array(prefix, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64()))],
+                names=["id", "n", "digest", "lead", "prefix", "parity"])
 
     return trimmed(run)
 
@@ -179,17 +198,18 @@ def near_groups(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_co
     kind = docs.schema["id"].dataType.simpleString()
     level = sketch.levels(docs, "text", how.k, scratch, lower=True)
     signed = scratch.write(docs.mapInArrow(
-        _signatures(level, how), f"id {kind}, n long, digest binary, lead binary, prefix array<long>"), "signed")
+        _signatures(level, how), f"id {kind}, n long, digest binary, lead binary, prefix array<long>, parity array<long>"), "signed")
     usable = signed.where("n > 0 and id is not null")
     tasks = 1 + signed.count() // ROWS_PER_TASK  # few rows are not dealt over many tasks
 
     # classes of equal sets, then groups of identical prefix and size
     classes = scratch.write(usable.groupBy("digest").agg(F.min("id").alias("rep")).coalesce(tasks), "classes")
-    reps = usable.select(F.col("id").alias("rep"), "digest", "n", "lead").join(classes, ["digest", "rep"]).distinct()
-    reps = scratch.write(reps.select("rep", "n", "lead").coalesce(tasks), "reps")
+    reps = usable.select(F.col("id").alias("rep"), "digest", "n", "lead", "parity").join(classes, ["digest", "rep"]).distinct()
+    reps = scratch.write(reps.select("rep", "n", "lead", "parity").coalesce(tasks), "reps")
     keys = scratch.write(reps.groupBy("n", "lead").agg(F.min("rep").alias("gid"), F.count("*").alias("members")).coalesce(tasks), "keys")
-    member = scratch.write(reps.join(keys, ["n", "lead"]).select("rep", "gid", "members").coalesce(tasks), "member")
-    groups = scratch.write(usable.select(F.col("id").alias("gid"), "n", "lead", "prefix").join(
+    member = scratch.write(reps.join(keys, ["n", "lead"]).select("rep", "gid", "members", "n", "parity").coalesce(tasks), "member")
+    scratch.drop("reps")
+    groups = scratch.write(usable.select(F.col("id").alias("gid"), "n", "lead", "prefix", "parity").join(
         keys, ["gid", "n", "lead"]).drop("lead").distinct().coalesce(4 * tasks), "groups")
     shared = member.where("members > 1")
 
@@ -197,7 +217,11 @@ def near_groups(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_co
     entries = groups.select("gid", "n", "members", F.posexplode("prefix").alias("pos", "token"))
     longer = entries.groupBy("token").agg(F.count("*").alias("length")).where("length > 1").coalesce(8 * tasks)
     lists = scratch.write(entries.join(longer, "token").coalesce(8 * tasks), "lists")
-    prefixes = groups.select("gid", "n", "prefix")
+    prefixes = groups.select("gid", "n", "members", "prefix", "parity")
+
+    def may_link(a: str, b: str) -> Column:
+        """Whether parities leave room for a link between members of two groups: they are known of groups of one."""
+        return (F.col(f"{a}.members") > 1) | (F.col(f"{b}.members") > 1) | how.close(a, b)
 
     def fits(a: str, b: str) -> Column:
         """Whether a shared shingle at these places can be the first common one of two linked sets.
@@ -224,7 +248,7 @@ def near_groups(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_co
         """Group pairs that the overlap of their prefixes does not rule out."""
         p = pairs.alias("p").join(prefixes.alias("x"), F.col("p.g1") == F.col("x.gid")).coalesce(4 * tasks).join(
             prefixes.alias("y"), F.col("p.g2") == F.col("y.gid")).coalesce(4 * tasks)
-        return p.where(overlaps("x", "y")).select("p.*").distinct()
+        return p.where(may_link("x", "y") & overlaps("x", "y")).select("p.*").distinct()
 
     def against_hubs(entries: DataFrame, hubs_per_list: int, different: Column) -> DataFrame:
         """Pairs of each entry with the hubs of its list: of each of its parts, the largest group."""
@@ -278,7 +302,7 @@ def near_groups(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_co
         e = many.join(lead, "gid").coalesce(tasks)
         open_ = e.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
         e = e.join(open_.select("token").coalesce(tasks), "token").coalesce(tasks)
-        return e.join(prefixes.drop("n"), "gid").coalesce(tasks)
+        return e.join(prefixes.drop("n", "members"), "gid").coalesce(tasks)
 
     cell = scratch.write(cells(component), "cells1")
     still = scratch.write(spanning(cell), "spanning1")
@@ -288,26 +312,28 @@ def near_groups(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_co
         work = sizes.agg(F.sum(F.col("all") * F.col("all") - F.col("same")).alias("cross"), F.sum("all").alias("all")).first()
         if not work["all"] or work["cross"] <= CROSS * work["all"]:
             break
-        more = against_hubs(still, hubs, (F.col("x.component") != F.col("y.component")) & overlaps("x", "y"))
+        more = against_hubs(still, hubs, (F.col("x.component") != F.col("y.component")) & may_link("x", "y") & overlaps("x", "y"))
         add(store.linked(by_leaders(more, cell), f"links{turn}"))
         component = connected(f"cc{turn}-")
         cell = scratch.write(cells(component), f"cells{turn}")
         still = scratch.write(spanning(cell), f"spanning{turn}")
 
-    # whatever is left: pairs of cells in different components, member by member
+    # whatever is left: pairs of cells in different components, member by member.  Cheap tests pick the
+    # pairs, which are written; their prefixes are compared after that
     x, y = still.alias("x"), still.alias("y")
     rest = x.join(y, F.col("x.token") == F.col("y.token")).where(
-        (F.col("x.gid") < F.col("y.gid")) & (F.col("x.component") != F.col("y.component")) & fits("x", "y") & overlaps("x", "y")
-        # a pair meets in every list of a common shingle: it counts in that of the first one
-        & (F.col("x.token") == F.array_min(F.array_intersect("x.prefix", "y.prefix")))).select(
-        F.col("x.gid").alias("g1"), F.col("y.gid").alias("g2")).distinct()
+        (F.col("x.gid") < F.col("y.gid")) & (F.col("x.component") != F.col("y.component")) & fits("x", "y") & may_link("x", "y")).select(
+        F.col("x.gid").alias("g1"), F.col("y.gid").alias("g2"))
+    rest = filtered(scratch.write(rest.distinct().coalesce(4 * tasks), "rest"))
     # a group whose members are all connected has one cell; others are paired with themselves
     torn = cell.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select(
         F.col("gid").alias("g1"), F.col("gid").alias("g2"))
     left = pairs.union(rest.coalesce(tasks)).union(torn.coalesce(tasks)).distinct().coalesce(tasks)
-    one = cell.select(F.col("gid").alias("g1"), F.col("component").alias("c1"), F.col("rep").alias("a"))
-    two = cell.select(F.col("gid").alias("g2"), F.col("component").alias("c2"), F.col("rep").alias("b"))
-    open_pairs = left.join(one, "g1").coalesce(tasks).join(two, "g2").where("c1 <> c2 and (g1 <> g2 or a < b)").select("a", "b")
+    each = cell.join(member.select("rep", "n", "parity"), "rep").coalesce(tasks)
+    one = left.alias("l").join(each.alias("x"), F.col("l.g1") == F.col("x.gid")).select("l.g2", "x.*").coalesce(tasks)
+    open_pairs = one.alias("x").join(each.alias("y"), (F.col("x.g2") == F.col("y.gid")) & (F.col("x.component") != F.col("y.component"))
+                                     & ((F.col("x.gid") != F.col("y.gid")) | (F.col("x.rep") < F.col("y.rep"))) & how.close("x", "y"))
+    open_pairs = open_pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
     last = store.linked(open_pairs, "links-rest")
     if last is not None and not last.isEmpty():
         add(last)
