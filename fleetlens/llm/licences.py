@@ -4,8 +4,14 @@ Whole texts, and every line as a text of its own, are brought to a canonical for
 lines dropped, case and punctuation levelled, equivalent spellings unified - and their SHA-256
 digests are hash-joined with the digests of known licences.
 
-Defined results: null and empty texts match nothing and have the digest of the empty text;
-rows that repeat id and text get the same answer; an empty table gives an empty result.
+A line is made canonical only where its first letters or digits are those that some known text
+begins with: a necessary condition, since neither case nor punctuation nor a spelling (whose forms agree
+in their first three letters) changes them, and most lines fail it.
+
+Defined results: null and empty texts match nothing and have the digest of the empty text; every
+row is judged by its own text, also where rows share an id or have none; rows that repeat id and text get
+the same answer; very long texts are read whole; an empty table gives an empty result; only the
+named columns are read, so other names cannot clash.
 """
 
 from __future__ import annotations
@@ -108,6 +114,9 @@ COPYRIGHT_LINE = (
     r"|(copyright|\(c\))[ \t:]+([^ \t\n0-9]+[ \t]+){1,8}[<\[({]?(year|yyyy|[0-9]{4})([ \t,–-]+([0-9]{4}|present))*[\])}>]?[ \t.,;*/#>-]*(all rights reserved[ \t.,;*/#>-]*)?"
     r")\r?$")
 NOT_ALNUM = r"[^\p{L}\p{N}]+"
+BEGIN = r"^[^\p{L}\p{N}]*([\p{L}\p{N}]{1,3})"
+#: a break inside a line, behind which a copyright line may end and the rest begin
+INNER_BREAK = r"[\r\x{0B}\x{0C}\x{85}\x{2028}\x{2029}][^\r\n]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -121,9 +130,16 @@ def canonical(text: Column) -> Column:
     return t
 
 
+def _begin(text: Column) -> Column:
+    """The first letters or digits of a text, three at most, A-Z in lower case."""
+    return F.translate(F.regexp_extract(text, BEGIN, 1), UPPER, LOWER)
+
+
 def known_digests(spark: SparkSession, known: Sequence[tuple[str, str, str]] = KNOWN) -> DataFrame:
     rows = spark.createDataFrame([tuple(k) for k in known], "licence string, kind string, text string")
-    return rows.select("licence", F.sha2(canonical(F.col("text")), 256).alias("digest")).groupBy("digest").agg(F.min("licence").alias("licence"))
+    rows = rows.select("licence", canonical(F.col("text")).alias("text"))
+    return rows.select("licence", F.sha2("text", 256).alias("digest"), _begin(F.col("text")).alias("begin")).groupBy("digest", "begin").agg(
+        F.min("licence").alias("licence"))
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -132,17 +148,19 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``line_licences`` lists the licences of the text's lines, sorted and joined by commas; empty if none.
     """
-    digests = F.broadcast(known_digests(df.sparkSession, known))  # as many rows as the caller's list of licences
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    whole = docs.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("canonical_sha256")).join(
+    table = known_digests(df.sparkSession, known)
+    digests = F.broadcast(table.select("digest", "licence"))  # as many rows as the caller's list of licences
+    begins = sorted(r["begin"] for r in table.select("begin").distinct().collect())
+    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("raw"))
+    whole = docs.select("doc_id", "raw", F.sha2(canonical(F.col("text")), 256).alias("canonical_sha256")).join(
         digests.withColumnRenamed("digest", "canonical_sha256"), "canonical_sha256", "left")
-    lines = docs.select("doc_id", "text", F.posexplode(F.split("text", "\n")).alias("line", "unit")).withColumn(
-        "digest", F.sha2(canonical(F.col("unit")), 256)).join(digests, "digest")
-    found = lines.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("canonical_sha256"), "line", "licence").distinct()
-    per_doc = found.groupBy("doc_id", "canonical_sha256").agg(
+    lines = docs.select("doc_id", "raw", F.posexplode(F.split("text", "\n")).alias("line", "unit"))
+    lines = lines.where(_begin(F.col("unit")).isin(begins) | F.col("unit").rlike(INNER_BREAK))
+    found = lines.withColumn("digest", F.sha2(canonical(F.col("unit")), 256)).join(digests, "digest").select("doc_id", "raw", "line", "licence").distinct()
+    per_doc = found.groupBy("doc_id", "raw").agg(
         F.array_join(F.sort_array(F.collect_set("licence")), ",").alias("line_licences"), F.count("*").alias("n_licence_lines"))
     w, p = whole.alias("w"), per_doc.alias("p")
-    same = F.col("w.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("w.canonical_sha256") == F.col("p.canonical_sha256"))
+    same = F.col("w.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("w.raw") == F.col("p.raw"))
     return w.join(p, same, "left").select(
         F.col("w.doc_id").alias(id_col), F.col("w.canonical_sha256"), F.col("w.licence"),
         F.coalesce("line_licences", F.lit("")).alias("line_licences"), F.coalesce("n_licence_lines", F.lit(0)).cast("long").alias("n_licence_lines"))
