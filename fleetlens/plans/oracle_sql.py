@@ -555,6 +555,7 @@ for _form, _of in {
     "top_error_paths_heavy": "top_error_paths", "top_error_paths_hourly_heavy": "top_error_paths_hourly",
     "paged_hits_by_agent_heavy": "paged_hits_by_agent", "top_errors_heavy": "top_errors", "top_types_heavy": "top_types",
     "top_not_found_heavy": "top_not_found", "oom_paths_filtered": "oom_paths", "oom_paths_stream": "oom_paths",
+    "read_records_drift": "read_records", "newest_files_pruned": "newest_files",
     "hourly_traffic_increments": "hourly_traffic", "ten_minute_increments": "ten_minute_times",
     "process_capacity_stream": "process_capacity", "resolve_sections_stream": "resolve_sections", "cache_audit_stream": "cache_audit",
 }.items():
@@ -568,3 +569,37 @@ GROUP BY 1, 2 ORDER BY n DESC, url DESC, status_code DESC LIMIT 5""")
 ORACLES["report_store"] = _q("""
 SELECT CAST(ts_s AS DATE) AS day, site, date_trunc('hour', ts_s) AS hour, ts_s AS ts, rid AS request_id, method, path, status, us AS request_us
 FROM acc2 WHERE site = 'site1' AND hour(ts_s) = 7""")
+
+ORACLES["parse_quality"] = """
+SELECT 'access' AS log, count(*) AS lines, count(*) FILTER (WHERE event_id % 50 = 0 OR event_id % 70 = 0) AS malformed,
+  count(*) FILTER (WHERE event_id % 50 = 0) AS no_ts, count(*) FILTER (WHERE event_id % 50 = 0) AS no_method,
+  count(*) FILTER (WHERE event_id % 50 = 0) AS no_path,
+  count(*) FILTER (WHERE event_id % 50 = 0 OR event_id % 70 = 0) AS no_status_code,
+  count(*) FILTER (WHERE event_id % 50 = 0 OR event_id % 70 = 0) / count(*) AS malformed_share
+FROM events"""
+
+ORACLES["new_files"] = _q("""
+SELECT site, date_trunc('hour', ts_s) AS hour, count(*) AS n, CAST(sum(us) AS BIGINT) AS sum_us, max(us) AS max_us,
+  CAST(count(*) FILTER (WHERE us > 3000000) AS BIGINT) AS n_slow,
+  CAST(count(*) FILTER (WHERE status LIKE '2%') AS BIGINT) AS n_2xx, CAST(count(*) FILTER (WHERE status LIKE '3%') AS BIGINT) AS n_3xx,
+  CAST(count(*) FILTER (WHERE status LIKE '4%') AS BIGINT) AS n_4xx, CAST(count(*) FILTER (WHERE status LIKE '5%') AS BIGINT) AS n_5xx
+FROM acc2 GROUP BY 1, 2""")
+
+ORACLES["phrase_matches"] = _q("""
+, texts AS (
+  SELECT event_id AS seq, 'web-' || CAST(user_id % 5 AS VARCHAR) AS host, k % 5 AS t, k,
+    strftime(ts, '%b ') || lpad(CAST(day(ts) AS VARCHAR), 2, ' ') || strftime(ts, ' %H:%M:%S') || ' web-' || CAST(user_id % 5 AS VARCHAR) || ' ' ||
+    CASE WHEN k % 5 = 0 THEN 'kernel: Out of memory: Kill process ' || event_id || ' (php) score 900'
+         WHEN k % 5 = 1 THEN 'kernel: Killed process ' || event_id || ' (php-fpm) total-vm:2048kB'
+         WHEN k % 5 = 2 THEN 'puppet-agent: Restarting php-fpm service'
+         WHEN k % 5 = 3 AND k % 2 = 0 THEN 'hostwatch: AH_SPLIT_BRAIN: Split brain detected: db=main'
+         WHEN k % 5 = 3 THEN 'hostwatch: AH_SERIOUS_ load above limit'
+         ELSE 'cron: session idle' END AS value FROM ev),
+phrases AS (
+  SELECT DISTINCT array_to_string(string_split(p_name, ' ')[1:2], ' ') AS phrase FROM part
+  UNION SELECT unnest(['Out of memory', 'AH_SERIOUS_', 'oad abov', 'web-3', 'kern', 'no such phrase'])),
+hits AS (
+  SELECT phrase, seq FROM texts JOIN phrases ON contains(value, phrase)
+  UNION ALL
+  SELECT 'process ' || seq || ' (php', seq FROM texts WHERE seq % 5 = 0 AND t IN (0, 1))
+SELECT phrase, count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq FROM hits GROUP BY phrase""".lstrip("\n"), EV)

@@ -11,10 +11,10 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import common, fleet, fleetlog, heavy, increments, inventory, review, traffic, watchdog
+from ..operators import common, fleet, fleetlog, heavy, increments, inventory, patterns, review, traffic, watchdog
 from ..session import shared_dir
 from ..sources import lines as src_lines
-from ..sources import store
+from ..sources import discovery, drift, quality, store
 from ..sources import tables as src_tables
 from ..sources.parse import normalize_error, parse_access, parse_php_error, parse_watchdog, parse_watchdog_pipe
 from . import fixtures as fx
@@ -255,6 +255,79 @@ def report_store(spark, sf_dir):
     return store.read_store(spark, out).filter((F.col("site") == "site1") & (F.hour("hour") == 7))
 
 
+@register()
+def parse_quality(spark, sf_dir):
+    """Malformed lines counted while a report runs: every 50th access line is cut short, every 70th
+    has no number for a status."""
+    lines = fx.access_lines(spark, sf_dir)
+    value = (F.when(F.col("seq") % 50 == 0, F.substring("value", 1, 9))
+             .when(F.col("seq") % 70 == 0, F.regexp_replace("value", 'HTTP/1.1" [0-9]+', 'HTTP/1.1" -')).otherwise(F.col("value")))
+    watched = quality.Quality("access")
+    src_tables.write_report(traffic.top_error_paths(watched.watch(parse_access(lines.withColumn("value", value)))), shared_dir(spark, "watched"))
+    return watched.report(spark)
+
+
+@register()
+def read_records_drift(spark, sf_dir):
+    """``read_records`` over pages whose records differ in shape (a field more, one less, numbers as
+    strings), with lines that are no JSON between them."""
+    out = shared_dir(spark, "drifting")
+    iss = fx.issues(spark, sf_dir)
+    record = F.to_json(F.struct(*iss.columns))
+    shape = F.col("number") % 4
+    record = (F.when(shape == 1, F.regexp_replace(record, "^.", '{"extra":{"a":[1,null]},'))
+              .when(shape == 2, F.regexp_replace(record, '"number":([0-9]+)', '"number":"$1"'))
+              .when(shape == 3, F.regexp_replace(record, '"id":([0-9]+)', '"id":"u$1"')).otherwise(record))
+    page = iss.withColumn("page", F.expr("number div 100")).withColumn("record", record).groupBy("page").agg(
+        F.concat(F.lit("["), F.array_join(F.collect_list("record"), ","), F.lit("]")).alias("value"))
+    broken = page.select(F.substring("value", 1, 40).alias("value"))
+    page.select("value").unionByName(broken).write.text(out)
+    recs, _ = drift.read_drifting(spark, out, fx.ISSUE_SCHEMA)
+    return recs.select("repo", "number", "title", "updated_at", F.col("user.login").alias("login"),
+                       F.size("labels").alias("n_labels"), F.col("pull_request.html_url").alias("html_url"))
+
+
+@register()
+def newest_files_pruned(spark, sf_dir):
+    """``newest_files`` without a list of paths: older files are pruned from the listing by their time."""
+    out = shared_dir(spark, "rotated-pruned")
+    lines = fx.watchdog_lines(spark, sf_dir, "pipe").join(
+        fx.events(spark, sf_dir).select(F.col("event_id").alias("seq"), F.to_date("ts").alias("day")), "seq")
+    (lines.repartition("day").sortWithinPartitions("seq").select("day", "value")
+     .write.partitionBy("day").option("compression", "gzip").text(out))
+    fs_touch_days(spark, out)
+    df = discovery.read_newest(spark, out + "/day=*/*.txt.gz", 5)
+    return watchdog.module_changes(parse_watchdog(df), EVENTS_TODAY).select("head", "message", "flag_today", "flag_costly")
+
+
+@register()
+def new_files(spark, sf_dir):
+    """Access lines read in two runs, of which the second reads only the files that came after the first."""
+    out = shared_dir(spark, "arrivals")
+    lines = fx.access_lines(spark, sf_dir)
+    base = increments.hourly_states(parse_access(lines.limit(0)), F.lit("")).drop("delivery")
+    states = [base]
+    for run in (0, 1):
+        lines.filter(F.col("seq") % 3 == 0 if run == 0 else F.col("seq") % 3 > 0).select("value").write.text(f"{out}/in/run{run}")
+        touch_in_order(spark, [f"{out}/in/run{r}" for r in range(run + 1)])
+        fresh = parse_access(discovery.read_new(spark, out + "/in/*/*.txt", out + "/log"))
+        states.append(spark.read.parquet(src_tables.write_report(increments.hourly_states(fresh, F.lit("")).drop("delivery"), f"{out}/states{run}")))
+        discovery.mark_read(spark, out + "/in/*/*.txt", out + "/log")
+    both = states[0].unionByName(states[1]).unionByName(states[2])
+    return increments.merged(both.drop("slow_us"), increments.HOURLY_KEYS)
+
+
+@register()
+def phrase_matches(spark, sf_dir):
+    """Phrases found in host logs by the index: a phrase for every part name's two first words and for every fifth request number, beside those of the report."""
+    parts = fx.table(spark, sf_dir, "part").select(F.substring_index("p_name", " ", 2).alias("phrase"))
+    numbers = fx.events(spark, sf_dir).filter("event_id % 5 = 0").select(F.concat(F.lit("process "), F.col("event_id").cast("string"), F.lit(" (php")).alias("phrase"))
+    fixed = spark.createDataFrame([(p,) for p in ("Out of memory", "AH_SERIOUS_", "oad abov", "web-3", "kern", "no such phrase")], "phrase string")
+    lines = fx.syslog_lines(spark, sf_dir).select("host", "seq", "value")
+    return patterns.matches(lines, parts.union(numbers).union(fixed)).groupBy("phrase").agg(
+        F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+
+
 def _in_deliveries(rows: DataFrame, fold, path: str) -> str:
     """States of all days, delivered in three calls: odd days, even days, and the first ten days again."""
     rows = rows.withColumn("delivery", F.to_date("ts"))

@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -99,3 +100,28 @@ def shared_dir(spark: SparkSession, name: str = "") -> str:
             atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
         base = _LOCAL[0]
     return os.path.join(base, f"{name or 'run'}-{uuid.uuid4().hex[:12]}")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the session's Python workers, once.
+
+    Functions that run in workers are pickled by name.  Where the package is not installed on the
+    executors, and the driver started in another folder, their modules are found only so."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    folder = tempfile.mkdtemp(prefix="fleetlens-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(folder, "fleetlens.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for where, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    file = os.path.join(where, name)
+                    z.write(file, os.path.join("fleetlens", os.path.relpath(file, package)))
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)

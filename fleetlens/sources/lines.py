@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.common import last_n_by
@@ -14,7 +14,7 @@ RECENT_LINES = 200_000
 LARGE_LOG_BYTES = 10_000_000
 
 
-def read_lines(spark: SparkSession, paths: str | Sequence[str], **options) -> DataFrame:
+def read_lines(spark: SparkSession, paths: str | Sequence[str], where: Column | None = None, **options) -> DataFrame:
     """Scan plain or gzip text logs into ``(file, file_size, file_time, block_start, seq, value)``.
 
     gzip is decoded by the text source (a .gz file is one split).  ``seq`` is taken
@@ -22,11 +22,14 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], **options) -> Da
     offset order, so ``seq`` increases in line order within every file (checked by
     the split-invariance tests with tiny ``maxPartitionBytes``).  Across files ``seq``
     says nothing (Spark plans larger files first): lines of rotated files are ordered by
-    ``(file_time, file, seq)``, see ``operators.common.line_order``.
+    ``(file_time, file, seq)``, see ``operators.common.line_order``.  ``where`` is a condition on
+    ``_metadata`` fields: it lies below the line numbers and prunes files from the listing.
     """
     if isinstance(paths, str):
         paths = [paths]
     df = spark.read.options(**options).text(list(paths))
+    if where is not None:
+        df = df.filter(where)
     return df.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_size").alias("file_size"),

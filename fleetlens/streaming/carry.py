@@ -28,6 +28,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..functions.text import awk_field
 from ..operators.fleet import CACHE_PROBLEM, process_values
+from ..session import ship_package
 
 #: what a session must set before it starts one of these streams
 STATE_CONF = {"spark.sql.streaming.stateStore.providerClass":
@@ -172,6 +173,7 @@ def _after_watermark(cond: Column) -> Column:
 
 
 def _run(rows: DataFrame, fold: _Fold, schema: str) -> DataFrame:
+    ship_package(rows.sparkSession)
     return rows.groupBy("file").transformWithStateInPandas(fold, schema, "Append", "EventTime")
 
 
