@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fleetlens.session import ship_package
+
 
 def shared_base(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which all executors share.
@@ -33,6 +35,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship_package(spark)
         self.spark = spark
         self.root = f"{shared_base(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.tables: dict[str, str] = {}
@@ -47,6 +50,12 @@ class Scratch:
         self.tables[name] = path
         return self.spark.read.schema(schema).parquet(path)
 
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` itself where it is read straight from files, which gives the same rows in the same
+        partitions each time; else as written: rows that come from a shuffle may change their places."""
+        straight = df.inputFiles() and "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+        return df if straight else self.write(df, name)
+
     def drop(self, *names: str) -> None:
         for name in names:
             if path := self.tables.pop(name, None):

@@ -9,7 +9,7 @@ import pytest
 import corpus_pipeline
 from fleetlens.llm import licences, queries, url_filter
 from fleetlens.llm.fm_index import FMIndex
-from fleetlens.llm.mixing import mix, repeated, with_rows
+from fleetlens.llm.mixing import mix, numbered_rows, repeated
 from fleetlens.llm.scratch import Scratch
 
 
@@ -19,7 +19,7 @@ def test_mixing_repeats_every_row_by_its_own_decision(spark):
     rows = [(None if i % 3 else 7 if i % 2 else i, " ".join([f"w{i}"] * int(rng.integers(0, 30))), ["a", "b", "c", None][int(s)])
             for i, s in enumerate(rng.choice(4, 300, p=[0.1, 0.2, 0.6, 0.1]))]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
-    numbered = with_rows(df, Scratch(spark, "t"))
+    numbered = numbered_rows(Scratch(spark, "t").write(df, "rows"))
     decided = mix(numbered, Scratch(spark, "t"))
     taken, targets = collections.Counter(), {}
     text = {r["_mix_row"]: r["text"] for r in numbered.collect()}
@@ -93,3 +93,23 @@ def test_intervals_of_the_backward_search_hold_the_equal_windows():
         passage, at, low, past = index.matches()
         assert {(p, i): n for p, i, n in zip(passage.tolist(), at.tolist(), (past[low] - low).tolist())} == {k: count[w] for k, w in windows.items()}
         assert {(p, i): n for p, i, n in zip(*(x.tolist() for x in index.search()))} == {k: least[w] for k, w in windows.items()}
+
+
+def test_licence_lines_are_judged_by_their_own_row(spark):
+    """Rows that share an id, or have none, and differ only in punctuation or line breaks; breaks inside lines."""
+    mit = "Released under the MIT License."
+    rows = [(1, f"{mit} foo"), (1, f"{mit}\nfoo"), (None, f"{mit} foo"), (None, f"{mit}\n foo"), (2, f"{mit}\n{mit}"), (2, f"{mit}\n{mit}"), (3, None), (None, None),
+            (4, f"  ** RELEASED -- under the mit LICENCE!\r\nother"), (5, f"Copyright (c) 2020 X\r{mit}\nother"), (6, f"Copyright (c) 2020 X\n{mit}"), (7, "re"), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(((r["doc_id"], r["line_licences"], r["n_licence_lines"], r["licence"]) for r in licences.scan(df).collect()), key=str)
+    want = [(1, "", 0, None), (1, "MIT", 1, None), (None, "", 0, None), (None, "MIT", 1, None), (2, "MIT", 2, None), (2, "MIT", 2, None), (3, "", 0, None),
+            (None, "", 0, None), (4, "MIT", 1, None), (5, "MIT", 1, None), (6, "MIT", 1, "MIT"), (7, "", 0, None), (8, "", 0, None)]
+    assert got == sorted(want, key=str)
+
+
+def test_every_known_text_passes_the_gate_of_its_first_letters(spark):
+    """Whatever spelling, case or signs a known text begins with, one line of it is still looked up."""
+    known = [("A", "text", "Licence of one"), ("B", "text", "non-infringement is two"), ("C", "text", "Éa three"), ("D", "text", "4 ever"), ("E", "text", "a b")]
+    rows = [(1, "## LICENSE of (one)"), (2, "Noninfringement is two"), (3, "Éa   three!"), (4, "-- 4 EVER"), (5, "A, B"), (6, "licens of one")]
+    got = {r["doc_id"]: r["line_licences"] for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string"), known=known).collect()}
+    assert got == {1: "A", 2: "B", 3: "C", 4: "D", 5: "E", 6: ""}
