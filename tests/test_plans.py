@@ -101,7 +101,8 @@ def test_review_fold_shuffles_each_input_once(plans):
 def test_inputs_are_the_given_tables(plans):
     """No query reads a stored copy of its rendered input (those that test a source or sink do read what they wrote)."""
     files = {"read_lines", "file_sizes", "read_stats_csv", "read_records", "write_report", "newest_files", "latest_matching_files",
-             "top_slow_files", "recent_cron_files", "report_store", "hourly_traffic_increments", "ten_minute_increments"}
+             "top_slow_files", "recent_cron_files", "report_store", "hourly_traffic_increments", "ten_minute_increments",
+             "new_files", "parse_quality", "newest_files_pruned", "read_records_drift"}
     counted = {n for n in QUERIES if "heavy" in n}  # the k rows that two passes over the tables gave
     assert {n for n, p in plans.items() if SF.rsplit("/", 1)[0] not in p and "LocalTableScan" not in p} <= files | counted
 
@@ -117,7 +118,7 @@ def test_flags_take_both_values():
         con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     # one verdict for the whole input, or a clock hour without events
     single = {("drift", "problem"), ("version_drift", "problem"), ("count_over", "flag"), ("variable_stats", "flag_n"),
-              ("variable_stats", "flag_max"), ("variable_stats", "flag_total"), ("literal_events", "flag_hour"), ("newest_files", "flag_today")}
+              ("variable_stats", "flag_max"), ("variable_stats", "flag_total"), ("literal_events", "flag_hour"), ("newest_files", "flag_today"), ("newest_files_pruned", "flag_today")}
     constant = set()
     for name, sql in ORACLES.items():
         out = con.sql(sql).df()
