@@ -5,9 +5,13 @@ other, or name each other as canonical, are aliases: connected components over t
 found by a distributed algorithm.  A block decision holds for all aliases without a rule of
 their own, unless one of the aliases is explicitly allowed: explicit allow takes precedence.
 
-Links are read as html has them: attribute values end at their own quote, character references
-are decoded, a refresh target is the rest of its attribute or ends at a quote of its own, and dot
-segments make no difference to a url's identity.
+Links are read as html has them, in Arrow batches of the pages whose markup names one: tags in
+comments, scripts, styles and other raw text are none; attributes are told apart by whole names,
+the first of a name counts, and their values end at their own quote, whatever else they hold; ``rel`` is a
+list of words; character references are decoded; a refresh target is the rest of its attribute or ends at
+a quote of its own; links are relative to the page's ``base``, if it has one.  The first
+canonical link and the first refresh with a target count.  Dot segments, the scheme's own port, and escapes of
+characters that need none make no difference to a url's identity.
 
 Defined results: a null url, or one without ``://``, has empty host and path, no rule, no
 aliases and is allowed; repeated pages are judged alike; links that are null, empty or to the
@@ -18,27 +22,29 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from html.entities import html5
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens.llm.components import connected_components
 from fleetlens.llm.scratch import Scratch
+from fleetlens.llm.words import trimmed
+from fleetlens.session import ship_package
 
 AUTHORITY = r"^[\s\S]*?://([^/?#]*)"
 PATH = r"^[\s\S]*?://[^/?#]*([^?#]*)"
-BEFORE_PATH = r"^([\s\S]*?://[^/?#]*)"
-BEHIND_PATH = r"^[\s\S]*?://[^?#]*([\s\S]*)"
 QUERY = r"^[^#]*?(\?[^#]*)"
-CANONICAL = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-VALUE = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^"'\s>][^\s>]*))"""
-HREF = re.compile(r"(?is)\bhref" + VALUE)
-CONTENT = re.compile(r"(?is)\bcontent" + VALUE)
+# one match for each comment, raw text, or tag that may hold a link
+MARKUP = re.compile(
+    r"(?is)<!--(?:-?>|.*?(?:--!?>|\Z))"
+    r"|<(script|style|textarea|title|xmp|iframe|noembed|noframes)(?=[\s/>]).*?(?:</\1(?=[\s/>])|\Z)"
+    r"|<(link|meta|base)(?=[\s/>])((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>")
+ATTRIBUTE = re.compile(r"""(?s)([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 REFRESH_URL = re.compile(r"""(?is)\burl\s*=\s*(?:"([^"]*)|'([^']*)|(.*))""")
 REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|([A-Za-z][A-Za-z0-9]*;?)(?!=))")
-DOTS = r"(?i)/(\.|%2e){1,2}(/|$)"
+DOTS = r"/\.{1,2}(/|$)"
 
 
 def decoded(value: str) -> str:
@@ -49,15 +55,76 @@ def decoded(value: str) -> str:
     return REFERENCE.sub(lambda m: html.unescape(m[0]) if m[1] is None else html5.get(m[1], m[0]), value)
 
 
-def _value(pattern: re.Pattern, text: str) -> str:
-    found = pattern.search(text)
-    return next((g for g in found.groups() if g is not None), "") if found else ""
+def _attributes(text: str) -> dict[str, str]:
+    """Attributes of a tag by their names in lower case, the first of each name."""
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(text):
+        out.setdefault(m[1].lower(), decoded(next((g for g in m.groups()[1:] if g is not None), "")))
+    return out
 
 
-def _target(canonical: str, refresh: str) -> list[str]:
-    """Links of a canonical tag and of a refresh tag, each empty where there is none."""
-    links = decoded(_value(HREF, canonical)), _value(REFRESH_URL, decoded(_value(CONTENT, refresh)))
-    return [re.sub(r"[\t\n\r]", "", link).strip(" \x0b\x0c") for link in links]
+def _stripped(link: str) -> str:
+    return re.sub(r"[\t\n\r]", "", link).strip(" \x0b\x0c")
+
+
+def page_links(markup: str) -> tuple[str, str, str]:
+    """The canonical link, the refresh target and the base of a page, each empty where there is none."""
+    canonical = refresh = base = ""
+    for m in MARKUP.finditer(markup):
+        if not m[2]:
+            continue
+        tag, a = m[2].lower(), _attributes(m[3])
+        if tag == "base":
+            base = base or _stripped(a.get("href", ""))
+        elif tag == "link" and not canonical and "canonical" in a.get("rel", "").lower().split():
+            canonical = _stripped(a.get("href", ""))
+        elif tag == "meta" and not refresh and a.get("http-equiv", "").strip().lower() == "refresh":
+            found = REFRESH_URL.search(a.get("content", ""))
+            refresh = _stripped(next((g for g in found.groups() if g is not None), "")) if found else ""
+    return canonical, refresh, base
+
+
+def resolved(link: str, base: str) -> str | None:
+    """Absolute form of a link at ``base``, its dot segments applied; None without a link or a base."""
+    found = re.match(r"(?s)([^:]*)://([^/?#]*)([^?#]*)", base)
+    if not link:
+        return None
+    if not re.match(r"[A-Za-z][A-Za-z0-9+.-]*://", link):
+        if not found:
+            return None
+        site = f"{found[1]}://{found[2]}"
+        if link.startswith("//"):
+            link = f"{found[1]}:{link}"
+        elif link.startswith("/"):
+            link = site + link
+        elif link[0] in "?#":
+            link = site + found[3] + link
+        else:
+            link = site + (found[3][:found[3].rfind("/") + 1] or "/") + link
+    before, path_, behind = re.match(r"(?s)([^:]*://[^/?#]*)([^?#]*)(.*)", link).groups()
+    kept: list[str] = []
+    segments = path_.split("/")
+    for k, segment in enumerate(segments):
+        plain = re.sub("(?i)%2e", ".", segment)
+        if plain == "..":
+            kept = kept[:max(1, len(kept) - 1)]
+        elif plain != ".":
+            kept.append(segment)
+        if plain in (".", "..") and k == len(segments) - 1:
+            kept.append("")
+    return before + "/".join(kept) + behind
+
+
+@trimmed
+def _found_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = []
+        for src, markup in zip(b.column("src").to_pylist(), b.column("html").to_pylist()):
+            canonical, refresh, base = page_links(markup)
+            base = resolved(base, src) or src
+            rows += [(src, resolved(link, base)) for link in (canonical, refresh) if link]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=["src", "dst"])
 
 
 def host(url: Column) -> Column:
@@ -69,44 +136,53 @@ def path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), PATH, 1)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def without_dots(path_: Column) -> Column:
     """A path with its ``.`` and ``..`` segments applied; it never leaves the root."""
     def step(kept: Column, segment: Column) -> Column:
         up = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1)))
-        return (F.when(F.regexp_like(segment, F.lit(r"^(?i)(\.|%2e)$")), kept).when(F.regexp_like(segment, F.lit(r"^(?i)(\.|%2e){2}$")), up)
-                .otherwise(F.concat(kept, F.array(segment))))
+        return F.when(segment == ".", kept).when(segment == "..", up).otherwise(F.concat(kept, F.array(segment)))
 
-    segments = F.concat(F.split(path_, "/"), F.when(F.regexp_like(path_, F.lit(r"(?i)/(\.|%2e){1,2}$")), F.array(F.lit(""))).otherwise(
-        F.array().cast("array<string>")))
-    return F.when(F.regexp_like(path_, F.lit(DOTS)), F.array_join(F.aggregate(segments, F.array().cast("array<string>"), step), "/")).otherwise(path_)
+    def applied(p: Column) -> Column:
+        end = F.when(F.regexp_like(p, F.lit(r"/\.{1,2}$")), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        kept = F.aggregate(F.concat(F.split(p, "/"), end), F.array().cast("array<string>"), step)
+        return F.when(F.regexp_like(p, F.lit(DOTS)), F.array_join(kept, "/")).otherwise(p)
 
+    return _let(path_, applied)
 
-def node(url: Column) -> Column:
-    """Identity of a url: host, path without dot segments, and query; scheme and fragment make no difference.  Null without host."""
-    return F.when(host(url) != "", F.concat(host(url), F.when(path(url) == "", F.lit("/")).otherwise(without_dots(path(url))),
-                                            F.regexp_extract(url, QUERY, 1)))
 
+def plain_escapes(text: Column) -> Column:
+    """Escapes of letters, digits and ``-._~`` as these characters, others with capital digits."""
+    def piece(t: Column, i: Column) -> Column:
+        hexed = F.regexp_like(t, F.lit("^[0-9A-Fa-f]{2}"))
+        sign = F.char(F.conv(F.substring(t, 1, 2), 16, 10).cast("long"))
+        rest = F.substr(t, F.lit(3))
+        escaped = F.when(F.regexp_like(sign, F.lit("^[A-Za-z0-9._~-]$")), F.concat(sign, rest)).otherwise(
+            F.concat(F.lit("%"), F.upper(F.substring(t, 1, 2)), rest))
+        return F.when(i == 0, t).when(hexed, escaped).otherwise(F.concat(F.lit("%"), t))
 
-def resolve(link: Column, base: Column) -> Column:
-    """Absolute form of a link found on the page at ``base``."""
-    scheme = F.regexp_extract(base, r"^([^:]*):", 1)
-    site = F.concat(scheme, F.lit("://"), F.regexp_extract(base, AUTHORITY, 1))
-    folder = F.regexp_extract(path(base), r"^(.*/)", 1)
-    whole = (F.when(link.isNull() | (link == ""), None).when(F.regexp_like(link, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*://")), link)
-             .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link)).when(link.startswith("/"), F.concat(site, link))
-             .when(link.startswith("?") | link.startswith("#"), F.concat(site, path(base), link))
-             .otherwise(F.concat(site, F.when(folder == "", F.lit("/")).otherwise(folder), link)))
-    return F.concat(F.regexp_extract(whole, BEFORE_PATH, 1), without_dots(path(whole)), F.regexp_extract(whole, BEHIND_PATH, 1))
+    return _let(text, lambda t: F.when(F.contains(t, F.lit("%")), F.array_join(F.transform(F.split(t, "%"), piece), "")).otherwise(t))
+
+
+def node(url: Column) -> Column:
+    """Identity of a url: host without its scheme's own port, path without dot segments, and query, in plain
+    escapes; scheme and fragment make no difference.  Null without host."""
+    scheme = F.lower(F.regexp_extract(url, r"^([^:]*)://", 1))
+    own_port = F.when(scheme == "http", r":(80)?$").when(scheme == "https", r":(443)?$").otherwise(":$")
+    where = F.regexp_replace(host(url), own_port, F.lit(""))
+    below = F.when(path(url) == "", F.lit("/")).otherwise(without_dots(plain_escapes(path(url))))
+    return F.when(host(url) != "", F.concat(where, below, plain_escapes(F.regexp_extract(url, QUERY, 1))))
 
 
 def html_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(src, dst) urls of canonical links and refresh redirects in the pages' html."""
-    markup = F.col(html_col)
-    tags = pages.select(F.col(url_col).alias("src"), F.regexp_extract(markup, CANONICAL, 0).alias("canonical"),
-                        F.regexp_extract(markup, REFRESH, 0).alias("refresh")).where("canonical <> '' or refresh <> ''")
-    targets = F.udf(_target, "array<string>", useArrow=False)(F.col("canonical"), F.col("refresh"))
-    links = tags.select("src", F.explode(targets).alias("link")).where("link <> ''")
-    return links.select("src", resolve(F.col("link"), F.col("src")).alias("dst"))
+    ship_package(pages.sparkSession)
+    some = pages.select(F.col(url_col).alias("src"), F.col(html_col).alias("html")).where(F.col("html").rlike("(?i)canonical|refresh"))
+    return some.where("src is not null").mapInArrow(_found_links, "src string, dst string").where("dst is not null")
 
 
 def own_rule(host_: Column, path_: Column, rules: Sequence[tuple[str, str]]) -> Column:
