@@ -174,9 +174,11 @@ class _Bucket:
 
     def __init__(self, folder: str):
         self.folder, self.rows, self.bytes, self.path = folder, [], 0, ""
+        self.low, self.high = 1 << 64, -(1 << 64)  # of the hashes
 
     def add(self, row: tuple) -> int:
         self.rows.append(row)
+        self.low, self.high = min(self.low, row[0]), max(self.high, row[0])
         self.bytes += len(row[1]) + 100
         return len(row[1]) + 100
 
@@ -210,8 +212,8 @@ def _buckets(rows: Iterator[tuple], depth: int, limit: int, folder: str) -> Iter
                 p.spill()
             held = 0
     for p in parts:
-        # copies of one text share all bits: after the last bits the table, which holds a text once, takes them
-        if p.bytes > limit and FANOUT_BITS * (depth + 2) <= 60:
+        # copies of one text share all bits, and further bits would not part them: the table, which holds a text once, takes them
+        if p.bytes > limit and p.low < p.high and FANOUT_BITS * (depth + 2) <= 60:
             yield from _buckets(iter(p), depth + 1, limit, folder)
         else:
             table = _Table()
