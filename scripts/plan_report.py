@@ -13,7 +13,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from fleetlens.session import get_session  # noqa: E402
 
-STREAMS = {"hourly_traffic_stream", "ten_minute_times_stream", "top_errors_stream"}
+STREAMS = {"hourly_traffic_stream", "ten_minute_times_stream", "top_errors_stream", "process_capacity_stream", "resolve_sections_stream",
+           "cache_audit_stream", "oom_paths_stream"}
 
 
 def summarise(plan: str) -> dict:
@@ -57,7 +58,7 @@ def main() -> None:
         s = summarise(df._jdf.queryExecution().executedPlan().toString())
         print(f"| {name} | {s['initial']} | {s['shuffles']} | {s['reused']} | {s['broadcasts']} | {s['joins']} | {s['group_limits']} | "
               f"{s['top_k']} | {s['partial_aggs']} | {'yes' if s['python'] else 'no'} | {s['scans']} |")
-    print("\nStreaming queries (`hourly_traffic_stream`, `ten_minute_times_stream`, `top_errors_stream`) run as "
+    print("\nStreaming queries (`*_stream`) run as "
           "micro-batches with state in the checkpoint folder; see `fleetlens/streaming/live.py`.")
 
 
