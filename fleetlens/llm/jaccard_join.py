@@ -296,16 +296,16 @@ def near_groups(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_co
 
     component = connected("cc1-")
 
-    def spanning(cell: DataFrame) -> DataFrame:
-        """Entries of long lists that still span several components, one for each cell."""
+    def spanning(entries: DataFrame, cell: DataFrame) -> DataFrame:
+        """Those of the entries whose lists span several components, one for each cell."""
         lead = cell.select("gid", "component").distinct().coalesce(tasks)
-        e = many.join(lead, "gid").coalesce(tasks)
+        e = entries.join(lead, "gid").coalesce(tasks)
         open_ = e.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
         e = e.join(open_.select("token").coalesce(tasks), "token").coalesce(tasks)
         return e.join(prefixes.drop("n", "members"), "gid").coalesce(tasks)
 
     cell = scratch.write(cells(component), "cells1")
-    still = scratch.write(spanning(cell), "spanning1")
+    still = scratch.write(spanning(many, cell), "spanning1")
     for turn, hubs in enumerate((8, 32), 2):
         sizes = still.groupBy("token", "component").agg(F.count("*").alias("c")).coalesce(tasks).groupBy("token").agg(
             F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same")).coalesce(tasks)
@@ -316,7 +316,9 @@ def near_groups(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_co
         add(store.linked(by_leaders(more, cell), f"links{turn}"))
         component = connected(f"cc{turn}-")
         cell = scratch.write(cells(component), f"cells{turn}")
-        still = scratch.write(spanning(cell), f"spanning{turn}")
+        # components only grow together: lists of one component stay so
+        before = still.drop("component", "prefix", "parity").distinct().coalesce(tasks)
+        still = scratch.write(spanning(before, cell), f"spanning{turn}")
 
     # whatever is left: pairs of cells in different components, member by member.  Cheap tests pick the
     # pairs, which are written; their prefixes are compared after that
