@@ -29,7 +29,7 @@ from fleetlens.llm.scratch import Scratch, delete
 from fleetlens.operators import idfilter
 
 #: documents whose language is less certain than this are rejected
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.35
 
 
 #: tables of the stages that ran last, by their folders
