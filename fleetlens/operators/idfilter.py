@@ -63,5 +63,14 @@ def might_contain(rows: DataFrame, words: int, id_: Column) -> Column:
     dense = every.join(rows, "word", "left").select(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")).alias("w"))
     array = dense.agg(F.transform(F.sort_array(F.collect_list("w")), lambda w: w["bits"]).alias("words")).scalar()
     h = F.xxhash64(id_.cast("string"))
-    bits = _bits(h)
-    return F.coalesce(id_.isNotNull() & (F.get(array, _word(h, words)).bitwiseAND(bits) == bits), F.lit(False))
+    missing = F.bitwise_not(F.get(array, _word(h, words))).bitwiseAND(_bits(h))
+    return F.coalesce(id_.isNotNull() & (missing == 0), F.lit(False))
+
+
+def matching(lines: DataFrame, rows: DataFrame, words: int, id_: Column) -> DataFrame:
+    """The ``lines`` whose id may be in the filter ``rows``.
+
+    The test uses the id many times, and a filter is planned with every column it uses written out, down
+    to the scan.  So the id is given out by a generator, past which nothing is written out: it is made once a line."""
+    probed = lines.select("*", F.explode(F.array(id_)).alias("_probed"))
+    return probed.filter(might_contain(rows, words, F.col("_probed"))).select(*lines.columns)

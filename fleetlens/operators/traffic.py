@@ -157,7 +157,7 @@ def oom_candidates(errors: DataFrame, access_lines: DataFrame, bits_per_id: int
     """Access lines whose request id may be that of an out-of-memory error."""
     ids = oom_request_ids(errors)
     words = idfilter.words_for(ids.count(), bits_per_id)
-    return access_lines.filter(idfilter.might_contain(idfilter.build(ids, words), words, access_request_id("value")))
+    return idfilter.matching(access_lines, idfilter.build(ids, words), words, access_request_id("value"))
 
 
 def ten_minute_times(df: DataFrame, ts: str = "ts", queue_us: str = "queue_us", exec_us: str = "exec_us") -> DataFrame:

@@ -198,3 +198,15 @@ def test_ten_minute_increments(spark, tmp_path):
     for d in (3, 1, 2, 1):
         increments.deliver(increments.ten_minute_states(df.filter(F.dayofmonth("ts") == d)), path)
     assert increments.ten_minute_report(spark, path).collect() == traffic.ten_minute_times(df).collect()
+
+
+def test_an_id_is_made_once_a_line(spark):
+    """A filter written out down to the scan made the id, and what the line is rendered from, a dozen times."""
+    raw = spark.createDataFrame([(i, f"k{i}") for i in range(300)] + [(None, None)], "n long, key string")
+    lines = raw.select("n", F.concat(F.lit('x request_id="v-'), F.substring("key", 2, 9), F.lit('"')).alias("value"))
+    ids = spark.range(0, 300, 7).select(F.concat(F.lit("v-"), F.col("id")).alias("request_id"))
+    words = idfilter.words_for(100)
+    kept = idfilter.matching(lines, idfilter.build(ids, words), words, F.regexp_extract("value", 'request_id="([^"]*)"', 1))
+    assert kept.columns == lines.columns
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") == 1
+    assert {r["n"] for r in kept.collect()} >= set(range(0, 300, 7)) and kept.count() < 100
