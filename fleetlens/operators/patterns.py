@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_any
+from . import idfilter
 
 WORD = "[A-Za-z0-9]+"
 #: words with a boundary on both sides inside the phrase
@@ -36,21 +37,38 @@ def _phrase_keys(phrase: Column) -> Column:
 
 
 def _line_keys(text: Column, grams: bool) -> Column:
+    """All keys of a line; grams are read in one pass, as what stands ahead of each place."""
     words = F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.concat(F.lit("w:"), w))
     if grams:
-        words = F.concat(words, F.transform(_grams(text), lambda g: F.concat(F.lit("g:"), g)))
+        ahead = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))
+        words = F.concat(words, F.transform(ahead, lambda g: F.concat(F.lit("g:"), g)))
     return F.array_distinct(words)
 
 
+def _keyed(phrases: DataFrame) -> DataFrame:
+    """(phrase, key): every key under which a phrase may be filed."""
+    return phrases.select("phrase", F.explode(_phrase_keys(F.col("phrase"))).alias("key")).distinct()
+
+
+def _has_grams(keyed: DataFrame) -> bool:
+    return not keyed.filter(F.col("key").startswith("g:")).isEmpty()
+
+
+def _cut(lines: DataFrame, col: str, wanted: DataFrame, n: int, grams: bool) -> DataFrame:
+    """A row for each line and key of it that may be among the ``n`` or fewer of ``wanted(key)``: a bit filter
+    drops almost all other keys where they are cut, before anything is shuffled."""
+    words = idfilter.words_for(n)
+    cut = lines.withColumn("_key", F.explode(_line_keys(F.col(col), grams)))
+    return cut.filter(idfilter.might_contain(idfilter.build(wanted, words, "key"), words, F.col("_key")))
+
+
 def file_phrases(phrases: DataFrame, lines: DataFrame, col: str = "value") -> DataFrame:
     """(key, phrase): each phrase under the one of its keys that the fewest lines have (ties: the first in order).
 
     Only the phrases' own keys are counted, in a partial aggregate over the lines."""
-    keyed = phrases.select("phrase", F.explode(_phrase_keys(F.col("phrase"))).alias("key")).distinct()
-    grams = not keyed.filter(F.col("key").startswith("g:")).isEmpty()
-    wanted = keyed.select("key").distinct()
-    counts = (lines.select(F.explode(_line_keys(F.col(col), grams)).alias("key")).join(wanted, "key", "left_semi")
-              .groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+    keyed = _keyed(phrases)
+    cut = _cut(lines.select(col), col, keyed, keyed.count(), _has_grams(keyed))
+    counts = cut.groupBy(F.col("_key").alias("key")).agg(F.count(F.lit(1)).alias("n"))
     rated = keyed.join(counts, "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return rated.groupBy("phrase").agg(F.min_by("key", F.struct("n", "key")).alias("key"))
 
@@ -59,15 +77,14 @@ def matches(lines: DataFrame, phrases: DataFrame, col: str = "value") -> DataFra
     """One row for each line and phrase that it contains: the columns of ``lines`` and ``phrase``.
 
     ``phrases`` has a string column ``phrase``; empty and null ones match nothing, and repeated ones count
-    once.  Neither side is broadcast by hint: adaptive execution does so where the index turns out small,
-    and splits the join where a key is hot."""
+    once.  Lines have many keys, of which the planner knows nothing when it takes their size from the files: it would
+    broadcast them.  So the join is a merge, which adaptive execution splits where a key is hot."""
     known = phrases.select("phrase").filter(F.length("phrase") > 0).distinct()
     short = [r["phrase"] for r in known.filter(F.size(_phrase_keys(F.col("phrase"))) == 0).collect()]  # shorter than GRAM
     filed = file_phrases(known, lines, col)
-    grams = not filed.filter(F.col("key").startswith("g:")).isEmpty()
-    cut = lines.withColumn("_key", F.explode(_line_keys(F.col(col), grams)))
+    cut = _cut(lines, col, filed, known.count(), _has_grams(_keyed(known)))
     filed = filed.select(F.col("key").alias("_filed"), F.col("phrase").alias("_phrase"))
-    found = cut.join(filed, F.col("_key") == F.col("_filed")).filter(F.contains(F.col(col), F.col("_phrase")))
+    found = cut.join(filed.hint("merge"), F.col("_key") == F.col("_filed")).filter(F.contains(F.col(col), F.col("_phrase")))
     found = found.select(*lines.columns, F.col("_phrase").alias("phrase"))
     if short:
         some = F.filter(F.array(*[F.lit(p) for p in short]), lambda p: F.contains(F.col(col), p))

@@ -158,3 +158,15 @@ def test_cost_does_not_follow_the_number_of_phrases(spark):
 
     assert joined(many) == joined(few) > 0
     assert top_counts(patterns.matches(lines, many), ["phrase"], 3).collect() == top_counts(patterns.matches(lines, few), ["phrase"], 3).collect()
+
+
+def test_lines_are_not_broadcast_by_the_size_of_their_files(spark, tmp_path):
+    """Few bytes on disk, many keys: their rows, one for each line and key, were sent to every executor."""
+    spark.range(3000).selectExpr("id AS seq", "concat(repeat('abcd efgh ', 20), id) AS value").write.parquet(str(tmp_path / "lines"))
+    lines = spark.read.parquet(str(tmp_path / "lines"))
+    phrases = spark.range(300).selectExpr("concat('d efgh ', id) AS phrase")
+    found = patterns.matches(lines, phrases)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "_filed" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+    assert found.count() == sum(str(s).startswith(str(p)) for s in range(3000) for p in range(300))
