@@ -80,13 +80,13 @@ def detect_watchdog_layout(df: DataFrame, col: str = "value", file_col: str = "f
 
 def parse_watchdog(df: DataFrame, col: str = "value", file_col: str = "file", order: str = "seq") -> DataFrame:
     """Watchdog line (either layout) -> the nine ``|`` fields plus ``line`` (the
-    normalised ``|`` line).  Layout detection is per file; the per-file flag is joined
-    back (AQE broadcasts it once its size is known)."""
+    normalised ``|`` line).  Layout detection is per file; the per-file flag, one short row a
+    file, is broadcast: a shuffle by file would gather all lines of a file in one task."""
     layout = detect_watchdog_layout(df, col, file_col, order)
     v = F.col(col)
     # the ``; `` split is its own column so the rewrite reads it once (expressions
     # inside a conditional branch are not shared by Catalyst)
-    with_layout = (df.join(layout, on=file_col, how="left")
+    with_layout = (df.join(F.broadcast(layout), on=file_col, how="left")
                    .withColumn("_semi", F.when(F.col("semicolon_layout"), F.split(v, "; "))))
     line = F.when(F.col("_semi").isNotNull(), _semicolon_to_pipe(F.col("_semi"))).otherwise(v)
     out = with_layout.withColumn("line", line).drop("semicolon_layout", "_semi")

@@ -88,3 +88,17 @@ def test_watchdog_detection_is_per_file(lines):
     df = lines([PIPE], file="a").unionByName(lines([SEMI], file="b"))
     r = parse_watchdog(df).select("file", "type").orderBy("file").collect()
     assert [x.type for x in r] == ["cron", "cron"]
+
+
+def test_lines_are_not_shuffled_by_file(spark):
+    """All lines of a file met in one task, where each got its file's layout."""
+    lines = spark.range(500).selectExpr("if(id % 9 = 0, null, concat('f', id % 2)) AS file", "id AS seq", "concat('a|', id) AS value")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        parsed = parse_watchdog(lines)
+        plan = parsed._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert sorted(r["seq"] for r in parsed.collect()) == list(range(500))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
