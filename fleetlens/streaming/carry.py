@@ -38,7 +38,9 @@ IDLE_MS = 3_600_000
 
 
 class _Fold(StatefulProcessor):
-    """Folds a file's lines in order: ``step`` takes the carried fields and new rows, ``last`` ends a file."""
+    """Folds a file's lines in order: ``step`` takes the carried fields and new rows, ``last`` ends a file.
+
+    All lines of a file go through one worker, so a step that sees many lines works on whole columns."""
 
     carried: T.StructType
     columns: list[str]
@@ -51,25 +53,27 @@ class _Fold(StatefulProcessor):
         fields = [T.StructField("seq", T.LongType()), T.StructField("until", T.LongType()), *self.carried.fields]
         self.state = handle.getValueState("carry", T.StructType(fields))
 
-    def step(self, carry: dict, rows: pd.DataFrame) -> Iterator[dict]:
+    def step(self, carry: dict, rows: pd.DataFrame) -> pd.DataFrame:
         raise NotImplementedError
 
     def last(self, carry: dict) -> Iterator[dict]:
         return iter(())
 
-    def _frame(self, file: str, rows: list[dict]) -> Iterator[pd.DataFrame]:
-        if rows:
-            yield pd.DataFrame([{"file": file, **r} for r in rows], columns=["file", *self.columns]).astype(object)
+    def _frame(self, file: str, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        if len(rows):
+            yield rows[self.columns].astype(object).assign(file=file)[["file", *self.columns]]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         names = ["seq", "until", *(f.name for f in self.carried.fields)]
         carry = dict(zip(names, self.state.get())) if self.state.exists() else dict.fromkeys(names)
-        new = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        new = pd.concat(list(rows))
+        if not new["seq"].is_monotonic_increasing:
+            new = new.sort_values("seq", kind="stable")
         if carry["seq"] is not None:
             new = new[new["seq"] > carry["seq"]]
         if not len(new):
             return
-        out = list(self.step(carry, new))
+        out = self.step(carry, new)
         until = int(new["event_time"].max().timestamp() * 1000) + self.idle_ms
         if carry["until"] is None or until > carry["until"]:
             if carry["until"] is not None:
@@ -85,7 +89,7 @@ class _Fold(StatefulProcessor):
             names = ["seq", "until", *(f.name for f in self.carried.fields)]
             out = list(self.last(dict(zip(names, self.state.get()))))
             self.state.clear()
-            yield from self._frame(key[0], out)
+            yield from self._frame(key[0], pd.DataFrame(out, columns=self.columns, dtype=object))
 
     def close(self) -> None:
         pass
@@ -105,16 +109,23 @@ class _Sections(_Fold):
     columns = ["server", "max_overall", "total_running", "max_user", "user_running", "total_mem", "free_mem"]
 
     def step(self, carry, rows):
-        for r in rows.itertuples(index=False):
-            server = _known(r.server)
-            if server is not None:
-                yield from self.last(carry)
-                carry.update(dict.fromkeys(self.values), server=server, user_running=0)
-            if carry["server"] is not None:
-                carry["user_running"] += int(r.user_running)
-                for c in self.values:
-                    if (v := _known(getattr(r, c))) is not None:
-                        carry[c] = int(v)
+        """Every header begins a section; the lines before the first one go on with the carried section."""
+        section = rows["server"].notna().to_numpy().cumsum()
+        by = rows.groupby(section, sort=True)
+        each = by[self.values].last().astype("Float64").astype("Int64").assign(server=by["server"].first(), user_running=by["user_running"].sum())
+        if section[0] == 0 and carry["server"] is not None:
+            more = each.loc[0]
+            carry["user_running"] += int(more["user_running"])
+            carry.update({c: int(more[c]) for c in self.values if not pd.isna(more[c])})
+        each = each.loc[1:]
+        if not len(each):
+            return each
+        closed = pd.DataFrame(list(self.last(carry)), columns=self.columns, dtype=object)
+        done = each.iloc[:-1].fillna({"total_running": 0})[self.columns].astype(object)
+        newest = each.iloc[-1]
+        carry.update({c: None if pd.isna(newest[c]) else int(newest[c]) for c in self.values},
+                     server=newest["server"], user_running=int(newest["user_running"]))
+        return pd.concat([closed, done.where(done.notna(), None)])
 
     def last(self, carry):
         if carry["server"] is not None:
@@ -129,6 +140,9 @@ class _Realms(_Fold):
     columns = ["seq", "label", "site", "chosen"]
 
     def step(self, carry, rows):
+        return pd.DataFrame(list(self._steps(carry, rows)), columns=self.columns, dtype=object)
+
+    def _steps(self, carry, rows):
         for r in rows.itertuples(index=False):
             if (label := _known(r.label)) is not None:
                 carry["label"] = label
@@ -155,16 +169,13 @@ class _Audit(_Fold):
         self.head = head
 
     def step(self, carry, rows):
-        seen, pending = carry["seen"] or 0, bool(carry["pending"])
-        for r in rows.itertuples(index=False):
-            if seen < self.head:
-                seen += 1
-                yield {"seq": int(r.seq), "value": r.value, "kind": "head", "highlight": False}
-            if r.enabled:
-                yield {"seq": int(r.seq), "value": r.value, "kind": "enabled", "highlight": bool(r.problem or pending)}
-            if r.enabled or r.problem:
-                pending = not r.enabled
-        carry.update(seen=seen, pending=pending)
+        seen = carry["seen"] or 0
+        first = rows.iloc[:max(self.head - seen, 0)].assign(kind="head", highlight=False)
+        marked = rows[rows["enabled"] | rows["problem"]]
+        pending = (~marked["enabled"]).shift(fill_value=bool(carry["pending"]))
+        shown = marked.assign(kind="enabled", highlight=marked["problem"] | pending)[marked["enabled"]]
+        carry.update(seen=seen + len(first), pending=not marked["enabled"].iloc[-1] if len(marked) else bool(carry["pending"]))
+        return pd.concat([first, shown])
 
 
 def _after_watermark(cond: Column) -> Column:

@@ -194,3 +194,22 @@ def test_oom_paths_live(spark, tmp_path):
     assert hits.count() == hits.select("request_id").distinct().count() == len({i for i, _ in errors})
     assert max(sizes) > 100 and sizes[-1] < 10  # all that waited is gone
     assert hits.filter(F.col("event_time").isNull()).count() == 0
+
+
+def test_sections_are_folded_without_a_loop_over_lines(monkeypatch):
+    """All lines of a file pass one worker: a loop over them took most of a replay."""
+    import pandas as pd
+
+    def stop(*_, **__):
+        raise AssertionError("line by line")
+
+    monkeypatch.setattr(pd.DataFrame, "itertuples", stop)
+    fold, carry_ = carry._Sections(), dict.fromkeys(f.name for f in carry._Sections.carried.fields)
+    rows = pd.DataFrame({"server": [None, "a", None, None, "b", "a", None], "user_running": [1, 0, 1, 1, 0, 0, 1],
+                         "max_overall": [9, None, 3, 4, None, None, None], "total_running": [9, None, None, 2, None, None, 7],
+                         "max_user": [None] * 7, "total_mem": [None] * 7, "free_mem": [None] * 7})
+    out = fold.step(carry_, rows)
+    assert out[["server", "max_overall", "total_running", "user_running"]].values.tolist() == [["a", 4, 2, 2], ["b", None, 0, 0]]
+    assert carry_["server"] == "a" and carry_["user_running"] == 1 and carry_["total_running"] == 7 and carry_["max_overall"] is None
+    more = fold.step(carry_, rows.iloc[:2])
+    assert more[["server", "max_overall", "total_running", "user_running"]].values.tolist() == [["a", 9, 9, 2]]
