@@ -148,3 +148,27 @@ def test_components_of_a_path_and_a_star(spark):
     want = {i: 1 for i in range(1, 61)} | {100 + i: 100 for i in range(50)} | {300: 300, 301: 300}
     assert {r["node"]: r["component"] for r in got.collect()} == want and got.count() == len(want)
     assert connected_components(spark.createDataFrame([], "u long, v long"), Scratch(spark, "t")).count() == 0
+
+
+def test_entries_of_long_lists_do_not_meet_their_cells_one_by_one(spark, monkeypatch):
+    """Near copies in long lists: groups met their components in every entry of their prefix."""
+    common = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*common[:20], f"x{i}", f"y{i}", f"z{i}", *common[20:40 + i % 2 * 20]])) for i in range(60)]
+    plans, write = {}, Scratch.write
+
+    def spied(self, df, name, *args):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(self, df, name, *args)
+
+    monkeypatch.setattr(Scratch, "write", spied)
+    how = Similar(3, 60, 100)
+    found = near_groups(table(spark, rows).repartition(4), Scratch(spark, "t"), how=how, hot=8)
+    sets = {i: {tuple(t.split()[a:a + 3]) for a in range(len(t.split()) - 2)} for i, t in rows}
+    component = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 60 * len(sets[a] | sets[b]):
+                old, to = max(component[a], component[b]), min(component[a], component[b])
+                component = {k: to if v == old else v for k, v in component.items()}
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == component
+    assert "spanning1" in plans and "Generate posexplode" in plans["spanning1"]
