@@ -296,19 +296,23 @@ def near_groups(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_co
 
     component = connected("cc1-")
 
-    def spanning(tokens: DataFrame, cell: DataFrame) -> DataFrame:
-        """Entries of those of the lists (token, length) that span several components, one for each cell.
+    place = F.struct("token", "pos", "length")
 
-        Cells meet their group once and its prefix is cut into entries after that, not a cell for every entry."""
+    def spanning(entries: DataFrame, cell: DataFrame) -> DataFrame:
+        """Those of the entries whose lists span several components, one for each cell.
+
+        A cell meets its group, and its prefix, in one row with all entries, which are told apart after that."""
         lead = cell.select("gid", "component").distinct().coalesce(tasks)
-        whole = groups.select("gid", "n", "members", "prefix", "parity").join(lead, "gid").coalesce(4 * tasks)
-        e = whole.select("component", F.explode("prefix").alias("token")).join(tokens, "token").coalesce(tasks)
-        open_ = e.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.first("length").alias("length")).where("lo <> hi")
-        return whole.select("*", F.posexplode("prefix").alias("pos", "token")).join(
-            open_.select("token", "length").coalesce(tasks), "token").coalesce(tasks)
+        e = entries.groupBy("gid", "n", "members").agg(F.collect_list(place).alias("places")).coalesce(tasks).join(lead, "gid").coalesce(tasks)
+        e = e.select("gid", "n", "members", "component", F.inline("places"))
+        open_ = e.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+        e = e.join(open_.select("token").coalesce(tasks), "token").coalesce(tasks)
+        e = e.groupBy("gid", "n", "members", "component").agg(F.collect_list(place).alias("places")).coalesce(tasks)
+        return e.join(prefixes.drop("n", "members"), "gid").coalesce(tasks).select(
+            "gid", "n", "members", "component", "prefix", "parity", F.inline("places"))
 
     cell = scratch.write(cells(component), "cells1")
-    still = scratch.write(spanning(longer.where(F.col("length") > hot), cell), "spanning1")
+    still = scratch.write(spanning(many, cell), "spanning1")
     for turn, hubs in enumerate((8, 32), 2):
         sizes = still.groupBy("token", "component").agg(F.count("*").alias("c")).coalesce(tasks).groupBy("token").agg(
             F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same")).coalesce(tasks)
@@ -320,7 +324,8 @@ def near_groups(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_co
         component = connected(f"cc{turn}-")
         cell = scratch.write(cells(component), f"cells{turn}")
         # components only grow together: lists of one component stay so
-        still = scratch.write(spanning(still.select("token", "length").distinct().coalesce(tasks), cell), f"spanning{turn}")
+        before = still.drop("component", "prefix", "parity").distinct().coalesce(tasks)
+        still = scratch.write(spanning(before, cell), f"spanning{turn}")
 
     # whatever is left: pairs of cells in different components, member by member.  Cheap tests pick the
     # pairs, which are written; their prefixes are compared after that
